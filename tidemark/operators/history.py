@@ -62,7 +62,7 @@ def narrow_events(events: DataFrame, block: int = BLOCK) -> DataFrame:
     is_insert = F.col("op") == "insert"
     return events.select(
         "client_id",
-        F.floor(F.col("lsn") / block).alias("block"),
+        F.expr(f"lsn div {block}").alias("block"),
         "lsn", "commit_ts", "op", "payload_hash",
         F.when(is_insert, F.struct(images.value_or(after, RISK, DEFAULT_RISK).alias("v")))
         .when(images.present(after, RISK), F.struct(images.value(after, RISK).alias("v"))).alias("risk_set"),
@@ -84,63 +84,90 @@ def known_clients(dim: DataFrame) -> DataFrame:
 
 
 def _block_summaries(narrow: DataFrame) -> DataFrame:
-    """Per (client, block) all that later blocks need: first insert, first deletes, last values set.
+    """Per (client, block) all that other blocks need to know of it.
 
-    Each comes in two readings, over the whole block and after the block's first insert, because only
-    the order of the blocks tells which one counts.
+    Last values set and first delete come in two readings, over the whole block and after the block's
+    first insert, because only the order of the blocks tells which one counts. For each attribute
+    ``_first`` is the first value set and ``_turn`` the first event that sets another one: whatever the
+    state on entry, the first change in the block is one of the two.
     """
     whole = Window.partitionBy("client_id", "block")
-    first_insert = F.min(F.when(F.col("op") == "insert", F.col("lsn"))).over(whole)
-    rows = narrow.withColumn("ins", first_insert).where(F.col("op").isin("insert", "update", "delete"))
-    update, delete = F.col("op") == "update", F.col("op") == "delete"
-    after_insert = F.col("lsn") > F.col("ins")
-    birth = F.col("lsn") == F.col("ins")
+    in_order = whole.orderBy("lsn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_update = F.col("op") == "update"
 
-    def last_set(name: str, counted: Column) -> Column:
-        hit = counted & F.col(name).isNotNull()
-        return F.max(F.when(hit, F.struct("lsn", F.col(name).alias("set"))))["set"]
+    def first_set(name: str) -> Column:
+        return F.first(F.when(is_update, F.col(f"{name}_set")), ignorenulls=True).over(in_order)
+
+    rows = (
+        narrow.where(F.col("op").isin("insert", "update", "delete"))
+        .withColumn("ins", F.min(F.when(F.col("op") == "insert", F.col("lsn"))).over(whole))
+        .withColumn("risk_1", first_set("risk"))
+        .withColumn("status_1", first_set("status"))
+    )
+    is_delete, is_birth = F.col("op") == "delete", F.col("lsn") == F.col("ins")
+    after_insert = F.col("lsn") > F.col("ins")
+    place = F.struct("lsn", "commit_ts")
+
+    def readings(name: str) -> list[Column]:
+        given = F.col(f"{name}_set")
+        update = is_update & given.isNotNull()
+        last = F.struct("lsn", given.alias("set"))
+        other = ~given["v"].eqNullSafe(F.col(f"{name}_1")["v"])
+        return [
+            F.max(F.when(update, last))["set"].alias(f"{name}_any"),
+            F.max(F.when(is_birth | (update & after_insert), last))["set"].alias(f"{name}_after"),
+            F.min(F.when(update, F.struct("lsn", "commit_ts", given.alias("set")))).alias(f"{name}_first"),
+            F.min(F.when(update & other, place)).alias(f"{name}_turn"),
+        ]
 
-    end = F.struct("lsn", "commit_ts")
     return rows.groupBy("client_id", "block").agg(
-        F.min("ins").alias("ins"),
-        F.min(F.when(delete, end)).alias("del_any"),
-        F.min(F.when(delete & after_insert, end)).alias("del_after"),
-        last_set("risk_set", update).alias("risk_any"),
-        last_set("risk_set", birth | (update & after_insert)).alias("risk_after"),
-        last_set("status_set", update).alias("status_any"),
-        last_set("status_set", birth | (update & after_insert)).alias("status_after"),
+        F.min(F.when(is_birth, place)).alias("ins"),
+        F.min(F.when(is_delete, place)).alias("del_any"),
+        F.min(F.when(is_delete & after_insert, place)).alias("del_after"),
+        *readings("risk"),
+        *readings("status"),
     )
 
 
 def _lives(summaries: DataFrame, known: DataFrame) -> DataFrame:
-    """Per (client, block): the client's birth and death, and the state it enters the block with."""
-    all_blocks = Window.partitionBy("client_id")
-    earlier = all_blocks.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    joined = summaries.join(known, "client_id", "left")
+    """Per (client, block): the client's birth and death, the state on entry, and when the next version
+    after this block starts. Ordered per client, but over one row per block."""
+    client = Window.partitionBy("client_id")
+    earlier = client.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    later_blocks = client.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     is_known = F.coalesce(F.col("known"), F.lit(False))
-    born = joined.withColumn(
-        "birth", F.when(is_known, F.lit(_EVER)).otherwise(F.min("ins").over(all_blocks)).cast("long")
-    )
-    here = F.col("birth") == F.col("ins")  # the birth event lies in this block
-    later = is_known | (F.col("block") > F.min(F.when(here, F.col("block"))).over(all_blocks))
+    here = F.col("birth") == F.col("ins.lsn")  # the birth event lies in this block
+    later = is_known | (F.col("block") > F.min(F.when(here, F.col("block"))).over(client))
+    dead_from_start = is_known & F.col("base").isNull()
 
     def pick(name: str) -> Column:
-        return F.when(later, F.col(f"{name}_any")).when(here, F.col(f"{name}_after"))
+        return F.when(F.col("later"), F.col(f"{name}_any")).when(here, F.col(f"{name}_after"))
 
-    placed = (
-        born.withColumn("end", F.when(later, F.col("del_any")).when(here, F.col("del_after")))
-        .withColumn("risk_out", pick("risk"))
-        .withColumn("status_out", pick("status"))
+    def on_entry(name: str) -> Column:
+        return F.coalesce(F.last(pick(name), ignorenulls=True).over(earlier), F.col(f"base.{name}"))
+
+    def first_change(name: str) -> Column:
+        first = F.col(f"{name}_first")
+        differs = ~first["set"]["v"].eqNullSafe(F.col(f"{name}_in")["v"])
+        return F.when(first.isNotNull() & differs, F.struct(first["lsn"].alias("lsn"), first["commit_ts"].alias("commit_ts"))).otherwise(
+            F.col(f"{name}_turn")
+        )
+
+    entered = (
+        summaries.join(known, "client_id", "left")
+        .withColumn("birth", F.when(is_known, F.lit(_EVER)).otherwise(F.min("ins.lsn").over(client)).cast("long"))
+        .withColumn("later", later)
+        .withColumn("end", F.min(pick("del")).over(client))
+        .withColumn("death", F.when(dead_from_start, F.lit(_EVER)).otherwise(F.coalesce("end.lsn", F.lit(_NEVER))))
+        .withColumn("risk_in", on_entry("risk"))
+        .withColumn("status_in", on_entry("status"))
     )
-    dead_from_start = is_known & F.col("base").isNull()
-    death = F.min("end").over(all_blocks)
-    return placed.select(
-        "client_id", "block", "birth",
+    change = F.when(here, F.col("ins")).when(F.col("later"), F.least(first_change("risk"), first_change("status")))
+    return entered.withColumn("change", F.when(change["lsn"] < F.col("death"), change)).select(
+        "client_id", "block", "birth", "death", "risk_in", "status_in", "change",
         F.col("base").isNotNull().alias("has_base"),
-        F.when(dead_from_start, F.lit(_EVER)).otherwise(F.coalesce(death["lsn"], F.lit(_NEVER))).alias("death"),
-        F.when(~dead_from_start, death["commit_ts"]).alias("death_ts"),
-        F.coalesce(F.last("risk_out", ignorenulls=True).over(earlier), F.col("base.risk")).alias("risk_in"),
-        F.coalesce(F.last("status_out", ignorenulls=True).over(earlier), F.col("base.status")).alias("status_in"),
+        F.when(~dead_from_start, F.col("end.commit_ts")).alias("death_ts"),
+        F.first("change.commit_ts", ignorenulls=True).over(later_blocks).alias("next_block_ts"),
     )
 
 
@@ -180,36 +207,29 @@ def apply_events(dim: DataFrame, events: DataFrame, block: int = BLOCK) -> Appli
 
     opened = live.where("opens").select(
         "client_id", "block", F.col("lsn").alias("opened_by_lsn"), F.col("commit_ts").alias("valid_from"),
-        F.col("risk").alias(RISK), F.col("status").alias(STATUS), "is_birth", "death_ts",
+        F.col("risk").alias(RISK), F.col("status").alias(STATUS), "is_birth", "death_ts", "next_block_ts",
     )
-    firsts = opened.groupBy("client_id", "block").agg(F.min(F.struct("opened_by_lsn", "valid_from")).alias("first"))
-    following = Window.partitionBy("client_id").orderBy("block")
-    nexts = firsts.select("client_id", "block", F.lead("first").over(following)["valid_from"].alias("next_block_ts"))
     here = Window.partitionBy("client_id", "block").orderBy("opened_by_lsn")
     next_ts = F.coalesce("next_here", "next_block_ts")
     deleted = next_ts.isNull() & F.col("death_ts").isNotNull()
-    starts = (
-        opened.withColumn("next_here", F.lead("valid_from").over(here))
-        .join(nexts, ["client_id", "block"], "left")
-        .select(
-            "client_id", "opened_by_lsn", RISK, STATUS, "is_birth", "valid_from",
-            F.coalesce(next_ts, F.col("death_ts")).alias("valid_to"),
-            F.coalesce(next_ts, F.col("death_ts")).isNull().alias("is_current"),
-            deleted.alias("is_deleted"),
-            F.when(deleted, F.col("death_ts")).alias("deleted_at"),
-        )
+    starts = opened.withColumn("next_here", F.lead("valid_from").over(here)).select(
+        "client_id", "opened_by_lsn", RISK, STATUS, "is_birth", "valid_from",
+        F.coalesce(next_ts, F.col("death_ts")).alias("valid_to"),
+        F.coalesce(next_ts, F.col("death_ts")).isNull().alias("is_current"),
+        deleted.alias("is_deleted"),
+        F.when(deleted, F.col("death_ts")).alias("deleted_at"),
     )
 
-    first_starts = firsts.groupBy("client_id").agg(F.min("first")["valid_from"].alias("first_ts"))
-    ends = lives.where("has_base").groupBy("client_id").agg(F.min("death_ts").alias("death_ts"))
-    ended = F.col("first_ts").isNull()
+    first_ts = F.col("first")["commit_ts"]
     closures = (
-        ends.join(first_starts, "client_id", "left")
+        lives.where("has_base")
+        .groupBy("client_id")
+        .agg(F.min("change").alias("first"), F.min("death_ts").alias("death_ts"))
         .select(
             "client_id",
-            F.coalesce("first_ts", "death_ts").alias("valid_to"),
-            ended.alias("is_deleted"),
-            F.when(ended, F.col("death_ts")).alias("deleted_at"),
+            F.coalesce(first_ts, F.col("death_ts")).alias("valid_to"),
+            first_ts.isNull().alias("is_deleted"),
+            F.when(first_ts.isNull(), F.col("death_ts")).alias("deleted_at"),
         )
         .where(F.col("valid_to").isNotNull())
     )
