@@ -17,6 +17,7 @@ What crosses a block is one summary row per (client, block), and only those summ
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -195,13 +196,18 @@ def _live_events(placed: DataFrame) -> DataFrame:
     )
 
 
-def apply_events(dim: DataFrame, events: DataFrame, block: int = BLOCK) -> Applied:
+def apply_events(
+    dim: DataFrame, events: DataFrame, block: int = BLOCK, hold: Callable[[DataFrame, str], DataFrame] | None = None
+) -> Applied:
     """Apply ``events`` (unique by LSN, none applied before) on top of ``dim``.
 
-    ``events``: lsn, commit_ts, op, client_id, payload_hash and the images before and after.
+    ``events``: lsn, commit_ts, op, client_id, payload_hash and the images before and after. A caller that
+    needs more than one of the results passes ``hold`` to keep the shared part, e.g. ``session.written``.
     """
     narrow = narrow_events(events, block)
     lives = _lives(_block_summaries(narrow), known_clients(dim))
+    if hold is not None:
+        lives = hold(lives, "lives")
     placed = narrow.join(lives, ["client_id", "block"], "left")
     live = _live_events(placed)
 
