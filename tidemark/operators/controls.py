@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.clock import stamp
+
 
 def unprocessed(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose content no successful batch has processed. Names do not matter, content does."""
@@ -72,3 +76,17 @@ def missing_days(days: DataFrame, delivered: DataFrame, day: str = "date_key") -
 def lineage(facts: DataFrame, table: str, key: Column) -> DataFrame:
     """Where each row came from: source file, batch, target table and key."""
     return facts.select(F.col("file_name").alias("source_file"), "batch_id", F.lit(table).alias("target_table"), key.alias("target_key"))
+
+
+def freshness(arrivals: DataFrame, source: str, arrived_at: str, now: dt.datetime, limit_hours: int = 26) -> DataFrame:
+    """Last arrival per source, its age, and whether it exceeds the limit. Arrival counts, not the business date."""
+    at = stamp(now)
+    last = arrivals.groupBy(source).agg(F.max(arrived_at).alias("last_arrival"))
+
+    def seconds(moment: Column) -> Column:
+        return F.unix_seconds(moment.cast("timestamp"))
+
+    return last.withColumns({
+        "stale": F.col("last_arrival") < at - F.expr(f"interval {limit_hours} hours"),
+        "age_seconds": seconds(at) - seconds(F.col("last_arrival")),
+    })
