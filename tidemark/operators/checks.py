@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .keyed import lookup_join
+
 #: length of the blocks into which a client's history is cut for ordered checks
 TIME_BLOCK = "hour"
 
@@ -98,7 +100,7 @@ def conflicting_inserts(events: DataFrame, dim: DataFrame) -> DataFrame:
         F.try_element_at("after", F.lit("account_status")).alias("event_status"),
     )
     differs = (F.col("event_risk") != F.col("known_risk")) | (F.col("event_status") != F.col("known_status"))
-    return given.join(current, "client_id").where(differs).select(
+    return lookup_join(given, current, ["client_id"], "inner").where(differs).select(
         "lsn", "client_id", "event_risk", "known_risk", "event_status", "known_status"
     )
 
@@ -117,7 +119,7 @@ def cross_source_candidates(warehouse: DataFrame, vendor: DataFrame) -> DataFram
     )
     near = vendor.select("deposit_id", *match, F.explode(F.array(cents - 1, cents, cents + 1)).alias("cents"))
     return (
-        near.join(counted.repartition(*match, "cents"), [*match, "cents"])
+        lookup_join(near, counted, [*match, "cents"], "inner")
         .groupBy("deposit_id")
         .agg(F.sum("n").cast("long").alias("candidates"), F.min("low").alias("first_candidate"))
     )

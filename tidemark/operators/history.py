@@ -202,12 +202,11 @@ def apply_events(
     """Apply ``events`` (unique by LSN, none applied before) on top of ``dim``.
 
     ``events``: lsn, commit_ts, op, client_id, payload_hash and the images before and after. A caller that
-    needs more than one of the results passes ``hold`` to keep the shared part, e.g. ``session.written``.
+    needs more than one of the results passes ``hold`` to keep the shared parts, e.g. ``session.written``.
     """
-    narrow = narrow_events(events, block)
-    lives = _lives(_block_summaries(narrow), known_clients(dim))
-    if hold is not None:
-        lives = hold(lives, "lives")
+    keep = hold or (lambda df, label: df)
+    narrow = keep(narrow_events(events, block), "events")
+    lives = keep(_lives(_block_summaries(narrow), known_clients(dim)), "lives")
     placed = narrow.join(lives, ["client_id", "block"], "left")
     live = _live_events(placed)
 

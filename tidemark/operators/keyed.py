@@ -28,14 +28,19 @@ def earliest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep:
     return _pick(df, keys, order, keep, F.min)
 
 
+_SLICES = 4096
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``rows``, whose key may be badly skewed, to a ``lookup`` that is unique on the key.
 
-    Spark broadcasts the lookup when its measured size allows. Beyond that it is a sort-merge join, in
-    which adaptive execution splits the oversized partitions of ``rows``. It can only do so when both sides
-    end in an exchange of their own, which an aggregated lookup would not, hence the repartition.
+    Spark broadcasts the lookup when its measured size allows. Beyond that it is a sort-merge join, in which
+    adaptive execution splits the oversized partitions of ``rows``. It can do so only if both sides end in a
+    join exchange, and an aggregated lookup would not: it is partitioned by the key already. Joining on a hash
+    of the key as well asks for a new partitioning on both sides and changes nothing in the result.
     """
-    return rows.join(lookup.repartition(*on), list(on), how)
+    part = F.pmod(F.hash(*on), F.lit(_SLICES))
+    return rows.withColumn("_slice", part).join(lookup.withColumn("_slice", part), [*on, "_slice"], how).drop("_slice")
 
 
 def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

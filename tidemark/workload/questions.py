@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.keyed import latest_by
+from ..operators.keyed import latest_by, lookup_join
 from ..plans import analytics
 from . import tables as t
 from .registry import query
@@ -31,16 +31,15 @@ SELECT client_id, observed_at, balance_usd FROM (
 def versions(spark: SparkSession, folder: str) -> DataFrame:
     people = t.clients(spark, folder).select("client_sk", "client_id", "country", "account_type", "account_status")
     first = people.withColumns({"is_deleted": F.lit(False), "valid_from": F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")})
-    # One version per client and view event is what the feed would open; the join side is one row per client.
-    status = F.try_element_at("after", F.lit("account_status"))
-    later = (
-        t.feed(spark, folder).where(F.map_contains_key("after", F.lit("account_status")))
-        .select("client_id", (F.lit(1_000_000_000_000) + F.col("lsn")).alias("client_sk"), status.alias("status"), F.col("commit_ts").alias("valid_from"))
-        .join(people.select("client_id", "country", "account_type"), "client_id")
-        .select(
-            "client_sk", "client_id", "country", "account_type", F.coalesce("status", F.lit("closed")).alias("account_status"),
-            F.col("status").isNull().alias("is_deleted"), "valid_from",
-        )
+    k = F.get_json_object("props", "$.k").cast("int")
+    views = t.table(spark, folder, "events").where("event_type = 'view'").select(
+        F.col("user_id").cast("string").alias("client_id"), (F.lit(1_000_000_000_000) + F.col("event_id")).alias("client_sk"),
+        k.alias("k"), F.col("ts").alias("valid_from"),
+    )
+    status = F.when(F.col("k") < 50, "active").when(F.col("k") < 90, "under_review").otherwise("closed")
+    later = lookup_join(views, people.select("client_id", "country", "account_type"), ["client_id"], "inner").select(
+        "client_sk", "client_id", "country", "account_type", status.alias("account_status"),
+        (F.col("k") >= 90).alias("is_deleted"), "valid_from",
     )
     return first.unionByName(later)
 
@@ -53,13 +52,13 @@ def observed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("client_value", t.with_("clients feed versions latest deposits trades observed latest_balance", """
+@query("client_value", t.with_("clients feed versions latest deposits client_trades observed latest_balance", """
 SELECT c.client_id, c.country, c.account_type, c.account_status, c.is_deleted, b.balance_usd AS latest_cdc_balance_usd,
        CAST(coalesce(d.completed, 0) AS DECIMAL(18,2)) AS completed_deposits_usd, CAST(coalesce(d.fees, 0) AS DECIMAL(18,2)) AS deposit_fees_usd,
        CAST(coalesce(p.pnl, 0) AS DECIMAL(18,2)) AS trading_pnl_usd
 FROM latest c
 LEFT JOIN (SELECT client_id, sum(amount_usd) FILTER (WHERE status = 'completed') AS completed, sum(fee_usd) AS fees FROM deposits GROUP BY client_id) d ON c.client_id = d.client_id
-LEFT JOIN (SELECT client_id, sum(pnl_usd) AS pnl FROM trades GROUP BY client_id) p ON c.client_id = p.client_id
+LEFT JOIN (SELECT client_id, sum(pnl_usd) AS pnl FROM client_trades GROUP BY client_id) p ON c.client_id = p.client_id
 LEFT JOIN latest_balance b ON c.client_id = b.client_id
 WHERE coalesce(d.completed, 0) > 0 OR coalesce(p.pnl, 0) <> 0
 ORDER BY completed_deposits_usd DESC, trading_pnl_usd DESC, c.client_id LIMIT 15"""))
@@ -69,21 +68,21 @@ def client_value(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("country_performance", t.with_("clients feed versions latest deposits trades", """
+@query("country_performance", t.with_("clients feed versions latest deposits client_trades", """
 SELECT c.country, count(DISTINCT c.client_id) AS clients, CAST(sum(coalesce(d.usd, 0)) AS DECIMAL(18,2)) AS completed_deposits_usd,
        CAST(sum(coalesce(p.n, 0)) AS BIGINT) AS trades, CAST(sum(coalesce(p.pnl, 0)) AS DECIMAL(18,2)) AS trading_pnl_usd
 FROM latest c
 LEFT JOIN (SELECT client_id, sum(amount_usd) AS usd FROM deposits WHERE status = 'completed' GROUP BY client_id) d ON c.client_id = d.client_id
-LEFT JOIN (SELECT client_id, count(*) AS n, sum(pnl_usd) AS pnl FROM trades GROUP BY client_id) p ON c.client_id = p.client_id
+LEFT JOIN (SELECT client_id, count(*) AS n, sum(pnl_usd) AS pnl FROM client_trades GROUP BY client_id) p ON c.client_id = p.client_id
 GROUP BY c.country ORDER BY 3 DESC, 5 DESC"""))
 def country_performance(spark: SparkSession, folder: str) -> DataFrame:
     return analytics.country_performance(versions(spark, folder), t.deposits(spark, folder), t.client_trades(spark, folder))
 
 
-@query("instrument_performance", t.with_("trades", """
+@query("instrument_performance", t.with_("instrument_trades", """
 SELECT instrument, count(*) AS trades, CAST(sum(volume_lots) AS DECIMAL(18,4)) AS total_volume_lots, CAST(sum(pnl_usd) AS DECIMAL(18,2)) AS total_pnl_usd,
        round(avg(CAST(pnl_usd AS DOUBLE)), 2) AS average_pnl_usd, round(100.0 * avg(CASE WHEN pnl_usd > 0 THEN 1 ELSE 0 END), 1) AS profitable_trade_pct
-FROM trades GROUP BY instrument ORDER BY total_pnl_usd DESC"""))
+FROM instrument_trades GROUP BY instrument ORDER BY total_pnl_usd DESC"""))
 def instrument_performance(spark: SparkSession, folder: str) -> DataFrame:
     return analytics.instrument_performance(t.instrument_trades(spark, folder))
 

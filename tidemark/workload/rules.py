@@ -92,8 +92,9 @@ def dedup_conflict(spark: SparkSession, folder: str) -> DataFrame:
     """Line items that repeat a key with another content than its first one."""
     keys, content = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"]
     lines = t.table(spark, folder, "lineitem").select(*keys, *content)
+    first = keyed.earliest_by(lines, keys, content)
+    winners = first.select(*keys, hashing.row_digest(first, content).alias("won"))
     hashed = lines.withColumn("row_hash", hashing.row_digest(lines, content))
-    winners = keyed.earliest_by(hashed, keys, content, [*keys, "row_hash"]).withColumnRenamed("row_hash", "won")
     return keyed.lookup_join(hashed, winners, keys).where("row_hash <> won").select(*keys, *content)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import history
+from ..session import written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -98,9 +99,11 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM eve
 
 def feed(spark: SparkSession, folder: str) -> DataFrame:
     """Change events with partial images, one per row of ``events``; a missing image is null."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind, value = F.col("event_type"), F.col("value")
-    amount = value.cast("decimal(18,2)")
+    events = table(spark, folder, "events").withColumns({
+        "k": F.get_json_object("props", "$.k").cast("int"),
+        "amount": F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(18,2)")),
+    })
+    k, kind, value, amount = F.col("k"), F.col("event_type"), F.col("value"), F.col("amount")
     risk = F.when(value < 5, "low").when(value < 20, "medium").otherwise("high")
     status = F.when(k < 50, "active").when(k < 90, "under_review")
 
@@ -122,7 +125,7 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
     before = F.when(
         kind == "purchase", image(history.BALANCE, F.when(k < 30, amount).otherwise((amount + 1).cast("decimal(18,2)")))
     ).when(op == "update", nothing)
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("lsn"), F.col("ts").alias("commit_ts"), op.alias("op"),
         F.col("user_id").cast("string").alias("client_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("payload_hash"),
         before.alias("before"), after.alias("after"),
@@ -201,8 +204,9 @@ def dimension_after(base: DataFrame, applied: history.Applied) -> DataFrame:
 
 
 def full_dimension(spark: SparkSession, folder: str) -> tuple[DataFrame, history.Applied]:
+    """The dimension after the whole feed. Typed events and block summaries are written once and shared."""
     base = base_dimension(spark, folder)
-    applied = history.apply_events(base, feed(spark, folder))
+    applied = history.apply_events(base, feed(spark, folder), hold=written)
     return dimension_after(base, applied), applied
 
 
@@ -230,11 +234,9 @@ def deposits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-CTES["trades"] = """
-SELECT CAST(o_custkey AS VARCHAR) AS client_id, p_brand AS instrument, CAST(l_shipdate AS DATE) AS trade_date,
-       CAST(l_quantity AS DECIMAL(18,4)) AS volume_lots,
-       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(0.5 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2)) * 10) AS DECIMAL(18,2)) AS pnl_usd
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
+_PNL = """CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(0.5 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2)) * 10) AS DECIMAL(18,2)) AS pnl_usd"""
+CTES["client_trades"] = f"SELECT CAST(o_custkey AS VARCHAR) AS client_id, {_PNL} FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+CTES["instrument_trades"] = f"SELECT p_brand AS instrument, CAST(l_quantity AS DECIMAL(18,4)) AS volume_lots, {_PNL} FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
 def _pnl() -> F.Column:
@@ -243,24 +245,16 @@ def _pnl() -> F.Column:
 
 
 def client_trades(spark: SparkSession, folder: str) -> DataFrame:
-    """Trades with their client; the part is only looked up to keep to trades of known instruments."""
-    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"))
     owners = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("client_id")
     )
-    return (
-        table(spark, folder, "lineitem").join(parts, "l_partkey", "left_semi").join(owners, "l_orderkey")
-        .select("client_id", _pnl())
-    )
+    return table(spark, folder, "lineitem").join(owners, "l_orderkey").select("client_id", _pnl())
 
 
 def instrument_trades(spark: SparkSession, folder: str) -> DataFrame:
-    """Trades with their instrument; the order is only looked up to keep to trades of known clients."""
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("instrument"))
-    owners = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    return (
-        table(spark, folder, "lineitem").join(owners, "l_orderkey", "left_semi").join(parts, "l_partkey")
-        .select("instrument", F.col("l_quantity").cast("decimal(18,4)").alias("volume_lots"), _pnl())
+    return table(spark, folder, "lineitem").join(parts, "l_partkey").select(
+        "instrument", F.col("l_quantity").cast("decimal(18,4)").alias("volume_lots"), _pnl()
     )
 
 
