@@ -6,14 +6,21 @@ side. Customers are clients, orders are deposits, line items are trades, events
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import history
 from ..session import written
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A benchmark table. Its schema is looked up in the file once per session, not once per use."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def with_(names: str, body: str) -> str:
@@ -37,26 +44,31 @@ SELECT CAST(c_custkey AS VARCHAR) AS client_id, c_custkey + 1 AS client_sk, c_na
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 
-def clients(spark: SparkSession, folder: str) -> DataFrame:
-    """Signup and profile of every customer."""
-    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+def _people(customers: DataFrame, *others: str) -> DataFrame:
+    """Client attributes that a customer row gives by itself, and the named other columns."""
     balance = F.col("c_acctbal")
-    return (
-        table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-            F.col("c_custkey").cast("string").alias("client_id"),
-            (F.col("c_custkey") + 1).alias("client_sk"),
-            F.col("c_name").alias("full_name"),
-            F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("email"),
-            F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") * 37 % 18000).cast("int")).alias("date_of_birth"),
-            F.col("n_name").alias("country"), F.col("n_name").alias("nationality"), F.col("c_mktsegment").alias("account_type"),
-            F.when(balance < 0, "pending").otherwise("approved").alias("kyc_status"),
-            F.when(balance < 0, "high").when(balance < 5000, "medium").otherwise("low").alias("risk_category"),
-            F.when(F.col("c_mktsegment") == "BUILDING", "suspended").otherwise("active").alias("account_status"),
-            balance.cast("decimal(18,2)").alias("account_balance_usd"),
-        )
+    return customers.select(
+        F.col("c_custkey").cast("string").alias("client_id"),
+        (F.col("c_custkey") + 1).alias("client_sk"),
+        F.col("c_name").alias("full_name"),
+        F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("email"),
+        F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") * 37 % 18000).cast("int")).alias("date_of_birth"),
+        F.col("c_mktsegment").alias("account_type"),
+        F.when(balance < 0, "pending").otherwise("approved").alias("kyc_status"),
+        F.when(balance < 0, "high").when(balance < 5000, "medium").otherwise("low").alias("risk_category"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "suspended").otherwise("active").alias("account_status"),
+        balance.cast("decimal(18,2)").alias("account_balance_usd"),
+        *others,
     )
 
 
+def clients(spark: SparkSession, folder: str) -> DataFrame:
+    """Signup and profile of every customer."""
+    nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country"))
+    people = _people(table(spark, folder, "customer"), "c_nationkey").join(nation, "c_nationkey").drop("c_nationkey")
+    return people.withColumn("nationality", F.col("country"))
+
+
 # The dimension before any event: MACHINERY customers are not in it, FURNITURE customers in debt left in 2023.
 CTES["base"] = """
 SELECT client_sk, client_id, risk_category, account_status,
@@ -69,7 +81,7 @@ FROM (SELECT *, account_type = 'FURNITURE' AND account_balance_usd < 0 AS gone
 
 
 def base_dimension(spark: SparkSession, folder: str) -> DataFrame:
-    people = clients(spark, folder).where("account_type <> 'MACHINERY'")
+    people = _people(table(spark, folder, "customer")).where("account_type <> 'MACHINERY'")
     gone = (F.col("account_type") == "FURNITURE") & (F.col("account_balance_usd") < 0)
     end = F.when(gone, F.lit("2023-12-31 00:00:00")).cast("timestamp_ntz")
     return people.select(
