@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import stamp
+from .keyed import absent_from
 
 
 def unprocessed(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def manifest_rows(counts: DataFrame, source: str, batch_id: Column, at: Column)
 def unapplied(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """Events to apply: one row per LSN, none of them in the ledger. Copies within a delivery are equal
     (conflicts are refused before), so any one of them will do."""
-    return events.dropDuplicates(["lsn"]).join(ledger.select("lsn"), "lsn", "left_anti")
+    return absent_from(events.dropDuplicates(["lsn"]), ledger, ["lsn"], events)
 
 
 def feed_counters(seen: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -43,10 +43,22 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     return rows.withColumn("_slice", part).join(lookup.withColumn("_slice", part), [*on, "_slice"], how).drop("_slice")
 
 
+def absent_from(rows: DataFrame, target: DataFrame, keys: Sequence[str], candidates: DataFrame | None = None) -> DataFrame:
+    """The rows whose key ``target`` does not hold.
+
+    The target is cut down to the keys in question first. An anti join could only broadcast or shuffle all of
+    it; the semi join broadcasts the keys of a small batch instead, and shuffles the target only for a large one.
+    ``candidates`` may name a cheaper source of the keys of ``rows``.
+    """
+    asked = (rows if candidates is None else candidates).select(*keys).distinct()
+    held = target.select(*keys).join(asked, list(keys), "left_semi")
+    return rows.join(held, list(keys), "left_anti")
+
+
 def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows to append: the first writer of every key that ``target`` does not hold yet."""
     first = earliest_by(incoming, keys, order)
-    return first.join(target.select(*keys), list(keys), "left_anti").select(*incoming.columns)
+    return absent_from(first, target, keys, incoming).select(*incoming.columns)
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], updated: Sequence[str]) -> DataFrame:

@@ -95,6 +95,8 @@ def judge_vendor_rows(raw: DataFrame, current_clients: DataFrame, staged: DataFr
         {f"t_{c}": c for c in [*VENDOR_NUMBERS, "deposit_date"]}
     )
     hashed = canonical.withColumn("row_hash", row_digest(canonical, VENDOR_HASH_FIELDS))
+    if staged is not None:  # only the deposits that came again matter
+        staged = staged.join(raw.select("deposit_id").distinct(), "deposit_id", "left_semi")
     return _settle_duplicates(hashed, staged)
 
 

@@ -62,6 +62,6 @@ def base_at(dim: DataFrame, affected: DataFrame, low: dt.datetime) -> DataFrame:
 
 def late_clients(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """Clients for whom an event arrived below an LSN that has been applied already, with the lowest such LSN."""
-    applied = ledger.groupBy("client_id").agg(F.max("lsn").alias("applied_lsn"))
     first_new = events.groupBy("client_id").agg(F.min("lsn").alias("from_lsn"))
-    return first_new.join(applied, "client_id").where("from_lsn < applied_lsn").select("client_id", "from_lsn")
+    overtaken = lookup_join(ledger.select("client_id", "lsn"), first_new, ["client_id"], "inner").where("lsn > from_lsn")
+    return overtaken.select("client_id", "from_lsn").distinct()

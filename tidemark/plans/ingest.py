@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -74,14 +74,13 @@ def load_core(batch: Batch, folder: str, history_start: str = dims.HISTORY_START
         dim = batch.table("dim_client")
         first = dims.bootstrap_clients(batch.table("stg_client_signup"), batch.table("stg_client_profile"), dim, history_start)
         batch.append("dim_client", dims.number_clients(first.withColumns(audit), dims.top_key(dim)))
-        dim = batch.table("dim_client")
-        named = batch.table("stg_client_deposit").select("client_id").unionByName(
-            batch.table("stg_client_trades").select("client_id")
-        )
-        placeholders = dims.inferred_clients(named, dim, history_start)
-        batch.append("dim_client", dims.number_clients(placeholders.withColumns(audit), dims.top_key(dim)))
     dim = batch.table("dim_client")
     deposits, trades = landed["client_deposit"][1], landed["client_trades"][1]
+    named = [new.select("client_id") for new in (deposits, trades) if new is not None]
+    if named:
+        placeholders = dims.inferred_clients(reduce(DataFrame.unionByName, named), dim, history_start)
+        batch.append("dim_client", dims.number_clients(placeholders.withColumns(audit), dims.top_key(dim)))
+        dim = batch.table("dim_client")
     if deposits is not None:
         facts = dims.with_client_key(deposits, dim).withColumns({
             "source_system": F.lit("warehouse"), "reconciliation_status": F.lit("CANONICAL_WAREHOUSE"), **audit,

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import CLUSTERING, TABLES, conform, empty
 
-_PUBLICATION = "seq long, batch_id string, parts map<string,array<string>>, published_at timestamp"
+_PUBLICATION = (
+    "seq long, batch_id string, changes array<struct<table_name:string,part:string,replaces:boolean>>, published_at timestamp"
+)
 
 
 class Warehouse:
@@ -35,9 +37,19 @@ class Warehouse:
             return self.spark.createDataFrame([], _PUBLICATION)  # nothing published yet
 
     def latest(self) -> tuple[int, dict[str, list[str]]]:
-        """Number and parts of the publication in force, (0, {}) before the first one."""
-        row = self._publications().orderBy(F.desc("seq")).limit(1).collect()
-        return (row[0].seq, dict(row[0].parts)) if row else (0, {})
+        """Number of the publication in force and the parts of every table, (0, {}) before the first one.
+
+        A publication lists only what it changed. A table's parts are those since it was last replaced.
+        """
+        changes = self._publications().select("seq", F.posexplode("changes").alias("pos", "c")).select("seq", "pos", "c.*")
+        replaced = changes.where("replaces").groupBy("table_name").agg(F.max("seq").alias("since"))
+        live = changes.join(replaced, "table_name", "left").where("since is null or seq >= since")
+        parts: dict[str, list[str]] = {}
+        seq = 0
+        for row in live.orderBy("seq", "pos").collect():  # names of folders
+            parts.setdefault(row.table_name, []).append(row.part)
+            seq = max(seq, row.seq)
+        return seq, parts
 
     def published(self, batch_id: str) -> bool:
         return not self._publications().where(F.col("batch_id") == batch_id).isEmpty()
@@ -68,8 +80,9 @@ class Batch:
 
     def __init__(self, warehouse: Warehouse, batch_id: str):
         self.warehouse, self.batch_id, self.spark = warehouse, batch_id, warehouse.spark
-        self.seq, published = warehouse.latest()
-        self.parts = {name: list(parts) for name, parts in published.items()}
+        self.seq, self.parts = warehouse.latest()
+        self.replaced: set[str] = set()
+        self.added: dict[str, list[str]] = {}
         self.at: Column = F.lit(
             self.spark.sql("select cast(convert_timezone('UTC', current_timestamp()) as string) as now").first().now
         ).cast("timestamp_ntz")
@@ -85,15 +98,19 @@ class Batch:
         """Add rows to a table; returns them as written."""
         part = self.warehouse.write_part(name, rows, self.batch_id)
         self.parts.setdefault(name, []).append(part)
+        self.added.setdefault(name, []).append(part)
         return self.warehouse.read(name, [part])
 
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
         """Put a new table in place of the old one, whose files stay for readers of older publications."""
-        self.parts[name] = [self.warehouse.write_part(name, rows, self.batch_id)]
+        part = self.warehouse.write_part(name, rows, self.batch_id)
+        self.parts[name], self.added[name] = [part], [part]
+        self.replaced.add(name)
         return self.table(name)
 
     def publish(self) -> None:
-        row = self.spark.createDataFrame(
-            [(self.seq + 1, self.batch_id, self.parts, None)], _PUBLICATION
-        ).withColumn("published_at", F.current_timestamp())
-        row.coalesce(1).write.mode("append").parquet(f"{self.warehouse.root}/publications")
+        changes = [(name, part, name in self.replaced) for name, parts in self.added.items() for part in parts]
+        row = self.warehouse.spark.createDataFrame([(self.seq + 1, self.batch_id, changes, None)], _PUBLICATION)
+        row.withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
+            f"{self.warehouse.root}/publications"
+        )
