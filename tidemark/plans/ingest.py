@@ -6,7 +6,7 @@ import datetime as dt
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..operators import dims, quality
 from ..operators.controls import manifest_rows, unprocessed
@@ -22,6 +22,7 @@ from .publish import Batch, Warehouse
 # Names of the delivered files.
 VENDOR_PATTERN = "deposits_vendor_*.csv"
 CHANGE_FEED = "client_profile_changes.jsonl"
+CORE_PATTERN = "client_*.json"
 CORE_FILES = tuple(f"{name}.json" for name in SNAPSHOT_FIELDS)
 
 
@@ -29,53 +30,52 @@ def new_batch_id() -> str:
     return f"batch_{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%SZ}_{uuid.uuid4().hex[:6]}"
 
 
-def _to_do(batch: Batch, folder: str, pattern: str) -> tuple[DataFrame, list[str]]:
-    """Files not processed yet, and their paths. Only names and hashes come to the driver."""
+def _to_do(batch: Batch, folder: str, pattern: str) -> list[Row]:
+    """Files not processed yet, by name; of equal contents only the first. Only names, paths and hashes
+    come to the driver."""
     found = unprocessed(files.discover(batch.spark, folder, pattern), batch.table("ingestion_file_manifest"))
-    rows = found.orderBy("file_name").collect()
-    todo = batch.spark.createDataFrame(rows, found.schema)
-    return todo, [r.file_path for r in rows]
+    by_content: dict[str, Row] = {}
+    for file in found.select("file_name", "file_path", "file_hash").orderBy("file_name").collect():
+        by_content.setdefault(file.file_hash, file)
+    return list(by_content.values())
 
 
-def _land_snapshot(batch: Batch, folder: str, name: str) -> tuple[int, DataFrame | None]:
-    """Land and stage one snapshot; returns the rows landed and the rows new to staging."""
-    todo, paths = _to_do(batch, folder, f"{name}.json")
-    if not paths:
-        return 0, None
+def _as_table(batch: Batch, todo: list[Row]) -> DataFrame:
+    return batch.spark.createDataFrame(todo, "file_name string, file_path string, file_hash string")
+
+
+def _land_snapshot(batch: Batch, name: str, file: Row) -> tuple[int, DataFrame]:
+    """Land and stage one snapshot; returns the number of rows landed and the rows new to staging."""
     key, fields = SNAPSHOT_KEYS[name], SNAPSHOT_FIELDS[name]
-    if name == "client_deposit":
-        rows = snapshots.with_fallback(
-            snapshots.read_snapshot(batch.spark, paths, fields, ("credit_card",)), "payment_method", "credit_card"
-        )
-    else:
-        rows = snapshots.read_snapshot(batch.spark, paths, fields)
-    hashes = todo.select("file_path", "file_hash")
-    landed = written(
-        rows.join(hashes, "file_path").withColumns({"batch_id": batch.id, "landed_at": batch.at}), f"raw-{name}"
-    )
+    extra = ("credit_card",) if name == "client_deposit" else ()
+    rows = snapshots.read_snapshot(batch.spark, [file.file_path], fields, extra)
+    if extra:
+        rows = snapshots.with_fallback(rows, "payment_method", "credit_card")
+    lineage = {"file_hash": F.lit(file.file_hash), "batch_id": batch.id, "landed_at": batch.at}
+    landed = written(rows.withColumns(lineage), f"raw-{name}")
     batch.append(f"raw_{name}", insert_if_absent(batch.table(f"raw_{name}"), landed, ["file_hash", key], ["row_num"]))
     staged = snapshots.typed(landed, name, batch.id, batch.at)
-    new = insert_if_absent(batch.table(f"stg_{name}"), staged, [key], ["file_name", "row_num"])
-    new = written(new, f"new-{name}")
+    new = written(insert_if_absent(batch.table(f"stg_{name}"), staged, [key], ["file_name", "row_num"]), f"new-{name}")
     batch.append(f"stg_{name}", new)
-    counts = todo.join(landed.groupBy("file_hash").agg(F.count("*").alias("rows_landed")), "file_hash", "left").select(
-        "file_hash", "file_name", F.coalesce("rows_landed", F.lit(0)).alias("rows_landed"),
-        F.coalesce("rows_landed", F.lit(0)).alias("rows_staged"), F.lit(0).alias("rows_quarantined"),
-    )
-    batch.append("ingestion_file_manifest", manifest_rows(counts, "warehouse", batch.id, batch.at))
     return landed.count(), new
 
 
 def load_core(batch: Batch, folder: str, history_start: str = dims.HISTORY_START) -> dict[str, int]:
     """Snapshots into raw, staging, dimension and facts. Returns rows landed per snapshot."""
-    landed = {name: _land_snapshot(batch, folder, name) for name in SNAPSHOT_FIELDS}
+    todo = {file.file_name.removesuffix(".json"): file for file in _to_do(batch, folder, CORE_PATTERN)}
+    landed = {name: _land_snapshot(batch, name, todo[name]) for name in SNAPSHOT_FIELDS if name in todo}
     audit = {"batch_id": batch.id, "created_at": batch.at}
-    if any(count for count, _ in landed.values()):
+    if landed:
+        counts = [(todo[n].file_hash, todo[n].file_name, rows, rows, 0) for n, (rows, _) in landed.items()]
+        names = "file_hash string, file_name string, rows_landed long, rows_staged long, rows_quarantined long"
+        manifest = manifest_rows(batch.spark.createDataFrame(counts, names), "warehouse", batch.id, batch.at)
+        batch.append("ingestion_file_manifest", manifest)
+    if "client_signup" in landed or "client_profile" in landed:
         dim = batch.table("dim_client")
         first = dims.bootstrap_clients(batch.table("stg_client_signup"), batch.table("stg_client_profile"), dim, history_start)
         batch.append("dim_client", dims.number_clients(first.withColumns(audit), dims.top_key(dim)))
     dim = batch.table("dim_client")
-    deposits, trades = landed["client_deposit"][1], landed["client_trades"][1]
+    deposits, trades = (landed[n][1] if n in landed else None for n in ("client_deposit", "client_trades"))
     named = [new.select("client_id") for new in (deposits, trades) if new is not None]
     if named:
         placeholders = dims.inferred_clients(reduce(DataFrame.unionByName, named), dim, history_start)
@@ -90,22 +90,23 @@ def load_core(batch: Batch, folder: str, history_start: str = dims.HISTORY_START
     if trades is not None:
         facts = dims.with_instrument_key(dims.with_client_key(trades, dim), batch.table("dim_instrument")).withColumns(audit)
         batch.append("fact_trade", insert_if_absent(batch.table("fact_trade"), facts, ["trade_id"], ["file_name", "row_num"]))
-    return {name: count for name, (count, _) in landed.items()}
+    return {name: landed[name][0] if name in landed else 0 for name in SNAPSHOT_FIELDS}
 
 
 def load_vendor(batch: Batch, folder: str) -> dict[str, object]:
     """The vendor files not processed yet. A header that drifted fails the batch, a bad row does not."""
-    todo, paths = _to_do(batch, folder, VENDOR_PATTERN)
+    todo = _to_do(batch, folder, VENDOR_PATTERN)
     seen = files.listed(batch.spark, folder, VENDOR_PATTERN).count()
     metrics: dict[str, object] = {
-        "files_seen": seen, "files_processed": len(paths), "files_skipped": seen - len(paths),
+        "files_seen": seen, "files_processed": len(todo), "files_skipped": seen - len(todo),
         "rows_landed": 0, "rows_staged": 0, "rows_quarantined": 0, "duplicates_skipped": 0, "drift_warnings": [],
     }
-    if not paths:
+    if not todo:
         return metrics
-    rows, metrics["drift_warnings"] = vendor.read_vendor(batch.spark, paths)
+    table = _as_table(batch, todo)
+    rows, metrics["drift_warnings"] = vendor.read_vendor(batch.spark, [file.file_path for file in todo])
     landed = written(
-        rows.join(todo.select("file_path", "file_hash"), "file_path")
+        rows.join(table.select("file_path", "file_hash"), "file_path")
         .withColumns({"batch_id": batch.id, "landed_at": batch.at}), "raw-vendor",
     )
     batch.append("raw_vendor_deposit", insert_if_absent(
@@ -124,7 +125,7 @@ def load_vendor(batch: Batch, folder: str) -> dict[str, object]:
         judged.where("verdict is not null"), "vendor", F.col("file_name"), F.col("deposit_id"),
         F.concat_ws(":", "file_hash", "row_num"), F.col("raw_payload"), batch.id, batch.at))
     per_file = quality.row_accounting(judged, ["file_hash"]).drop("balanced")
-    counts = todo.join(per_file, "file_hash", "left").fillna(0)
+    counts = table.join(per_file, "file_hash", "left").fillna(0)
     batch.append("ingestion_file_manifest", manifest_rows(counts, "vendor", batch.id, batch.at))
     metrics.update(quality.row_accounting(judged).drop("balanced").first().asDict())
     return metrics
