@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .keyed import lookup_join
+from .numbering import in_order
 
-#: length of the blocks into which a client's history is cut for ordered checks
-TIME_BLOCK = "hour"
+_VERSION = ("client_id", "client_sk", "valid_from", "valid_to")
 
 
-def _running(df: DataFrame, block: Column, order: Sequence[str], value: Column, best) -> tuple[DataFrame, Column]:
-    """``value`` aggregated over all earlier rows of the client, in two levels.
+def _with_earlier(dim: DataFrame, value: Column, best: Callable[[Column | str], Column]) -> DataFrame:
+    """Versions with ``earlier``: ``value`` aggregated over all versions of the client that start before.
 
-    Windows over rows run per (client, block); windows per client run over one summary per block.
+    The versions are sorted into parts of bounded size. Windows over versions run per (client, part), windows
+    per client only over one summary per part, so that no client's history is ever in one task.
     """
-    blocked = df.withColumn("_block", block)
-    sums = blocked.groupBy("client_id", "_block").agg(best(value).alias("_value"))
-    before = Window.partitionBy("client_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select("client_id", "_block", best("_value").over(before).alias("_carried"))
-    within = Window.partitionBy("client_id", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = blocked.withColumn("_within", best(value).over(within)).join(carried, ["client_id", "_block"])
-    return joined, F.greatest("_within", "_carried")
+    versions = in_order(dim.select(*_VERSION), ["client_id", "valid_from", "client_sk"])
+    sums = versions.groupBy("client_id", "_part").agg(best(value).alias("_sum"))
+    before = Window.partitionBy("client_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("client_id", "_part", best("_sum").over(before).alias("_carried"))
+    within = Window.partitionBy("client_id", "_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    joined = versions.withColumn("_within", best(value).over(within)).join(carried, ["client_id", "_part"])
+    return joined.select(*_VERSION, F.greatest("_within", "_carried").alias("earlier"))
 
 
 def overlapping_versions(dim: DataFrame) -> DataFrame:
@@ -32,22 +33,16 @@ def overlapping_versions(dim: DataFrame) -> DataFrame:
     Linear in the number of versions: an overlap exists exactly where a start lies before the latest end so far.
     """
     forever = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-    rows, reach = _running(
-        dim, F.date_trunc(TIME_BLOCK, F.col("valid_from")), ["valid_from", "client_sk"], F.coalesce("valid_to", forever), F.max
-    )
-    return rows.where(reach > F.col("valid_from")).select("client_id", "client_sk", "valid_from", "valid_to")
+    return _with_earlier(dim, F.coalesce("valid_to", forever), F.max).where("earlier > valid_from").select(*_VERSION)
 
 
 def history_gaps(dim: DataFrame) -> DataFrame:
     """Versions that do not start where the version before them ended."""
-    rows, last = _running(
-        dim, F.date_trunc(TIME_BLOCK, F.col("valid_from")), ["valid_from", "client_sk"],
-        F.struct("valid_from", "client_sk", "valid_to"), F.max,
+    rows = _with_earlier(dim, F.struct("valid_from", "client_sk", "valid_to"), F.max).where("earlier is not null")
+    previous = F.col("earlier.valid_to")
+    return rows.where(~previous.eqNullSafe(F.col("valid_from"))).select(
+        "client_id", "client_sk", previous.alias("previous_end"), "valid_from"
     )
-    previous = last["valid_to"]
-    return rows.withColumn("previous_end", previous).where(
-        last.isNotNull() & ~F.col("previous_end").eqNullSafe(F.col("valid_from"))
-    ).select("client_id", "client_sk", "previous_end", "valid_from")
 
 
 def backward_versions(dim: DataFrame) -> DataFrame:

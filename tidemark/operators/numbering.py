@@ -11,20 +11,28 @@ from ..session import written
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row within the partition below
 
 
-def dense_number(df: DataFrame, order: Sequence[str], name: str, start: Column | int = 0) -> DataFrame:
-    """Number the rows ``start + 1, start + 2, ...`` in ``order``, which must be unique.
+def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` range partitioned and sorted by ``order``, written once, with its place: ``_part`` and ``_slot``.
 
-    The rows are range partitioned, sorted within partitions and written once. The write freezes the
-    partition bounds (a second evaluation could sample others), and the offsets are running sums over one
-    count per partition. Nothing but that list of counts is ever in one place.
+    A part is a run of consecutive rows whose size Spark bounds by sampling; a key that holds a third of the
+    rows spans many parts if ``order`` goes on after the key. The write freezes the bounds, which a second
+    evaluation could sample differently.
     """
-    first = F.lit(start) if isinstance(start, int) else start
     ranged = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )
-    slots = written(ranged, "numbered").withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
+    return written(ranged, "ordered").withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
+
+
+def dense_number(df: DataFrame, order: Sequence[str], name: str, start: Column | int = 0) -> DataFrame:
+    """Number the rows ``start + 1, start + 2, ...`` in ``order``, which must be unique.
+
+    The offsets are running sums over one count per part. Nothing but that list of counts is ever in one place.
+    """
+    first = F.lit(start) if isinstance(start, int) else start
+    slots = in_order(df, order)
     counts = slots.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

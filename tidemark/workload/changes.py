@@ -6,11 +6,9 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import checks, controls, history, replay
-from ..plans import analytics
+from ..operators import checks, controls, dims, history, replay
 from ..plans.publish import Warehouse
 from ..session import scratch_path, written
-from ..sources.changes import parse_events
 from ..streaming import changes as streaming
 from . import tables as t
 from .registry import query
@@ -252,8 +250,6 @@ FROM (SELECT unnest(generate_series(min(CAST(l_shipdate AS DATE)), max(CAST(l_sh
 WHERE CAST(d AS DATE) NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R')""")
 def missing_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     """Days of the calendar without a large return."""
-    from ..operators import dims
-
     lines = t.table(spark, folder, "lineitem")
     span = lines.agg(F.min("l_shipdate").alias("low"), F.max("l_shipdate").alias("high"))
     days = dims.calendar(spark, F.col("low"), F.col("high"), span)
