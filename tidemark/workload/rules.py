@@ -89,13 +89,13 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice)) f
 WHERE l_partkey <> p OR l_suppkey <> s OR l_extendedprice <> e""")
 def dedup_conflict(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items that repeat a key with another content than its first one."""
+    """Line items that repeat a key with another content than its first one. The values are at hand, so they
+    are compared as they are; hashes stand in for them only where rows of different batches meet."""
     keys, content = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"]
     lines = t.table(spark, folder, "lineitem").select(*keys, *content)
     first = keyed.earliest_by(lines, keys, content)
-    winners = first.select(*keys, hashing.row_digest(first, content).alias("won"))
-    hashed = lines.withColumn("row_hash", hashing.row_digest(lines, content))
-    return keyed.lookup_join(hashed, winners, keys).where("row_hash <> won").select(*keys, *content)
+    winners = first.select(*keys, F.struct(*content).alias("won"))
+    return keyed.lookup_join(lines, winners, keys).where(F.struct(*content) != F.col("won")).select(*keys, *content)
 
 
 @query("quarantine_records", t.with_(t.VENDOR, """
