@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common
+from tidemark.llm import bpe, common, exact_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op5_sum_of_squares_packing")
+def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place, ids as their CRC-32."""
+    pieces = packing.pack(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op8_exact_dedup", """
+    WITH plain AS (
+        SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS text FROM documents
+    )
+    SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = min(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+    FROM plain WINDOW same AS (PARTITION BY text)
+""")
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document, dropped ones too."""
+    groups = exact_dedup.groups_of(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
