@@ -64,16 +64,3 @@ def held_out(doc_id: str = "doc_id"):
     """True for the fifth of all documents that no classifier learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
-
-class Cache(dict):
-    """Word -> value, made once per worker by ``make`` and forgotten all at once when ``limit`` words are held."""
-
-    def __init__(self, make, limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, word):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = self.make(word)
-        return value

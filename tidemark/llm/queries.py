@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, exact_dedup, packing
+from tidemark.llm import bpe, common, exact_dedup, license_scan, line_dedup, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,80 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every document, dropped ones too."""
     groups = exact_dedup.groups_of(common.table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op6_warc_archive", """
+    WITH body AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, coalesce(html, '') AS html FROM pages
+    ), named AS (
+        SELECT page_id, payload_bytes, html, sha1(encode(html)) AS hex,
+               min(page_id) OVER (PARTITION BY html) AS first_id
+        FROM body
+    )
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda k:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+                   (CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM named
+""")
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as an archive, then read it back: one row per record."""
+    folder = common.Scratch(spark, "warc").root
+    warc.write_archive(common.table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
+    return warc.inventory(spark, folder).select(
+        "page_id", F.col("n").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+def _license_sql() -> str:
+    """Brute force: every block against every template."""
+    rows = ", ".join(f"('{label}', {license_scan._distinct(phrase)})" for label, phrase in license_scan.TEMPLATES)
+    phrases = ", ".join(f"({phrase.split()}, '{label}')" for phrase, label in license_scan.PHRASES.items())
+    size, step = license_scan.BLOCK, license_scan.BLOCK // 2
+    return f"""
+    WITH templates(label, t) AS (VALUES {rows}), phrases(p, label) AS (VALUES {phrases}),
+    cut AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    ), places AS (
+        SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM cut, phrases
+    ), base AS (
+        SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS l FROM places GROUP BY doc_id
+    ), blocks AS (
+        SELECT doc_id, unnest(list_transform(range(1 + greatest(0, CAST(ceil((len(w) - {size}) / {step}.0) AS BIGINT))),
+                                             lambda k: w[k * {step} + 1 : k * {step} + {size}])) AS b FROM cut
+    ), hits AS (
+        SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS c FROM blocks, templates
+        WHERE len(list_intersect(t, b)) >= {license_scan.THRESHOLD} * len(t)
+    ), more AS (SELECT doc_id, list(DISTINCT label) AS l, max(c) AS c FROM hits GROUP BY doc_id)
+    SELECT cut.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
+           coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(list_concat(base.l, more.l))), ','), '') AS labels,
+           CAST(CASE WHEN n > 0 THEN 1 ELSE coalesce(c, 0) END AS DOUBLE) AS score
+    FROM cut LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+    """
+
+
+@query("op9_license_scan", _license_sql())
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, labels and scores of every whole text."""
+    return license_scan.scan(common.table(spark, sf_dir, "documents", "doc_id", "text")).drop("blocks")
+
+
+@query("op10_line_dedup", """
+    WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+    windows AS (
+        SELECT doc_id, i, l[i + 1 : i + 3] AS w FROM (SELECT doc_id, l, unnest(range(len(l) - 2)) AS i FROM cut WHERE len(l) > 2)
+    ), later AS (
+        SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1
+    ), gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM later) GROUP BY doc_id)
+    SELECT doc_id,
+           CASE WHEN g IS NULL THEN text
+                ELSE array_to_string(list_transform(list_filter(range(len(l)), lambda i: NOT list_contains(g, i)), lambda i: l[i + 1]), chr(10)) END AS text,
+           CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed
+    FROM cut LEFT JOIN gone USING (doc_id)
+""")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated passages."""
+    return line_dedup.dedup_lines(common.table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
