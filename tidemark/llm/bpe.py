@@ -13,6 +13,7 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -91,28 +92,18 @@ class Codec:
         self.vocabulary = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.vocabulary))
         self.matches = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.limit = 400_000  # pieces held per worker; tens of MB
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces not met before: all their pre-tokens in one call of the model."""
-        matches = [self.matches(piece) for piece in new]
-        ids = iter(self.model.encode([spelt(m.encode()) for found in matches for m in found], num_threads=1))
-        for piece, found in zip(new, matches):
-            joined = [i for _ in found for i in next(ids)]
-            self.known[piece] = struct.pack(f"<{len(joined)}I", *joined)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; a null text has none."""
-        cut = tokens.pieces(text or "")
-        try:
-            return b"".join(map(self.known.__getitem__, cut))
-        except KeyError:
-            new = set(cut) - self.known.keys()
-            if len(self.known) + len(new) > self.limit:
-                self.known, new = {}, set(cut)
-            self._learn(list(new))
-            return b"".join(map(self.known.__getitem__, cut))
+        self.encode = tokens.Known(self._ids_of).encode
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as little-endian unsigned 32-bit integers: all pre-tokens in one call of the model."""
+        found = [self.matches(piece) for piece in pieces]
+        # 0xFF never occurs in UTF-8, so it can hold the pre-tokens apart while they are respelt
+        spelt_all = spelt(b"\xff".join(m.encode() for matches in found for m in matches)).split(_SPELLING[255])
+        ids = self.model.encode(spelt_all, num_threads=1) if pieces else []
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = list(accumulate(map(len, ids), initial=0))
+        firsts = list(accumulate(map(len, found), initial=0))
+        return [flat[4 * ends[a] : 4 * ends[b]] for a, b in pairwise(firsts)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -131,7 +122,7 @@ def encode(text: Column, path: str = MULTI, pattern: str = public_tokenizers.PAT
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
         for batch in batches:
-            yield pa.array([own.encode(text) for text in batch.to_pylist()], pa.binary())
+            yield pa.array([own.encode(text or "") for text in batch.to_pylist()], pa.binary())
 
     return ids(text)
 

@@ -42,14 +42,10 @@ class Tokens:
             ranks = {base64.b64decode(text): int(rank) for text, rank in map(bytes.split, filter(bytes.strip, lines))}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        def encode(piece: str) -> bytes:
-            ids = own.encode_ordinary(piece)
-            return struct.pack(f"<{len(ids)}I", *ids)
+        def encode(pieces: list[str]) -> list[bytes]:
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(own.encode_ordinary, pieces)]
 
-        self.known = common.Cache(encode)
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, tokens.pieces(text)))
+        self.encode = tokens.Known(encode).encode
 
 
 @lru_cache(maxsize=2)
