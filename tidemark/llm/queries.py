@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, exact_dedup, license_scan, line_dedup, packing, warc
+from tidemark.llm import bpe, common, exact_dedup, jaccard, langid, license_scan, line_dedup, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,42 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages."""
     return line_dedup.dedup_lines(common.table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
+#: A score below this is low quality.
+QUALITY_LINE = 0.3
+
+
+def learned_quality(documents: DataFrame, sf_dir: str) -> quality.Model:
+    """The quality model of a folder: labels of held-out documents are not looked at."""
+    labels = common.table(documents.sparkSession, sf_dir, "labels", "doc_id", "quality")
+    return quality.fit(documents, labels.where(~common.held_out() & F.col("doc_id").isNotNull()))
+
+
+@query("op4_quality_votes")
+def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every whole text."""
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = quality.score(docs, learned_quality(docs, sf_dir))
+    return scored.select(
+        "doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_LINE).cast("int").alias("predicted"))
+
+
+def learned_languages(documents: DataFrame) -> langid.Model:
+    """The language model of a table: held-out documents are not looked at."""
+    return langid.fit(documents.where(~common.held_out()))
+
+
+@query("op7_language_centroids")
+def op7_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    judged = langid.identify(docs.select("doc_id", "text"), learned_languages(docs))
+    return judged.select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score", "distance", "rejected")
+
+
+@query("op2_parity_jaccard")
+def op2_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a similarity of 90 % on three-word shingles."""
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard.linked(docs, size=3, percent=90).select("doc_id", "n_shingles", "component_id")
