@@ -114,7 +114,8 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         if blocks - len(used) > spare:
             missing = np.setdiff1d(np.arange(blocks, dtype=np.uint64), used)
             used, parity = np.concatenate([used, missing]), np.concatenate([parity, np.zeros(len(missing), np.uint64)])
-        out.append(_mixed(parity ^ _mixed((used + np.uint64(1)) * _ODD[1] + np.uint64(at) * _ODD[2])))
+        place = (used + np.uint64(1)) * _ODD[1] + np.full(1, at, np.uint64) * _ODD[2]
+        out.append(_mixed(parity ^ _mixed(place)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

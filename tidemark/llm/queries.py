@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, exact_dedup, jaccard, langid, license_scan, line_dedup, packing, quality, warc
+from tidemark.llm import ann, bpe, common, exact_dedup, jaccard, langid, license_scan, line_dedup, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,9 @@ def op2_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with a similarity of 90 % on three-word shingles."""
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     return jaccard.linked(docs, size=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_learned_partitions")
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth id."""
+    return ann.search(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
