@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,7 @@ PER_SALT = 512
 _BLANKS = b" \t\n\r\x0b\x0c"
 _CHUNKS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "s1", "s2")]))
 _MADE = T.StructType([
-    T.StructField("n_bytes", T.LongType()), T.StructField("chunks", _CHUNKS),
-    T.StructField("text_sha256", T.StringType()), T.StructField("plain", T.StringType()),
+    T.StructField("n_bytes", T.LongType()), T.StructField("chunks", _CHUNKS), T.StructField("text_sha256", T.StringType()),
 ])
 
 
@@ -72,34 +71,68 @@ def _combined(which: int, modulus: int):
     )
 
 
-def fingerprints(docs: DataFrame, text: str = "text", moduli: tuple = MODULI, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``f1``, ``f2``, ``n_bytes``, ``text_sha256`` and ``plain`` (the normalised text) instead of the text."""
-    common.bounded_batches(docs.sparkSession)
+def fingerprints(text: Column, moduli: tuple = MODULI, chunk: int = CHUNK) -> Column:
+    """n_bytes, chunks (their hashes and shifts) and text_sha256 of a normalised text, as a struct."""
 
     @F.arrow_udf(_MADE)
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([
+            ("n_bytes", pa.int64()), ("chunks", pa.list_(pa.struct([(n, pa.int64()) for n in ("h1", "h2", "s1", "s2")]))),
+            ("text_sha256", pa.string()),
+        ])
         for batch in batches:
             rows = []
             for value in batch.to_pylist():
                 data = normalised((value or "").encode())
                 chunks = [dict(zip(("h1", "h2", "s1", "s2"), c)) for c in chunk_hashes(data, moduli, chunk)]
-                rows.append({"n_bytes": len(data), "chunks": chunks, "text_sha256": hashlib.sha256(data).hexdigest(), "plain": data.decode()})
-            yield pa.array(rows, pa.struct([
-                ("n_bytes", pa.int64()), ("chunks", pa.list_(pa.struct([(n, pa.int64()) for n in ("h1", "h2", "s1", "s2")]))),
-                ("text_sha256", pa.string()), ("plain", pa.string()),
-            ]))
+                rows.append({"n_bytes": len(data), "chunks": chunks, "text_sha256": hashlib.sha256(data).hexdigest()})
+            yield pa.array(rows, kind)
 
-    others = [c for c in docs.columns if c != text]
-    rows = docs.select(*others, hashed(F.col(text)).alias("made")).select(*others, "made.*")
-    return rows.withColumns({"f1": _combined(1, moduli[0]), "f2": _combined(2, moduli[1])}).drop("chunks")
+    return hashed(text)
 
 
-def _chunk_rows(rows: DataFrame, chunk: int) -> DataFrame:
+def _chunk_rows(rows: DataFrame, chunk: int, name: str) -> DataFrame:
     """One row per chunk of the normalised text; an empty text has none."""
+    plain = rows.withColumn("plain", F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "))
     last = F.floor((F.char_length("plain") - 1) / chunk).cast("int")
-    cuts = F.when(F.char_length("plain") > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("plain", i * chunk + 1, F.lit(chunk))))
-    return rows.select("keep_row", "salt", "row", F.posexplode(cuts).alias("chunk_no", "chunk")) if "row" in rows.columns else \
-        rows.select("keep_row", "salt", F.posexplode(cuts).alias("chunk_no", "kept_chunk"))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("plain", i * chunk + 1, F.lit(chunk)))
+    cuts = F.when(F.char_length("plain") > 0, cut)
+    return plain.select(*[c for c in rows.columns if c != "text"], F.posexplode(cuts).alias("chunk_no", name))
+
+
+def _grouped(prints: DataFrame, keys: list[str]) -> DataFrame:
+    """The row that stays and the size of every group."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    found = prints.groupBy(*keys).agg(first, F.count("*").alias("group_size"))
+    return found.select(*keys, F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
+
+
+def _compared(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, moduli: tuple, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(the numbered rows of ``docs`` as a struct, the group of every row number)."""
+    body = F.coalesce(F.col(f"doc.{text}"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    rows = rows.select("doc", F.col(f"doc.{doc_id}").alias("doc_id"), fingerprints(body, moduli, chunk).alias("made"))
+    rows = rows.select("doc", "doc_id", "made.n_bytes", "made.text_sha256", "made.chunks", F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumns({"f1": _combined(1, moduli[0]), "f2": _combined(2, moduli[1])}).drop("chunks")
+    numbered = scratch.keep(rows, "numbered")
+    prints, keys = numbered.drop("doc"), ["f1", "f2", "n_bytes"]
+
+    groups = scratch.keep(_grouped(prints, keys), "groups")
+    members = numbered.select(*keys, "row", body.alias("text")).join(groups.where("group_size > 1"), keys)
+    salts = F.ceil(F.col("group_size") / PER_SALT).cast("int")
+    salt = F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt")
+    members = scratch.keep(members.select("row", "keep_row", "text", salts.alias("salts"), salt), "members")
+    copies = members.where("row <> keep_row").drop("salts")
+    staying = members.where("row = keep_row").select("keep_row", "text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = _chunk_rows(copies, chunk, "chunk").join(_chunk_rows(staying, chunk, "kept_chunk"), ["keep_row", "salt", "chunk_no"], "left")
+    differ = scratch.keep(both.where(~F.col("chunk").eqNullSafe(F.col("kept_chunk"))).select("row").distinct(), "differ")
+    scratch.drop("members")
+    if not differ.isEmpty():  # texts that differ behind one fingerprint: a digest tells them apart
+        prints = prints.join(differ.withColumn("other", F.lit(True)), "row", "left")
+        prints = prints.withColumn("apart", F.when(F.col("other"), F.col("text_sha256")).otherwise("")).drop("other")
+        keys = [*keys, "apart"]
+        groups = scratch.keep(_grouped(prints, keys), "groups-apart")
+    return numbered, prints.join(groups, keys).withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
 def groups_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", moduli: tuple = MODULI, chunk: int = CHUNK) -> DataFrame:
@@ -110,29 +143,12 @@ def groups_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     counts and least ids are combined on the map side, and the comparison salts the row that stays.
     """
     scratch = common.Scratch(docs.sparkSession, "exact-dedup")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = scratch.keep(fingerprints(rows, "text", moduli, chunk).withColumn("row", F.monotonically_increasing_id()), "prints")
-    key = ["f1", "f2", "n_bytes"]
-
-    def least(keys):
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-        grouped = prints if keys == key else split
-        found = grouped.groupBy(*keys).agg(first.alias("first"), F.count("*").alias("group_size"))
-        return found.select(*keys, F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
-
-    groups = scratch.keep(least(key), "groups")
-    members = prints.join(groups.where("group_size > 1"), key)
-    salts = F.ceil(F.col("group_size") / PER_SALT).cast("int")
-    members = scratch.keep(members.select("row", "keep_row", "plain", salts.alias("salts"), F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt")), "members")
-    staying = members.where("row = keep_row").select("keep_row", "plain", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    compared = _chunk_rows(members.where("row <> keep_row"), chunk).join(_chunk_rows(staying, chunk), ["keep_row", "salt", "chunk_no"], "left")
-    differ = scratch.keep(compared.where(~F.col("chunk").eqNullSafe(F.col("kept_chunk"))).select("row").distinct(), "differ")
-    scratch.drop("members")
-    own_key, split = key, prints
-    if not differ.isEmpty():  # texts that differ behind one fingerprint: a digest tells them apart
-        split = prints.join(differ.withColumn("other", F.lit(True)), "row", "left")
-        split = split.withColumn("apart", F.when(F.col("other"), F.col("text_sha256")).otherwise("")).drop("other")
-        own_key = [*key, "apart"]
-        groups = scratch.keep(least(own_key), "groups-apart")
-    out = split.drop("plain").join(groups, own_key)
-    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_bytes")
+    groups = _compared(docs.select(doc_id, text), scratch, doc_id, text, moduli, chunk)[1]
+    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_bytes")
+
+
+def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, by the rules of ``groups_of``, with all their columns."""
+    scratch = common.Scratch(docs.sparkSession, "exact-dedup")
+    numbered, groups = _compared(docs, scratch, doc_id, text, MODULI, CHUNK)
+    return numbered.select("doc", "row").join(groups.where("kept").select("row"), "row", "left_semi").select("doc.*")

@@ -125,8 +125,8 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
-def _sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, join keys, sketch."""
+def _sketched(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """row, n_shingles, digest of the set, join keys and sketch of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shingler(size)
@@ -137,25 +137,21 @@ def _sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([block_keys(s, percent).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 pa.array([parity_sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-            ], names=["doc_id", "n_shingles", "digest", "keys", "sketch"])
+            ], names=["row", "n_shingles", "digest", "keys", "sketch"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """digest and shingles of each row."""
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """node and shingles of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shingler(size)
         for batch in batches:
-            sets = [cut(value or "") for value in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ], names=["digest", "shingles"])
+            sets = [cut(value or "").view(np.int64) for value in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, shingles array<long>")
+    return rows.select("row", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _plausible(a: Column, b: Column, percent: int) -> Column:
@@ -175,36 +171,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("shared", common_).where(F.col("shared") * (100 + percent) >= sizes * percent).select("a", "b")
 
 
-def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, and ``first`` (true for one row of each component).
-
-    A set holds the distinct ``size``-word shingles, or the whole sequence of a shorter text. Null texts and texts
-    without words have empty sets and are components of their own. ``component_id`` is the smallest id reachable by
-    links; rows that repeat an id are separate members (null ids come last, and count only if there is no other).
-    Other columns are left out. No rows give no rows.
-    """
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    scratch = common.Scratch(spark, "jaccard")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketched = scratch.keep(_sketched(rows, size, percent).withColumn("row", F.monotonically_increasing_id()), "sketched")
+def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the numbered rows of ``docs`` as a struct, set size and component of every row number)."""
+    common.bounded_batches(docs.sparkSession)
+    numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    numbered = scratch.keep(numbered, "numbered")
+    texts = numbered.select("row", F.col(f"doc.{text}").alias("text"))
+    sketched = scratch.keep(_sketched(texts, size, percent), "sketched")
+    ids = numbered.select("row", F.col(f"doc.{doc_id}").alias("doc_id"))
+    named = scratch.keep(ids.join(sketched.select("row", "n_shingles", "digest"), "row"), "named")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
-    nodes = sketched.where("n_shingles > 0").groupBy("digest").agg(least)
+    nodes = named.where("n_shingles > 0").groupBy("digest").agg(least)
     nodes = scratch.keep(nodes.select("digest", F.col("least.row").alias("node"), F.col("least.doc_id").alias("node_id")), "nodes")
-    own = sketched.select("row", "n_shingles", "keys", "sketch").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
     # each block with its node, once; written, as it is read for the hubs and then for the members
+    own = sketched.select("row", "keys").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
     blocks = scratch.keep(own.select(F.explode("keys").alias("key"), F.col("row").alias("node")), "blocks")
     counted = blocks.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     shared = scratch.keep(blocks.join(scratch.keep(counted.select("key"), "keys"), "key"), "shared")
     scratch.drop("blocks", "keys")
 
-    members = scratch.keep(shared.select("node").distinct(), "members")
-    facts = sketched.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch", "doc_id", "digest")
-    facts = scratch.keep(facts.join(members, "node"), "facts")
-    wanted = facts.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.wanted), "left_semi")
-    sets = _sets(texts, size).join(facts.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles")
-    sets = scratch.keep(sets, "sets")
+    members = scratch.keep(shared.select(F.col("node").alias("row")).distinct(), "members")
+    facts = sketched.select("row", F.col("n_shingles").alias("n"), "sketch").join(members, "row", "left_semi")
+    facts = scratch.keep(facts.withColumnRenamed("row", "node"), "facts")
+    scratch.drop("sketched")
+    sets = scratch.keep(_sets(texts.join(members, "row", "left_semi"), size), "sets")
 
     look = facts.select("node", F.struct("n", "sketch").alias("f"))
     links, roots = None, None
@@ -232,14 +222,33 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     leaders = placed.groupBy("root").agg(F.min(F.struct(F.col("node_id").isNull(), "node_id", "node")).alias("leader"))
     leaders = leaders.select("root", F.col("leader.node_id").alias("leader_id"), F.col("leader.node").alias("leader_row"))
     placed = scratch.keep(placed.select("digest", "root").join(scratch.keep(leaders, "leaders"), "root").drop("root"), "placed")
-    out = sketched.select("doc_id", "n_shingles", "digest", "row").join(placed, "digest", "left")
+    scratch.drop("sets", "shared", "rooted", "open")
     alone = F.col("n_shingles") == 0
-    return out.select(
-        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("leader_id")).alias("component_id"),
-        (alone | (F.col("row") == F.col("leader_row"))).alias("first"), "row",
+    return numbered, named.join(placed, "digest", "left").select(
+        "row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("leader_id")).alias("component_id"),
+        (alone | (F.col("row") == F.col("leader_row"))).alias("first"),
     )
 
 
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, and ``first`` (true for one row of each component).
+
+    A set holds the distinct ``size``-word shingles, or the whole sequence of a shorter text. Null texts and texts
+    without words have empty sets and are components of their own. ``component_id`` is the smallest id reachable by
+    links; rows that repeat an id are separate members (null ids come last, and count only if there is no other).
+    Other columns are left out. No rows give no rows.
+    """
+    scratch = common.Scratch(docs.sparkSession, "jaccard")
+    return _placed(docs.select(doc_id, text), scratch, doc_id, text, size, percent)[1].drop("row")
+
+
+def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The first row of each component, with all its columns; rows without words all stay."""
+    scratch = common.Scratch(docs.sparkSession, "jaccard")
+    numbered, placed = _placed(docs, scratch, doc_id, text, size, percent)
+    return numbered.join(placed.where("first").select("row"), "row", "left_semi").select("doc.*")
+
+
 def _hub_pairs(shared: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """(a, b): each node and, of the hubs of its blocks outside its component, the one it shares most blocks with."""
     rooted = shared.withColumn("root", F.col("node"))
