@@ -46,14 +46,24 @@ def test_file_rows_are_numbered_across_splits(spark, tmp_path):
 
 
 def test_fingerprints(spark, tmp_path):
-    (tmp_path / "small.csv").write_bytes(b"x\n1\n")
-    for name, order in (("big1.csv", 1), ("big2.csv", 1), ("big3.csv", -1)):
-        (tmp_path / name).write_text("\n".join(str(i) for i in list(range(300))[::order]))
-    got = {r.file_name: r.file_hash for r in files.discover(spark, str(tmp_path), "*.csv", whole_file_bytes=100).collect()}
-    assert got["small.csv"] == hashlib.sha256(b"x\n1\n").hexdigest()
-    assert got["big1.csv"] == got["big2.csv"] != got["big3.csv"]
-    whole = {r.file_name: r.file_hash for r in files.discover(spark, str(tmp_path), "big1.csv").collect()}
-    assert whole["big1.csv"] == hashlib.sha256((tmp_path / "big1.csv").read_bytes()).hexdigest()
+    """One rule at every size: equal bytes, equal fingerprint; any other byte, line ends included, another one."""
+    contents = {"a.csv": b"x\n1\n", "b.csv": b"x\n1\n", "c.csv": b"x\r\n1\r\n", "d.csv": b"x\n1", "e.csv": b"x\r1\n", "g.csv": b"1\nx\n"}
+    big = "\n".join(str(i) for i in range(60000)).encode()
+    contents |= {"big1.csv": big, "big2.csv": big, "big3.csv": big.replace(b"\n", b"\r\n"), "big4.csv": big + b"\n"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    hashes = []
+    for size in (old, "32k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            hashes.append({r.file_name: r.file_hash for r in files.discover(spark, str(tmp_path), "*.csv").collect()})
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert hashes[0] == hashes[1] and set(hashes[0]) == set(contents)
+    for one in contents:
+        for two in contents:
+            assert (hashes[0][one] == hashes[0][two]) == (contents[one] == contents[two]), (one, two)
 
 
 def test_skewed_lookup_is_split(spark):
@@ -149,16 +159,46 @@ def test_vendor_headers(spark, tmp_path):
     (tmp_path / "x.csv").write_text(",".join(vendor.EXPECTED) + '\nV1,C1,2024-03-01,10.00,"e,w",USD,1.0,completed,1\n\nV2,C2,2024-03-01,x,y,USD,1.0,completed,1,0\n')
     got, _ = vendor.read_vendor(spark, [str(tmp_path / "x.csv")])
     assert rows(got.select("row_num", "deposit_id", "payment_method", "fee_usd").orderBy("row_num")) == [(1, "V1", "e,w", None), (2, "V2", "y", "0")]
+    head = ",".join("method" if f == "payment_method" else f for f in vendor.EXPECTED)
+    (tmp_path / "y.csv").write_text(head + '\nV1,C1,2024-03-01,10.00,"e\nw",USD,1.0,completed,1,0\nV2,C2,2024-03-01,9,y,USD,1.0,completed,1,0,more,cells\n')
+    got, _ = vendor.read_vendor(spark, [str(tmp_path / "y.csv")], multiline=True)
+    one, two = got.orderBy("row_num").collect()
+    assert (one.payment_method, two.deposit_id, two.fee_usd) == ("e\nw", "V2", "0")
+    assert json.loads(one.raw_payload)["method"] == "e\nw" and "_record" not in json.loads(one.raw_payload)
+    assert json.loads(two.raw_payload)["_record"].endswith(",0,more,cells")
 
 
 def test_snapshot_layouts(spark, tmp_path):
-    (tmp_path / "s.json").write_text('[\n {"a": "x", "n": 500.00},\n {"a": null, "n": 1e2}\n]\n')
-    got = snapshots.read_snapshot(spark, [str(tmp_path / "s.json")], ("a", "n"))
-    assert [(r.row_num, r.a, float(r.n)) for r in got.orderBy("row_num").collect()] == [(1, "x", 500.0), (2, None, 100.0)]
-    assert '"n": 500.00' in got.orderBy("row_num").first().raw_json
-    (tmp_path / "p.json").write_text(json.dumps([{"a": "x"}], indent=2))
-    with pytest.raises(Exception, match="Not one JSON object per line"):
-        snapshots.read_snapshot(spark, [str(tmp_path / "p.json")], ("a",)).collect()
+    objects = [{"a": "x", "n": 500.25}, {"a": None, "n": 100.0}, {"a": "]},{[", "n": 3}]
+    texts = [json.dumps(o) for o in objects]
+    layouts = {
+        "array.json": json.dumps(objects), "lines.json": "\n".join(texts), "bracketed.json": "[\n" + ",\n".join(texts) + "\n]\n",
+        "mixed.json": f"[{texts[0]},\n {texts[1]}, {texts[2]}]",
+    }
+    for name, text in layouts.items():
+        (tmp_path / name).write_text(text)
+        got = snapshots.read_snapshot(spark, [str(tmp_path / name)], ("a", "n")).orderBy("row_num").collect()
+        assert [(r.row_num, r.a, float(r.n), json.loads(r.raw_json)) for r in got] == [(i + 1, o["a"], o["n"], o) for i, o in enumerate(objects)], name
+    (tmp_path / "p.json").write_text(json.dumps(objects, indent=2))
+    whole = snapshots.read_snapshot(spark, [str(tmp_path / "p.json")], ("a",), layout="document")
+    assert [r.a for r in whole.orderBy("row_num").collect()] == [o["a"] for o in objects]
+    for bad in ('{"a": "x"} {"a": "y"}', '[{"a": "x"}] junk', '{"a": "x"}, 5', '{"a": "x"', json.dumps(objects, indent=2)):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception, match="Not a sequence of whole JSON objects: a text of bad.json"):
+            snapshots.read_snapshot(spark, [str(tmp_path / "bad.json")], ("a",)).collect()
+
+
+def test_feed_lines_are_whole_events(spark, tmp_path):
+    good = '{"lsn": 1, "commit_ts": "2024-11-15T11:00:00Z", "op": "insert", "client_id": "a"}'
+    bad = {
+        good + '{"lsn": 2}': "Not one JSON object", good + "," + good: "Not one JSON object", good + " x": "Not one JSON object", "[1]": "Not one JSON object",
+        good.replace('"lsn": 1, ', ""): "without a readable lsn", good.replace('"a"', "null"): "without a client_id",
+        good.replace("2024-11-15T11:00:00Z", "not a time"): "without a readable commit_ts",
+    }
+    for line, message in bad.items():
+        (tmp_path / "feed.jsonl").write_text(good + "\n" + line + "\n")
+        with pytest.raises(Exception, match=f"{message}.*feed.jsonl.*2"):
+            read_changes(spark, [str(tmp_path / "feed.jsonl")]).collect()
 
 
 def brute_judge(raw, clients, staged):

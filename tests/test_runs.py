@@ -10,7 +10,8 @@ import pytest
 
 from tidemark.operators import checks, keyed
 from tidemark.plans import analytics, ingest, replay
-from tidemark.plans.publish import Warehouse
+from tidemark.plans.publish import Overtaken, Warehouse
+from tidemark.session import shared_folder
 from tidemark.sources.changes import ConflictingEvents
 from tidemark.sources.vendor import SchemaDrift
 
@@ -129,6 +130,8 @@ def test_replay_is_deterministic(spark, copy_of):
     day = replay.replay_window(spark, copy_of, "2024-11-20", "2024-11-20", "one-day")
     assert day["affected_clients"] == 1  # the end day counts as a whole
     assert state(spark, copy_of) == before
+    whole = replay.replay_window(spark, copy_of, "2023-12-01", "2024-12-31", "from-the-start")
+    assert whole["status"] == "SUCCESS" and state(spark, copy_of) == before  # bootstrap and inferred versions stay
     assert replay.replay_window(spark, copy_of, "2023-01-01", "2023-01-02")["status"] == "NOOP"
     with pytest.raises(ValueError, match="must not be after"):
         replay.replay_window(spark, copy_of, "2024-12-01", "2024-11-01")
@@ -160,6 +163,25 @@ def test_later_and_late_events(spark, folder, copy_of, tmp_path):
     assert sorted(r.lsn for r in balances.where("client_id = 'K001'").collect()) == [505, 507, 521]
 
 
+def test_second_writer_is_refused(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "w"))
+    first, second = warehouse.begin("one"), warehouse.begin("two")
+    rows = spark.createDataFrame([(1, "X", "fx")], "instrument_sk long, instrument_name string, asset_class string")
+    for batch in (first, second):
+        batch.replace("dim_instrument", rows)
+    first.publish()
+    with pytest.raises(Overtaken):
+        second.publish()
+    assert warehouse.read("dim_instrument").count() == 1 and not warehouse.published("two")
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, folder, tmp_path):
+    at = os.path.join(shared_folder(spark).removeprefix("file://"), "tidemark")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    ingest.run(spark, str(tmp_path / "w"), folder, "clean")
+    assert set(os.listdir(at)) <= before
+
+
 def test_failed_run_leaves_nothing(spark, folder, tmp_path):
     inbox, root = str(tmp_path / "in"), str(tmp_path / "warehouse")
     shutil.copytree(folder, inbox)

@@ -45,19 +45,16 @@ def dense_number(df: DataFrame, order: Sequence[str], name: str, start: Column |
 
 
 def number_file_rows(lines: DataFrame, name: str = "row_num", file: str = "file_path", split: str = "split_start") -> DataFrame:
-    """Number the lines of each file from 1, in file order.
+    """Number the rows of each file from 1, in file order.
 
-    A window runs over one input split only, whose size the scan bounds; a file of any size is the sum
-    of its splits, and each split adds the row count of the splits before it. ``lines`` must come
-    straight from the scan with ``position`` set to ``monotonically_increasing_id()``.
+    One task reads a split from its start to its end, so a row's number within the split is its place in the task
+    less the place of the split's first row. Each split adds the rows of the splits before it; these offsets, one
+    row per split, are the only thing that is grouped, and they are written, so that Spark knows their size when it
+    chooses the join. ``lines`` must come from the scan without an exchange; rows may have been dropped or exploded.
     """
-    counts = lines.groupBy(file, split).agg(F.count("*").alias("_n"))
+    placed = lines.withColumn("_place", F.monotonically_increasing_id())
+    spans = placed.groupBy(file, split).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = Window.partitionBy(file).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(file, split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy(file, split).orderBy("position"))
-    return (
-        lines.withColumn("_within", within)
-        .join(offsets, [file, split])
-        .withColumn(name, (F.col("_offset") + F.col("_within")).cast("long"))
-        .drop("_within", "_offset")
-    )
+    offsets = spans.select(file, split, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    numbered = placed.join(written(offsets, "offsets"), [file, split])
+    return numbered.withColumn(name, F.col("_place") + F.col("_offset")).drop("_place", "_offset")

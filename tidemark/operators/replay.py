@@ -37,15 +37,20 @@ def purge_balances(balances: DataFrame, affected: DataFrame, low: dt.datetime) -
 
 
 def purge_versions(dim: DataFrame, affected: DataFrame, low: dt.datetime) -> DataFrame:
-    """The dimension without versions of affected clients that started at the boundary or later."""
-    gone = F.col("_hit") & (F.col("valid_from") >= clock.stamp(low))
+    """The dimension without versions of affected clients that events from the boundary on had opened.
+
+    Bootstrap and inferred versions stay, wherever they start: no event could bring them back.
+    """
+    gone = F.col("_hit") & (F.col("valid_from") >= clock.stamp(low)) & F.col("opened_by_lsn").isNotNull()
     return _marked(dim, affected).where(~gone).select(*dim.columns)
 
 
 def reopen_versions(dim: DataFrame, affected: DataFrame, low: dt.datetime) -> DataFrame:
-    """The version of each affected client in force at the boundary: open, current and not deleted again."""
+    """The version of each affected client in force at the boundary, or the one it began with if that starts later:
+    open, current and not deleted again."""
     at = clock.stamp(low)
-    reopened = F.col("_hit") & (F.col("valid_from") < at) & (F.col("valid_to").isNull() | (F.col("valid_to") >= at))
+    before = (F.col("valid_from") < at) | F.col("opened_by_lsn").isNull()
+    reopened = F.col("_hit") & before & (F.col("valid_to").isNull() | (F.col("valid_to") >= at))
     fresh = {
         "valid_to": F.lit(None).cast("timestamp_ntz"), "is_current": F.lit(True),
         "is_deleted": F.lit(False), "deleted_at": F.lit(None).cast("timestamp_ntz"),

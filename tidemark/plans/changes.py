@@ -25,9 +25,10 @@ class BrokenHistory(AssertionError):
 def check_history(dim: DataFrame) -> None:
     found = checks.overlapping_versions(dim).select("client_id").unionByName(
         checks.backward_versions(dim).select("client_id")
-    ).limit(20).collect()
-    if found:
-        raise BrokenHistory(f"Overlapping or backward intervals for clients {sorted({r.client_id for r in found})}")
+    ).distinct()
+    some = found.limit(20).collect()
+    if some:
+        raise BrokenHistory(f"Overlapping or backward intervals for {found.count()} clients, among them {sorted(r.client_id for r in some)}")
 
 
 def write_history(batch: Batch, base: DataFrame, events: DataFrame, old: DataFrame, email_domain: str) -> history.Applied:

@@ -12,7 +12,7 @@ from ..operators import dims, quality
 from ..operators.controls import manifest_rows, unprocessed
 from ..operators.keyed import insert_if_absent
 from ..schemas import SNAPSHOT_FIELDS, SNAPSHOT_KEYS
-from ..session import written
+from ..session import scratch_run, written
 from ..sources import files, snapshots, vendor
 from ..sources.changes import read_changes
 from . import analytics
@@ -44,11 +44,11 @@ def _as_table(batch: Batch, todo: list[Row]) -> DataFrame:
     return batch.spark.createDataFrame(todo, "file_name string, file_path string, file_hash string")
 
 
-def _land_snapshot(batch: Batch, name: str, file: Row) -> tuple[int, DataFrame]:
+def _land_snapshot(batch: Batch, name: str, file: Row, layout: str) -> tuple[int, DataFrame]:
     """Land and stage one snapshot; returns the number of rows landed and the rows new to staging."""
     key, fields = SNAPSHOT_KEYS[name], SNAPSHOT_FIELDS[name]
     extra = ("credit_card",) if name == "client_deposit" else ()
-    rows = snapshots.read_snapshot(batch.spark, [file.file_path], fields, extra)
+    rows = snapshots.read_snapshot(batch.spark, [file.file_path], fields, extra, layout)
     if extra:
         rows = snapshots.with_fallback(rows, "payment_method", "credit_card")
     lineage = {"file_hash": F.lit(file.file_hash), "batch_id": batch.id, "landed_at": batch.at}
@@ -60,10 +60,10 @@ def _land_snapshot(batch: Batch, name: str, file: Row) -> tuple[int, DataFrame]:
     return landed.count(), new
 
 
-def load_core(batch: Batch, folder: str, history_start: str = dims.HISTORY_START) -> dict[str, int]:
+def load_core(batch: Batch, folder: str, history_start: str = dims.HISTORY_START, layout: str = "lines") -> dict[str, int]:
     """Snapshots into raw, staging, dimension and facts. Returns rows landed per snapshot."""
     todo = {file.file_name.removesuffix(".json"): file for file in _to_do(batch, folder, CORE_PATTERN)}
-    landed = {name: _land_snapshot(batch, name, todo[name]) for name in SNAPSHOT_FIELDS if name in todo}
+    landed = {name: _land_snapshot(batch, name, todo[name], layout) for name in SNAPSHOT_FIELDS if name in todo}
     audit = {"batch_id": batch.id, "created_at": batch.at}
     if landed:
         counts = [(todo[n].file_hash, todo[n].file_name, rows, rows, 0) for n, (rows, _) in landed.items()]
@@ -141,20 +141,21 @@ def load_static(batch: Batch) -> None:
 
 def run(
     spark: SparkSession, root: str, folder: str, batch_id: str | None = None,
-    required: tuple[str, ...] = (*CORE_FILES, CHANGE_FEED), email_domain: str = EMAIL_DOMAIN,
+    required: tuple[str, ...] = (*CORE_FILES, CHANGE_FEED), email_domain: str = EMAIL_DOMAIN, layout: str = "lines",
 ) -> dict[str, object]:
     """Process what lies in ``folder`` and publish it under ``root``, or raise and publish nothing.
 
-    Safe to repeat: files and events that were processed before are skipped.
+    Safe to repeat: files and events that were processed before are skipped. ``layout`` is that of the snapshots.
     """
     files.require(spark, folder, required)
-    batch = Warehouse(spark, root).begin(batch_id or new_batch_id())
-    load_static(batch)
-    core = load_core(batch, folder)
-    vendor_metrics = load_vendor(batch, folder)
-    feed = files.listed(spark, folder, CHANGE_FEED).select("file_path").collect()
-    changes = apply_feed(batch, read_changes(spark, [r.file_path for r in feed]), email_domain)
-    batch.publish()
+    with scratch_run(spark, "ingest"):
+        batch = Warehouse(spark, root).begin(batch_id or new_batch_id())
+        load_static(batch)
+        core = load_core(batch, folder, layout=layout)
+        vendor_metrics = load_vendor(batch, folder)
+        feed = files.listed(spark, folder, CHANGE_FEED).select("file_path").collect()
+        changes = apply_feed(batch, read_changes(spark, [r.file_path for r in feed]), email_domain)
+        batch.publish()
     return {"batch_id": batch.batch_id, "core": core, "vendor": vendor_metrics, "changes": changes}
 
 

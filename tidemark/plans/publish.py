@@ -2,7 +2,8 @@
 
 A batch writes its rows to folders nobody reads yet. Its last write adds one row to ``publications``; with
 that row data and control state appear together. A batch that fails before it has changed nothing, and can
-be run again. One writer at a time is assumed.
+be run again. Publications are numbered; of two batches that began from the same one, the second to publish
+finds its number taken and fails.
 
 A table is a list of parts. Facts, raw rows and control rows are appended, so a batch writes what it brought
 and not the whole table; a dimension or a replayed table is replaced by one new part.
@@ -22,6 +23,10 @@ _PUBLICATION = (
 )
 
 
+class Overtaken(RuntimeError):
+    """Another batch has published since this one began."""
+
+
 class Warehouse:
     """The published tables under one folder."""
 
@@ -30,7 +35,7 @@ class Warehouse:
 
     def _publications(self) -> DataFrame:
         try:
-            return self.spark.read.schema(_PUBLICATION).parquet(f"{self.root}/publications")
+            return self.spark.read.schema(_PUBLICATION).option("recursiveFileLookup", True).parquet(f"{self.root}/publications")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -111,6 +116,10 @@ class Batch:
     def publish(self) -> None:
         changes = [(name, part, name in self.replaced) for name, parts in self.added.items() for part in parts]
         row = self.warehouse.spark.createDataFrame([(self.seq + 1, self.batch_id, changes, None)], _PUBLICATION)
-        row.withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
-            f"{self.warehouse.root}/publications"
-        )
+        row = row.withColumn("published_at", F.current_timestamp()).coalesce(1)
+        try:
+            row.write.mode("errorifexists").parquet(f"{self.warehouse.root}/publications/{self.seq + 1:012d}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            raise Overtaken(f"publication {self.seq + 1} exists: another batch was faster than {self.batch_id}; run it again") from error

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +32,42 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: obje
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a laptop, a unit test) gets a private temporary folder.
+    Only a local session that names none (a unit test, a laptop) gets a temporary folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
+_run: ContextVar[str | None] = ContextVar("scratch folder of the run", default=None)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession, label: str) -> Iterator[None]:
+    """Put all scratch tables made inside into one folder, and remove it in the end, also after a failure.
+
+    What is made inside must be written or counted inside, too.
+    """
+    root = os.path.join(shared_folder(spark), "tidemark", f"{label}-{uuid.uuid4().hex}")
+    token = _run.set(root)
+    try:
+        yield
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return os.path.join(shared_folder(spark), "tidemark", f"{label}-{uuid.uuid4().hex}")
+    """A fresh path in the shared folder, within the run's own folder if there is one."""
+    root = _run.get() or os.path.join(shared_folder(spark), "tidemark")
+    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

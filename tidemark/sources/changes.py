@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import clock, images
 from ..functions.hashing import payload_digest
@@ -16,14 +16,26 @@ class ConflictingEvents(ValueError):
 
 
 def parse_events(text: DataFrame) -> DataFrame:
-    """Events from a column ``value`` of JSON text; the other columns are kept."""
-    doc = F.parse_json("value")
+    """Events from a column ``value`` of JSON text; the other columns are kept.
+
+    A text must be exactly one object with an lsn, a client_id and a readable commit_ts, or the read fails, naming
+    file and place where these are known.
+    """
     kept = [c for c in text.columns if c != "value"]
+    place = F.concat_ws(", ", *[F.concat(F.lit(f"{c} "), F.col(c).cast("string")) for c in kept if c in ("file_name", "arrival_sequence")])
+
+    def stated(value: Column, what: str, kind: str) -> Column:
+        return F.coalesce(value, F.raise_error(F.concat(F.lit(f"Change event without {what}: "), place)).cast(kind))
+
+    # a zero behind the object shows whether the text ends with it
+    items = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(",0]"))).try_cast("array<variant>")
+    alone = F.when((F.size(items) == 2) & F.schema_of_variant(items[0]).startswith("OBJECT"), items[0])
+    doc = F.coalesce(alone, F.raise_error(F.concat(F.lit("Not one JSON object: "), place)).cast("variant"))
     return text.withColumn("doc", doc).select(
-        F.variant_get("doc", "$.lsn", "bigint").alias("lsn"),
-        clock.utc(F.variant_get("doc", "$.commit_ts", "string")).alias("commit_ts"),
-        F.variant_get("doc", "$.op", "string").alias("op"),
-        F.variant_get("doc", "$.client_id", "string").alias("client_id"),
+        stated(F.try_variant_get("doc", "$.lsn", "bigint"), "a readable lsn", "bigint").alias("lsn"),
+        stated(clock.utc(F.try_variant_get("doc", "$.commit_ts", "string")), "a readable commit_ts", "timestamp_ntz").alias("commit_ts"),
+        F.try_variant_get("doc", "$.op", "string").alias("op"),
+        stated(F.try_variant_get("doc", "$.client_id", "string"), "a client_id", "string").alias("client_id"),
         images.image(F.col("doc"), "$.before").alias("before"),
         images.image(F.col("doc"), "$.after").alias("after"),
         F.col("value").alias("raw_json"),
@@ -46,6 +58,8 @@ def refuse_conflicts(events: DataFrame, history: DataFrame, shown: int = 20) ->
     pairs = events.select("lsn", "payload_hash").unionByName(
         history.join(events.select("lsn").distinct(), "lsn", "left_semi").select("lsn", "payload_hash")
     )
-    found = [r.lsn for r in conflicting_lsns(pairs).orderBy("lsn").limit(shown).collect()]
-    if found:
-        raise ConflictingEvents(f"Conflicting CDC payloads for LSNs: {found}")
+    conflicts = conflicting_lsns(pairs)
+    total = conflicts.count()
+    if total:
+        first = [r.lsn for r in conflicts.orderBy("lsn").limit(shown).collect()]
+        raise ConflictingEvents(f"{total} log positions carry different payloads, the first of them {first}")

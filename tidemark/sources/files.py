@@ -6,73 +6,56 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import content_digest
 from ..operators.numbering import number_file_rows
 
-#: files up to this size are hashed as one value; larger ones line by line, in parallel
-WHOLE_FILE_BYTES = 64 << 20
-
-
 def _path(path: Column | str) -> Column:
     """One spelling for local paths, which Spark's readers report with one slash or three."""
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Files of ``folder`` whose name matches the glob: path, name, length. Contents are not read."""
+def listed(spark: SparkSession, folder: str, pattern: str, recursive: bool = False) -> DataFrame:
+    """Files of ``folder`` whose name matches the glob: path, name, length. Contents are not read. Spark lists no empty files."""
     found = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
         .select(_path("path").alias("file_path"), F.col("length"), F.col("modificationTime").alias("arrived_at"))
     )
     return found.withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
 
 
-def discover(spark: SparkSession, folder: str, pattern: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def discover(spark: SparkSession, folder: str, pattern: str, recursive: bool = False) -> DataFrame:
     """Files matching the glob with a fingerprint of their content: file_path, file_name, length, file_hash.
 
-    Small files get the SHA-256 of their bytes. A large file would be one huge value in one task, so it is
-    read as lines: every line is hashed together with its number, and the hashes are added up. The sum does
-    not depend on how the file was split, and Spark forms it with an ordinary aggregate.
+    One rule for every size: the file is cut at line feeds, every piece is hashed together with its number, and the
+    hashes are added up; the fingerprint is the digest of the sums, their count and the length in bytes. The sums do
+    not depend on how the file was split, and Spark forms them with an ordinary aggregate. Other line ends stay part
+    of their piece, and a line feed at the end shows in the length, so files that differ in any byte differ here.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    small = (
-        reader.load(folder).where(F.col("length") <= whole_file_bytes)
-        .select(_path("path").alias("path"), "length", content_digest("content").alias("file_hash"))
-    )
-    large = listed(spark, folder, pattern).where(F.col("length") > whole_file_bytes).select(
-        F.col("file_path").alias("path"), "length"
-    )
-    large_paths = [r.path for r in large.select("path").collect()]  # names only
-    if large_paths:
-        small = small.unionByName(large.join(line_fingerprints(spark, large_paths), "path"))
-    return small.select(
-        F.col("path").alias("file_path"),
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        "length", "file_hash",
-    )
-
-
-def line_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Content fingerprints of text files of any size, from position-tagged line hashes."""
-    numbered = number_file_rows(lines(spark, paths))
+    found = listed(spark, folder, pattern, recursive)
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    numbered = number_file_rows(_placed(reader.text(folder)))
     digest = F.sha2(F.concat_ws(":", F.col("row_num").cast("string"), F.col("value")), 256)
 
     def part(at: int) -> Column:
         return F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
 
-    sums = numbered.groupBy(F.col("file_path").alias("path")).agg(
-        F.count("*").alias("n"), *[F.sum(part(at)).alias(f"p{at}") for at in (1, 16, 31, 46)]
+    starts = (1, 16, 31, 46)
+    sums = numbered.groupBy("file_path").agg(F.count("*").alias("n"), *[F.sum(part(at)).alias(f"p{at}") for at in starts])
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n", *[f"p{at}" for at in starts], "length")]
+    return found.join(sums, "file_path", "left").select(
+        "file_path", "file_name", "length", F.sha2(F.concat_ws("|", *parts), 256).alias("file_hash")
     )
-    return sums.select("path", F.sha2(F.concat_ws("|", "n", "p1", "p16", "p31", "p46"), 256).alias("file_hash"))
 
 
-def lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """The lines of text files with their place: file_path, file_name, split_start, position, value."""
-    return spark.read.text(list(paths)).select(
+def lines(spark: SparkSession, paths: Iterable[str], whole: bool = False) -> DataFrame:
+    """The lines of text files (or each file as one text) with their place: file_path, file_name, split_start, value."""
+    return _placed(spark.read.text(list(paths), wholetext=whole))
+
+
+def _placed(text: DataFrame) -> DataFrame:
+    return text.select(
         _path("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("split_start"),
-        F.monotonically_increasing_id().alias("position"),
         "value",
     )
 

@@ -1,4 +1,4 @@
-"""Core snapshots: a JSON array with one object per line, or one object per line without the brackets."""
+"""Core snapshots: JSON objects, in an array or bare, one or several to a line, or pretty-printed."""
 
 from __future__ import annotations
 
@@ -13,20 +13,38 @@ from .files import lines
 _OPENING, _CLOSING = r"^\s*\[?\s*", r"\s*,?\s*\]?\s*$"
 
 
-def read_snapshot(spark: SparkSession, paths: list[str], fields: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Objects of the snapshot as text columns, with ``raw_json``, file_path, file_name and row_num.
+#: Stands behind the last object of a text, so that text left over after it is noticed.
+_END = "<end of text>"
 
-    Reading line by line keeps a file splittable. A document pretty-printed over several lines is refused.
+
+def read_snapshot(
+    spark: SparkSession, paths: list[str], fields: tuple[str, ...], extra: tuple[str, ...] = (), layout: str = "lines"
+) -> DataFrame:
+    """Objects of the snapshot as text columns, with ``raw_json``, file_path, file_name and row_num (from 1).
+
+    ``layout="lines"`` keeps a file splittable: every line holds whole objects, any number of them, with or without
+    the array's brackets and commas. ``layout="document"`` reads a document that is spread over several lines, one
+    file per task. Every object of a text is read; text that is not one, or is left over, fails the read by file.
+    ``raw_json`` is the text as delivered where it holds one object, else the object written anew.
     """
+    if layout not in ("lines", "document"):
+        raise ValueError(f"unknown layout {layout!r}")
+    text = lines(spark, paths, whole=layout == "document")
     bare = F.regexp_replace(F.regexp_replace("value", _CLOSING, ""), _OPENING, "")
-    objects = lines(spark, paths).withColumn("value", bare).where("value <> ''")
-    doc = F.try_parse_json("value")
-    checked = F.when(doc.isNotNull() & F.startswith(F.col("value"), F.lit("{")), doc).otherwise(
-        F.raise_error(F.concat(F.lit("Not one JSON object per line in "), F.col("file_name"))).cast("variant")
-    )
-    parsed = number_file_rows(objects).withColumn("doc", checked)
-    text = [F.try_variant_get("doc", f"$.{f}", "string").alias(f) for f in (*fields, *extra)]
-    return parsed.select(*text, F.col("value").alias("raw_json"), "file_path", "file_name", "row_num")
+    text = text.withColumn("value", bare)
+    items = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(f',"{_END}"]'))).try_cast("array<variant>")
+    objects = F.slice(items, 1, F.size(items) - 1)
+    whole = F.element_at(items, -1).try_cast("string").eqNullSafe(F.lit(_END)) & F.forall(
+        objects, lambda o: F.coalesce(F.schema_of_variant(o), F.lit("")).startswith("OBJECT"))
+    refused = F.raise_error(F.concat(F.lit("Not a sequence of whole JSON objects: a text of "), F.col("file_name")))
+    # nothing between the brackets is no object; said here, as Spark may move a filter behind the check
+    checked = F.when(F.coalesce(whole, F.lit(False)), objects).when(F.col("value") == "", F.array().cast("array<variant>"))
+    checked = checked.otherwise(refused.cast("array<variant>"))
+    parsed = text.withColumn("found", checked).select("*", F.explode("found").alias("doc"))
+    raw = F.when(F.size("found") == 1, F.col("value")).otherwise(F.to_json("doc"))
+    numbered = number_file_rows(parsed.withColumn("raw_json", raw).drop("found", "value"))
+    columns = [F.try_variant_get("doc", f"$.{f}", "string").alias(f) for f in (*fields, *extra)]
+    return numbered.select(*columns, "raw_json", "file_path", "file_name", "row_num")
 
 
 def with_fallback(df: DataFrame, column: str, other: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.numbering import number_file_rows
 from ..schemas import SNAPSHOT_FIELDS
+from ..session import written
 from .files import lines
 
 # Expected fields, approved alias.
@@ -49,33 +50,48 @@ def drift_report(headers: DataFrame) -> DataFrame:
     return report.withColumn("approved", (F.col("missing") == "") & (F.col("unexpected") == ""))
 
 
-def read_vendor(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+#: A record: anything up to a line end outside quotes.
+_RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"?+)++'
+
+
+def read_vendor(spark: SparkSession, paths: list[str], multiline: bool = False) -> tuple[DataFrame, list[str]]:
     """Rows of the files as text columns with raw_payload, file_path, file_name and row_num, and the warnings.
 
-    All files are scanned together. Only header lines, one per file, reach the driver; files with the same
-    header are parsed together, so the plan has one branch per header in use and not one per file.
+    All files are scanned together, and their lines are numbered and written once. Only header lines, one per file,
+    reach the driver; files with the same header are parsed together, so the plan has one branch per header in use
+    and not one per file. A missing trailing cell is null. ``raw_payload`` has the cells under the names of the
+    delivered header; where their number is not the header's, also the whole record, as ``_record``.
+
+    With ``multiline`` a quoted cell may hold line ends; a file is then read by one task.
     """
     if not paths:
         raise ValueError("no vendor files given")
-    numbered = number_file_rows(lines(spark, paths).where("trim(value) <> ''"), "line_num")
+    text = lines(spark, paths, whole=multiline)
+    if multiline:
+        text = text.withColumn("value", F.explode(F.regexp_extract_all("value", F.lit(_RECORD), F.lit(0))))
+    numbered = written(number_file_rows(text.where("trim(value) <> ''"), "line_num"), "vendor-lines")
     first_lines = numbered.where("line_num = 1")
     warnings: list[str] = []
-    layouts: dict[tuple[str, ...], set[str]] = {}
+    layouts: dict[tuple[str, ...], tuple[list[str], set[str]]] = {}
     for head in first_lines.select("file_name", "value").orderBy("file_name").collect():
-        names, used = check_header(head.file_name, next(csv.reader([head.value])))
-        layouts.setdefault(tuple(names), set()).add(head.value)
+        delivered = next(csv.reader([head.value]))
+        names, used = check_header(head.file_name, delivered)
+        layouts.setdefault(tuple(delivered), (names, set()))[1].add(head.value)
         warnings += used
     heads = first_lines.select("file_path", F.col("value").alias("head"))
     body = numbered.where("line_num > 1").join(heads, "file_path")
     parsed = spark.createDataFrame([], ", ".join(f"{f} string" for f in (*EXPECTED, "raw_payload", "file_path", "file_name")) + ", row_num long")
-    for names, texts in layouts.items():
+    for delivered, (names, texts) in layouts.items():
+        schema = ", ".join(f"{n} string" for n in (*delivered, "_record"))
         cells = body.where(F.col("head").isin(sorted(texts))).withColumn(
-            "cells", F.from_csv("value", ", ".join(f"{n} string" for n in names))
+            "cells", F.from_csv("value", schema, {"columnNameOfCorruptRecord": "_record"})
         )
+        own = F.to_json(F.struct(*[F.col(f"cells.{d}").alias(d) for d in delivered]), {"ignoreNullFields": "false"})
+        odd = F.col("cells._record").isNotNull()
+        payload = F.when(odd, F.to_json("cells", {"ignoreNullFields": "false"})).otherwise(own)
         parsed = parsed.unionByName(
             cells.select(
-                *[F.col(f"cells.{n}").alias(n) for n in EXPECTED],
-                F.to_json("cells", {"ignoreNullFields": "false"}).alias("raw_payload"),
+                *[F.col(f"cells.{d}").alias(n) for d, n in zip(delivered, names)], payload.alias("raw_payload"),
                 "file_path", "file_name", (F.col("line_num") - 1).alias("row_num"),
             )
         )

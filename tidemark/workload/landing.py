@@ -52,6 +52,13 @@ def land_vendor_csv(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _keys_by_year(spark: SparkSession, folder: str, path: str) -> None:
+    orders = t.table(spark, folder, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey")
+    orders.repartition("year").sortWithinPartitions("year", "o_orderkey").select(
+        F.col("o_orderkey").cast("string").alias("value"), "year"
+    ).write.partitionBy("year").text(path)
+
+
 def _write_feed(spark: SparkSession, folder: str, label: str) -> str:
     path = scratch_path(spark, label)
     events = t.feed(spark, folder)
@@ -77,12 +84,22 @@ def land_cdc_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("discover_files")
+def _piece(at: int) -> str:
+    return f"sum(CAST(CAST('0x' || substr(d, {at}, 15) AS BIGINT) AS HUGEINT))"
+
+
+@query("discover_files", f"""
+WITH ordered AS (
+    SELECT year(o_orderdate) AS y, CAST(o_orderkey AS VARCHAR) AS value, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS n FROM orders
+), hashed AS (SELECT y, value, sha256(n || ':' || value) AS d FROM ordered),
+sums AS (SELECT y, count(*) AS n, sum(length(value) + 1) AS bytes, {_piece(1)} AS a, {_piece(16)} AS b, {_piece(31)} AS c, {_piece(46)} AS e FROM hashed GROUP BY y)
+SELECT CAST(y AS VARCHAR) AS delivery, CAST(bytes AS BIGINT) AS length, sha256(n || '|' || a || '|' || b || '|' || c || '|' || e || '|' || bytes) AS file_hash FROM sums""")
 def discover_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files written from the orders, found by pattern and fingerprinted; large ones line by line."""
+    """One file of order keys per year, found by pattern and fingerprinted."""
     path = scratch_path(spark, "discover")
-    t.table(spark, folder, "orders").select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    return files.discover(spark, path, "part-*", whole_file_bytes=1 << 16).select("file_name", "length", "file_hash")
+    _keys_by_year(spark, folder, path)
+    found = files.discover(spark, path, "part-*", recursive=True)
+    return found.select(F.regexp_extract("file_path", r"year=(\d+)", 1).alias("delivery"), "length", "file_hash")
 
 
 @query("missing_inputs", """
@@ -105,10 +122,7 @@ FROM orders""")
 def file_row_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """One text file per year, its lines numbered in file order."""
     path = scratch_path(spark, "numbered")
-    orders = t.table(spark, folder, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey")
-    orders.repartition("year").sortWithinPartitions("year", "o_orderkey").select(
-        F.col("o_orderkey").cast("string").alias("value"), "year"
-    ).write.partitionBy("year").text(path)
+    _keys_by_year(spark, folder, path)
     lines = files.lines(spark, _paths(spark, path))
     return numbering.number_file_rows(lines).select(
         F.regexp_extract("file_path", r"year=(\d+)", 1).alias("delivery"), F.col("value").cast("long").alias("o_orderkey"), "row_num"

@@ -404,13 +404,13 @@ def fact_key_lookup(spark: SparkSession, folder: str) -> DataFrame:
 @query("trade_instrument_lookup", """
 SELECT b.instrument_sk, count(*) AS trades
 FROM lineitem JOIN part ON l_partkey = p_partkey
-LEFT JOIN (SELECT p_brand, min(p_partkey) AS instrument_sk FROM part WHERE p_size > 45 GROUP BY p_brand HAVING min(p_partkey) < 100) b ON part.p_brand = b.p_brand
+LEFT JOIN (SELECT p_brand, min(p_partkey) AS instrument_sk FROM part WHERE p_size > 45 AND p_brand < 'Brand#4' GROUP BY p_brand) b ON part.p_brand = b.p_brand
 GROUP BY b.instrument_sk""")
 def trade_instrument_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Trades by instrument key; brands outside the dimension have none."""
     part = t.table(spark, folder, "part")
-    instruments = part.where("p_size > 45").groupBy(F.col("p_brand").alias("instrument_name")).agg(
-        F.min("p_partkey").alias("instrument_sk")).where("instrument_sk < 100")
+    instruments = part.where("p_size > 45 and p_brand < 'Brand#4'").groupBy(F.col("p_brand").alias("instrument_name")).agg(
+        F.min("p_partkey").alias("instrument_sk"))
     trades = t.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("p_partkey")).join(
         part.select("p_partkey", F.col("p_brand").alias("instrument")), "p_partkey")
     return dims.with_instrument_key(trades, instruments).groupBy("instrument_sk").agg(F.count("*").alias("trades"))
