@@ -91,6 +91,13 @@ def complete_inferred(dim: DataFrame, arrived: DataFrame) -> DataFrame:
     )
 
 
+def opening_balances(profiles: DataFrame, dim: DataFrame, balance: str = "account_balance_usd") -> DataFrame:
+    """The profile balance as the first observation of every current client: client_id, observed_at, balance_usd."""
+    start = dim.where("is_current").select("client_id", F.col("valid_from").alias("observed_at"))
+    found = lookup_join(profiles.select("client_id", F.col(balance).alias("balance_usd")), start, ["client_id"], "inner")
+    return found.select("client_id", "observed_at", "balance_usd")
+
+
 def number_clients(rows: DataFrame, start: int) -> DataFrame:
     """Surrogate keys in client order, after the highest key in use."""
     return dense_number(rows, ["client_id"], "client_sk", start)

@@ -151,6 +151,13 @@ def quarantine_records(
     )
 
 
+def validity(judged: DataFrame, by: Sequence[str], target: float = 0.99) -> DataFrame:
+    """Share of rows that no rule rejects, per group, and whether it reaches the target."""
+    ratio = F.avg(F.when(F.col("verdict").isNull(), 1.0).otherwise(0.0))
+    shares = judged.groupBy(*by).agg(ratio.alias("ratio"))
+    return shares.select(*by, F.round("ratio", 6).alias("valid_ratio"), (F.col("ratio") >= target).alias("within_target"))
+
+
 def row_accounting(judged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Landed, staged, quarantined and duplicate rows in one pass, and whether they add up."""
     is_staged, is_copy = F.col("disposition") == STAGED, F.col("disposition") == DUPLICATE

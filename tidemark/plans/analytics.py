@@ -51,7 +51,7 @@ def client_value(dim: DataFrame, deposits: DataFrame, trades: DataFrame, balance
 
 
 def country_performance(dim: DataFrame, deposits: DataFrame, trades: DataFrame) -> DataFrame:
-    """Which countries have the strongest client and financial activity?"""
+    """Clients, paid deposits, trades and trading result by country."""
     paid = deposits.where("status = 'completed'").groupBy("client_id").agg(F.sum("amount_usd").alias("deposit_usd"))
     traded = trades.groupBy("client_id").agg(F.count("*").alias("trade_count"), F.sum("pnl_usd").alias("pnl_usd"))
     return (
@@ -64,7 +64,7 @@ def country_performance(dim: DataFrame, deposits: DataFrame, trades: DataFrame)
             F.coalesce(F.sum("trade_count"), F.lit(0)).cast("long").alias("trades"),
             F.coalesce(F.sum("pnl_usd"), F.lit(0)).cast(_MONEY).alias("trading_pnl_usd"),
         )
-        .orderBy(F.desc("completed_deposits_usd"), F.desc("trading_pnl_usd"))
+        .orderBy(F.desc("completed_deposits_usd"), F.desc("trading_pnl_usd"), F.asc_nulls_last("country"))
     )
 
 
@@ -79,7 +79,7 @@ def instrument_performance(trades: DataFrame) -> DataFrame:
             F.round(F.avg(F.col("pnl_usd").cast("double")), 2).alias("average_pnl_usd"),
             F.round(100.0 * F.avg(won), 1).alias("profitable_trade_pct"),
         )
-        .orderBy(F.desc("total_pnl_usd"))
+        .orderBy(F.desc("total_pnl_usd"), F.asc_nulls_last("instrument"))
     )
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import checks, controls, dims, history, replay
+from ..plans import changes as change_plan
 from ..plans.publish import Warehouse
 from ..session import scratch_path, written
 from ..streaming import changes as streaming
@@ -48,9 +49,17 @@ def cdc_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return applied.outcomes.select("lsn", "client_id", "op", "outcome")
 
 
-@query("cdc_unsupported_ops", t.with_("feed", "SELECT lsn, client_id, op FROM feed WHERE op NOT IN ('insert', 'update', 'delete')"))
+@query("cdc_unsupported_ops", t.with_("feed", """
+SELECT sha256(concat_ws('|', 'cdc', CAST(lsn AS VARCHAR), 'UNSUPPORTED_OPERATION')) AS quarantine_id, CAST(lsn AS VARCHAR) AS record_id,
+       op AS raw_payload, 'UNSUPPORTED_OPERATION' AS reason_code, 'ERROR' AS severity, false AS retry_eligible
+FROM feed WHERE op NOT IN ('insert', 'update', 'delete')"""))
 def cdc_unsupported_ops(spark: SparkSession, folder: str) -> DataFrame:
-    return t.feed(spark, folder).where(~F.col("op").isin("insert", "update", "delete")).select("lsn", "client_id", "op")
+    """Quarantine records of the events whose operation is unknown; the payload here is the operation."""
+    events, batch = t.feed(spark, folder), Warehouse(spark, scratch_path(spark, "warehouse")).begin("b1")
+    outcomes = history.apply_events(t.base_dimension(spark, folder), events, hold=written).outcomes
+    raw = events.select("lsn", F.col("op").alias("raw_json"), F.lit("feed").alias("file_name"))
+    held = change_plan.unsupported_records(batch, outcomes, raw)
+    return held.select("quarantine_id", "record_id", "raw_payload", "reason_code", "severity", "retry_eligible")
 
 
 @query("lsn_conflicts", """
@@ -71,10 +80,21 @@ def lsn_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("cdc_contract_violations", t.with_("feed", """
-SELECT lsn, client_id, op, 'DELETE_WITHOUT_BEFORE' AS violation FROM feed WHERE op = 'delete'"""))
+SELECT lsn, client_id, op, CASE WHEN op = 'insert' THEN 'INSERT_WITHOUT_AFTER' WHEN op = 'delete' THEN 'DELETE_WITHOUT_BEFORE'
+       WHEN lsn % 11 = 0 THEN 'UPDATE_WITHOUT_AFTER' WHEN lsn % 11 = 1 THEN 'UPDATE_WITHOUT_BEFORE' ELSE 'MALFORMED_BALANCE' END AS violation
+FROM feed WHERE (op = 'insert' AND lsn % 3 = 0) OR op = 'delete' OR (op = 'update' AND lsn % 11 IN (0, 1)) OR (has_balance AND lsn % 11 = 2)"""))
 def cdc_contract_violations(spark: SparkSession, folder: str) -> DataFrame:
-    """Events without the images their operation needs; here all deletes, which come without ``before``."""
-    return checks.event_contract_violations(t.feed(spark, folder))
+    """Events without the images their operation needs: images are taken from some events, deletes have none anyway."""
+    lost, place = F.lit(None).cast("map<string,string>"), F.col("lsn") % 11
+    insert, update = F.col("op") == "insert", F.col("op") == "update"
+    balance = F.create_map(F.lit(history.BALANCE), F.lit("n/a"))
+    has_balance = F.coalesce(F.map_contains_key("after", F.lit(history.BALANCE)), F.lit(False))
+    faulty = t.feed(spark, folder).withColumns({
+        "after": F.when((insert & (F.col("lsn") % 3 == 0)) | (update & (place == 0)), lost)
+        .when(has_balance & (place == 2), balance).otherwise(F.col("after")),
+        "before": F.when(update & (place == 1), lost).otherwise(F.col("before")),
+    })
+    return checks.event_contract_violations(faulty)
 
 
 @query("conflicting_inserts", t.with_("clients base feed", """
@@ -180,6 +200,20 @@ def replay_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     return _replayed(spark, folder)[1]
 
 
+@query("replay_from_start", t.with_(t.FULL, f"SELECT {_VERSION} FROM dim"))
+def replay_from_start(spark: SparkSession, folder: str) -> DataFrame:
+    """A replay whose window begins where the bootstrap versions do, before all events: the dimension stays what it was.
+
+    (Clients that the stand-in base deletes earlier, without an event, lie before the window.)"""
+    early = dt.datetime(2024, 1, 1)
+    events = t.feed(spark, folder)
+    dim = written(t.full_dimension(spark, folder)[0], "dim")
+    affected = replay.affected_clients(events, early, HIGH)
+    base = written(replay.base_at(dim, affected, early), "base")
+    again = history.apply_events(base, replay.events_to_rebuild(events, affected, early), hold=written)
+    return t.dimension_after(base, again)
+
+
 @query("replay_noop_diff", t.with_("feed", "SELECT 'lost' AS side, lsn FROM feed WHERE false"))
 def replay_noop_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Versions that a replay lost or added: none."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import hashing
 from ..operators import controls, dims, keyed, numbering
 from ..plans.publish import Warehouse
-from ..schemas import SNAPSHOT_FIELDS
+from ..schemas import SNAPSHOT_FIELDS, TYPES
 from ..session import scratch_path
 from ..sources import changes, files, snapshots, vendor
 from . import tables as t
@@ -25,31 +25,44 @@ def _paths(spark: SparkSession, folder: str, pattern: str = "part-*") -> list[st
 
 
 @query("land_snapshot", t.with_("deposits", """
-SELECT deposit_id, client_id, deposit_date, amount_usd, payment_method, status FROM deposits"""))
+SELECT deposit_id, client_id, deposit_date, amount_usd, payment_method, currency_original, CAST(1.5 AS DECIMAL(18,4)) AS exchange_rate,
+       status, 3 AS processing_days, fee_usd FROM deposits"""))
 def land_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """Deposits written as JSON, one object per line, and landed as text with lineage."""
-    path = scratch_path(spark, "snapshot")
-    t.deposits(spark, folder).write.json(path)
-    landed = snapshots.read_snapshot(spark, [path], SNAPSHOT_FIELDS["client_deposit"])
-    return landed.select(
-        "deposit_id", "client_id", F.col("deposit_date").cast("date").alias("deposit_date"),
-        F.col("amount_usd").cast("decimal(18,2)").alias("amount_usd"), "payment_method", "status",
-    )
+    """Deposits written as JSON arrays of up to a hundred objects per line, and landed one by one."""
+    path, fields = scratch_path(spark, "snapshot"), SNAPSHOT_FIELDS["client_deposit"]
+    rows = t.deposits(spark, folder).withColumns({"exchange_rate": F.lit(1.5), "processing_days": F.lit(3)})
+    hundred = F.expr("cast(deposit_id as bigint) div 100")
+    rows.groupBy(hundred.alias("h")).agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value")).select("value").write.text(path)
+    landed = snapshots.read_snapshot(spark, [path], fields)
+    return landed.select(*[F.col(f).cast(TYPES.get(f, "string")).alias(f) for f in fields])
 
 
 @query("land_vendor_csv", t.with_("delivered", """
-SELECT deposit_id, client_id, deposit_date, amount_usd, payment_method, status, processing_days, fee_usd FROM delivered"""))
+SELECT deposit_id, client_id, deposit_date, amount_usd, payment_method, status, processing_days, fee_usd, fee_usd AS delivered_fee FROM delivered"""))
 def land_vendor_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Vendor rows written as CSV files with two header layouts, and landed under one."""
+    landed = _land_vendor(spark, folder)
+    return landed.select(
+        "deposit_id", "client_id", "deposit_date", "amount_usd", "payment_method", "status", "processing_days", "fee_usd",
+        F.get_json_object("raw_payload", "$.fee_usd").alias("delivered_fee"),
+    )
+
+
+def _land_vendor(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "vendor")
     rows = t.delivered(spark, folder).select(*vendor.EXPECTED, "file_name")
     first = F.col("file_name").endswith("_a.csv")
     rows.where(first).drop("file_name").write.option("header", True).csv(f"{path}/plain")
     rows.where(~first).drop("file_name").withColumnRenamed("payment_method", "method").write.option("header", True).csv(f"{path}/alias")
-    landed, _ = vendor.read_vendor(spark, [p for part in ("plain", "alias") for p in _paths(spark, f"{path}/{part}")])
-    return landed.select(
-        "deposit_id", "client_id", "deposit_date", "amount_usd", "payment_method", "status", "processing_days", "fee_usd"
-    )
+    return vendor.read_vendor(spark, [p for part in ("plain", "alias") for p in _paths(spark, f"{path}/{part}")])[0]
+
+
+@query("schema_alias", t.with_("delivered", """
+SELECT deposit_id, payment_method, CASE WHEN file_name NOT LIKE '%_a.csv' THEN payment_method END AS delivered_as_alias FROM delivered"""))
+def schema_alias(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows delivered under either name of the method column, landed under one; the payload keeps the delivered name."""
+    return _land_vendor(spark, folder).select(
+        "deposit_id", "payment_method", F.get_json_object("raw_payload", "$.method").alias("delivered_as_alias"))
 
 
 def _keys_by_year(spark: SparkSession, folder: str, path: str) -> None:
@@ -131,11 +144,11 @@ def file_row_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("cdc_empty_input", "SELECT count(*) AS events_seen, 0 AS applied, 0 AS reconciled, 0 AS quarantined, 0 AS skipped FROM events WHERE event_type = 'heartbeat'")
 def cdc_empty_input(spark: SparkSession, folder: str) -> DataFrame:
-    """A feed without events of interest gives zero counters and no error."""
-    quiet = t.table(spark, folder, "events").where("event_type = 'heartbeat'").select(
-        F.col("event_id").alias("lsn"), F.lit("APPLIED").alias("outcome")
-    )
-    counters = controls.feed_counters(quiet, quiet)
+    """A feed without events of interest, delivered as files without a line, gives zero counters and no error."""
+    path = scratch_path(spark, "quiet")
+    t.table(spark, folder, "events").where("event_type = 'heartbeat'").select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    quiet = changes.read_changes(spark, _paths(spark, path))
+    counters = controls.feed_counters(quiet, quiet.select("lsn", F.lit("APPLIED").alias("outcome")))
     return counters.select("events_seen", *[F.col(c).cast("int").alias(c) for c in ("applied", "reconciled", "quarantined", "skipped")])
 
 

@@ -101,19 +101,20 @@ def dedup_conflict(spark: SparkSession, folder: str) -> DataFrame:
 @query("quarantine_records", t.with_(t.VENDOR, """
 SELECT sha256(concat_ws('|', 'vendor', file_name, CAST(row_num AS VARCHAR), disposition)) AS quarantine_id, 'vendor' AS source_system,
        file_name AS source_identifier, deposit_id AS record_id, disposition AS reason_code,
+       '{"deposit_id":' || coalesce('"' || deposit_id || '"', 'null') || ',"client_id":' || coalesce('"' || client_id || '"', 'null') || '}' AS raw_payload,
        CASE WHEN disposition IN ('ORPHAN_CLIENT', 'DUPLICATE_CONFLICT') THEN 'ERROR' ELSE 'CRITICAL' END AS severity,
        false AS is_resolved, disposition = 'ORPHAN_CLIENT' AS retry_eligible
 FROM judged WHERE disposition NOT IN ('STAGED', 'DUPLICATE')"""))
 def quarantine_records(spark: SparkSession, folder: str) -> DataFrame:
     """The rejected rows as quarantine records with repeatable ids."""
     return _quarantine(spark, folder).select(
-        "quarantine_id", "source_system", "source_identifier", "record_id", "reason_code", "severity", "is_resolved", "retry_eligible"
+        "quarantine_id", "source_system", "source_identifier", "record_id", "reason_code", "raw_payload", "severity", "is_resolved", "retry_eligible"
     )
 
 
 def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
     failed = _judged(spark, folder).where("verdict is not null")
-    payload = F.to_json(F.struct("deposit_id", "client_id", "amount_usd"), {"ignoreNullFields": "false"})
+    payload = F.to_json(F.struct("deposit_id", "client_id"), {"ignoreNullFields": "false"})
     return quality.quarantine_records(
         failed, "vendor", F.col("file_name"), F.col("deposit_id"), F.col("row_num"), payload, F.lit("b1"),
         F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"),
@@ -144,17 +145,22 @@ SELECT file_name, round(avg(CASE WHEN disposition IN ('STAGED', 'DUPLICATE') THE
 FROM judged GROUP BY file_name"""))
 def validity_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Share of valid rows per file, against a target of 99 %."""
-    ratio = F.avg(F.when(F.col("verdict").isNull(), 1.0).otherwise(0.0))
-    shares = _judged(spark, folder).groupBy("file_name").agg(ratio.alias("ratio"))
-    return shares.select("file_name", F.round("ratio", 6).alias("valid_ratio"), (F.col("ratio") >= 0.99).alias("within_target"))
+    return quality.validity(_judged(spark, folder), ["file_name"])
 
 
 @query("row_contract_violations", t.with_("deposits", """
-SELECT deposit_id, CASE WHEN status NOT IN ('completed', 'pending', 'failed') THEN 'UNKNOWN_STATUS' ELSE 'UNKNOWN_METHOD' END AS reason
-FROM deposits WHERE status NOT IN ('completed', 'pending', 'failed') OR payment_method NOT IN ('bank_transfer', 'credit_card', 'e_wallet')"""))
+SELECT deposit_id, CASE WHEN amount_usd < 20000 THEN 'BLANK_ID' WHEN status = 'failed' AND amount_usd > 150000 THEN 'UNKNOWN_STATUS'
+       ELSE 'UNKNOWN_METHOD' END AS reason
+FROM deposits WHERE amount_usd < 20000 OR (status = 'failed' AND amount_usd > 150000) OR payment_method NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')"""))
 def row_contract_violations(spark: SparkSession, folder: str) -> DataFrame:
-    """Deposits with blank ids, an unknown status or an unknown method (order priorities are none)."""
-    judged = t.deposits(spark, folder).withColumn("verdict", quality.first_failure(quality.contract_rules()))
+    """Deposits with a blank client id (the small ones), an unknown status (large failed ones) or an unknown method."""
+    method = F.when(F.col("payment_method") == "1-URGENT", "bank_transfer").when(F.col("payment_method") == "2-HIGH", "credit_card")
+    rows = t.deposits(spark, folder).withColumns({
+        "client_id": F.when(F.col("amount_usd") < 20000, "  ").otherwise(F.col("client_id")),
+        "status": F.when((F.col("status") == "failed") & (F.col("amount_usd") > 150000), "lost").otherwise(F.col("status")),
+        "payment_method": method.when(F.col("payment_method") == "3-MEDIUM", "e_wallet").otherwise(F.col("payment_method")),
+    })
+    judged = rows.withColumn("verdict", quality.first_failure(quality.contract_rules()))
     return judged.where("verdict is not null").select("deposit_id", F.col("verdict.reason").alias("reason"))
 
 
@@ -177,15 +183,6 @@ def schema_drift_report(spark: SparkSession, folder: str) -> DataFrame:
     return vendor.drift_report(heads)
 
 
-@query("schema_alias", t.with_("deposits", "SELECT deposit_id, payment_method, payment_method LIKE '1%' AS renamed FROM deposits"))
-def schema_alias(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows delivered under either name of the method column, together under one."""
-    rows = t.deposits(spark, folder).select("deposit_id", "payment_method")
-    old = rows.where("payment_method not like '1%'").withColumn("renamed", F.lit(False))
-    new = rows.where("payment_method like '1%'").withColumnRenamed("payment_method", "method")
-    return old.unionByName(new.withColumnsRenamed(vendor.ALIASES).withColumn("renamed", F.lit(True)))
-
-
 @query("column_fallback", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' OR o_orderpriority = '5-LOW' THEN 'card' ELSE o_orderpriority END AS payment_method FROM orders""")
 def column_fallback(spark: SparkSession, folder: str) -> DataFrame:
@@ -385,8 +382,7 @@ SELECT c.client_id, b.valid_from AS observed_at, c.account_balance_usd AS balanc
 FROM clients c JOIN base b ON c.client_id = b.client_id WHERE b.is_current"""))
 def opening_balances(spark: SparkSession, folder: str) -> DataFrame:
     """The profile balance as the first observation of every current client."""
-    start = t.base_dimension(spark, folder).where("is_current").select("client_id", F.col("valid_from").alias("observed_at"))
-    return t.clients(spark, folder).join(start, "client_id").select("client_id", "observed_at", F.col("account_balance_usd").alias("balance_usd"))
+    return dims.opening_balances(t.clients(spark, folder), t.base_dimension(spark, folder))
 
 
 @query("current_clients", t.with_("clients base", "SELECT client_sk, client_id, risk_category FROM base WHERE is_current"))
