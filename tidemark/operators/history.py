@@ -208,7 +208,7 @@ def apply_events(
     narrow = keep(narrow_events(events, block), "events")
     lives = keep(_lives(_block_summaries(narrow), known_clients(dim)), "lives")
     placed = narrow.join(lives, ["client_id", "block"], "left")
-    live = _live_events(placed)
+    live = keep(_live_events(placed), "live")
 
     opened = live.where("opens").select(
         "client_id", "block", F.col("lsn").alias("opened_by_lsn"), F.col("commit_ts").alias("valid_from"),

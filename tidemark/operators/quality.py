@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -77,13 +77,16 @@ def typed_vendor_columns(df: DataFrame) -> DataFrame:
     return df.drop(*names).withColumnsRenamed({f"t_{c}": c for c in names})
 
 
-def judge_vendor_rows(raw: DataFrame, current_clients: DataFrame, staged: DataFrame | None = None) -> DataFrame:
+def judge_vendor_rows(
+    raw: DataFrame, current_clients: DataFrame, staged: DataFrame | None = None, hold: Callable[[DataFrame, str], DataFrame] | None = None
+) -> DataFrame:
     """Every landed vendor row with its ``disposition``: STAGED, DUPLICATE or a quarantine reason.
 
     ``raw`` holds the text columns plus file_name and row_num, ``current_clients`` client_id (unique) and
     client_sk, ``staged`` deposit_id and row_hash accepted by earlier batches.
     The first valid row of a deposit wins; rows that fail a rule never compete. The winner is found by an
-    aggregate and joined back, so copies of one deposit are combined before they are shuffled.
+    aggregate and joined back, so copies of one deposit are combined before they are shuffled. Typed, looked-up and
+    hashed rows are read twice for that; ``hold``, e.g. ``session.written``, keeps them instead.
     """
     typed = type_vendor_rows(raw).withColumn("verdict", first_failure(vendor_rules()))
     clients = current_clients.select("client_id", "client_sk")
@@ -97,7 +100,7 @@ def judge_vendor_rows(raw: DataFrame, current_clients: DataFrame, staged: DataFr
     hashed = canonical.withColumn("row_hash", row_digest(canonical, VENDOR_HASH_FIELDS))
     if staged is not None:  # only the deposits that came again matter
         staged = staged.join(raw.select("deposit_id").distinct(), "deposit_id", "left_semi")
-    return _settle_duplicates(hashed, staged)
+    return _settle_duplicates(hold(hashed, "hashed") if hold else hashed, staged)
 
 
 def _settle_duplicates(rows: DataFrame, staged: DataFrame | None) -> DataFrame:

@@ -113,7 +113,7 @@ def load_vendor(batch: Batch, folder: str) -> dict[str, object]:
         batch.table("raw_vendor_deposit"), landed, ["file_hash", "row_num"], ["file_name"]))
     current = batch.table("dim_client").where("is_current")
     staged = batch.table("stg_vendor_deposit").select("deposit_id", F.col("canonical_row_hash").alias("row_hash"))
-    judged = written(quality.judge_vendor_rows(landed, current, staged), "judged-vendor")
+    judged = written(quality.judge_vendor_rows(landed, current, staged, hold=written), "judged-vendor")
     good = judged.where(F.col("disposition") == quality.STAGED)
     batch.append("stg_vendor_deposit", good.withColumns({"canonical_row_hash": F.col("row_hash"), "staged_at": batch.at}))
     batch.append("fact_deposit", insert_if_absent(

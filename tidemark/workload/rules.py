@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import clock, hashing, images, masking
 from ..operators import checks, controls, dims, keyed, numbering, quality
 from ..plans import analytics
+from ..session import written
 from ..sources import snapshots, vendor
 from . import tables as t
 from .registry import query
@@ -17,7 +18,7 @@ def _current(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge_vendor_rows(t.delivered(spark, folder), _current(spark, folder))
+    return quality.judge_vendor_rows(t.delivered(spark, folder), _current(spark, folder), hold=written)
 
 
 # --- dispositions ----------------------------------------------------------------------------------------
