@@ -1,6 +1,7 @@
 """Whole runs over small deliveries."""
 
 import datetime as dt
+import json
 import os
 import shutil
 from decimal import Decimal
@@ -163,6 +164,21 @@ def test_later_and_late_events(spark, folder, copy_of, tmp_path):
     assert sorted(r.lsn for r in balances.where("client_id = 'K001'").collect()) == [505, 507, 521]
 
 
+def test_placeholder_is_completed_on_arrival(spark, folder, copy_of, tmp_path):
+    inbox = str(tmp_path / "in")
+    shutil.copytree(folder, inbox)
+    for name, rows in (("client_signup", deliveries.signup()), ("client_profile", deliveries.profile())):
+        late = rows[-1] | {"client_id": "K031"} | ({"full_name": "Late Person"} if name == "client_profile" else {})
+        with open(f"{inbox}/{name}.json", "w") as out:
+            json.dump([*rows, late], out)  # the whole array on one line
+    before = Warehouse(spark, copy_of).read("dim_client").where("client_id = 'K031'").first()
+    report = ingest.run(spark, copy_of, inbox, "batch-31")
+    assert report["core"]["client_signup"] == 31
+    after = Warehouse(spark, copy_of).read("dim_client").where("client_id = 'K031'").collect()
+    assert before.is_inferred and [(r.client_sk, r.full_name, r.is_inferred) for r in after] == [(before.client_sk, "Late Person", False)]
+    assert counts(spark, copy_of)["dim_client"] == EXPECTED["dim_client"]
+
+
 def test_second_writer_is_refused(spark, tmp_path):
     warehouse = Warehouse(spark, str(tmp_path / "w"))
     first, second = warehouse.begin("one"), warehouse.begin("two")

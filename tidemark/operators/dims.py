@@ -43,9 +43,9 @@ def open_version(rows: DataFrame, history_start: str = HISTORY_START, inferred:
     })
 
 
-def bootstrap_clients(signup: DataFrame, profile: DataFrame, dim: DataFrame, history_start: str = HISTORY_START) -> DataFrame:
-    """First versions of clients found on both sides and not yet in the dimension, unnumbered."""
-    both = signup.select(
+def known_people(signup: DataFrame, profile: DataFrame) -> DataFrame:
+    """The attributes of clients found on both sides."""
+    return signup.select(
         "client_id", "email", "country", "account_type", "kyc_status", "referral_source",
         "signup_platform", "promo_code", "assigned_manager",
     ).join(
@@ -55,6 +55,11 @@ def bootstrap_clients(signup: DataFrame, profile: DataFrame, dim: DataFrame, his
         ),
         "client_id",
     )
+
+
+def bootstrap_clients(signup: DataFrame, profile: DataFrame, dim: DataFrame, history_start: str = HISTORY_START) -> DataFrame:
+    """First versions of clients found on both sides and not yet in the dimension, unnumbered."""
+    both = known_people(signup, profile)
     return open_version(both.join(dim.select("client_id"), "client_id", "left_anti"), history_start)
 
 

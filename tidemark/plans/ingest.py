@@ -71,8 +71,12 @@ def load_core(batch: Batch, folder: str, history_start: str = dims.HISTORY_START
         manifest = manifest_rows(batch.spark.createDataFrame(counts, names), "warehouse", batch.id, batch.at)
         batch.append("ingestion_file_manifest", manifest)
     if "client_signup" in landed or "client_profile" in landed:
-        dim = batch.table("dim_client")
-        first = dims.bootstrap_clients(batch.table("stg_client_signup"), batch.table("stg_client_profile"), dim, history_start)
+        dim, signup, profile = (batch.table(n) for n in ("dim_client", "stg_client_signup", "stg_client_profile"))
+        arrived = dims.known_people(signup, profile).join(dim.where("is_inferred").select("client_id").distinct(), "client_id", "left_semi")
+        arrived = written(arrived, "arrived")
+        if not arrived.isEmpty():  # placeholders whose own data has come
+            dim = batch.replace("dim_client", dims.complete_inferred(dim, arrived))
+        first = dims.bootstrap_clients(signup, profile, dim, history_start)
         batch.append("dim_client", dims.number_clients(first.withColumns(audit), dims.top_key(dim)))
     dim = batch.table("dim_client")
     deposits, trades = (landed[n][1] if n in landed else None for n in ("client_deposit", "client_trades"))
