@@ -92,7 +92,7 @@ class Codec:
         self.vocabulary = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.vocabulary))
         self.matches = regex.compile(pattern).findall
-        self.encode = tokens.Known(self._ids_of).encode
+        self.encode = tokens.Known(self._ids_of, limit=500_000).encode  # encoders and decoders share an executor
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers: all pre-tokens in one call of the model."""
