@@ -26,18 +26,32 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return judged.where(~F.col("rejected")).select(*docs.columns)
 
 
+_last: list[common.Scratch] = []
+
+
+def _scratch(spark: SparkSession, label: str) -> common.Scratch:
+    """A stage's own scratch folder. The stage before has been written by now (see above), so its folder goes."""
+    while _last:
+        before = _last.pop()
+        before.spark = spark  # the session may be another one by now
+        before.drop()
+    _last.append(common.Scratch(spark, label))
+    return _last[0]
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts, up to white space, the row with the smallest id stays."""
-    return exact_dedup.kept_rows(docs)
+    return exact_dedup.kept_rows(docs, scratch=_scratch(spark, "exact-dedup"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (five words, 80 %): of each group of linked documents the one with the smallest id stays."""
-    return jaccard.kept_rows(docs)
+    return jaccard.kept_rows(docs, scratch=_scratch(spark, "near-dedup"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of all documents that are left, with their ids."""
+    _scratch(spark, "packing")
     return packing.pack(docs)
 
 

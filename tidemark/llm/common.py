@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,11 +49,21 @@ class Scratch:
         self.spark = spark
         self.root = os.path.join(shared_folder(spark), "tidemark", f"{label}-{uuid.uuid4().hex}")
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sweep(self) -> None:
+        """Let the shuffle files of finished jobs go now.
+
+        Spark removes them when the driver collects its garbage. A driver with a roomy heap may not do so for long,
+        and the disks of all executors then hold every shuffle of a job in many steps.
+        """
+        for _ in range(2):  # what Python still refers to goes first
+            gc.collect()
+            self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         path_of = self.spark._jvm.org.apache.hadoop.fs.Path
         for name in names or ("",):

@@ -147,8 +147,11 @@ def groups_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modul
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_bytes")
 
 
-def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, by the rules of ``groups_of``, with all their columns."""
-    scratch = common.Scratch(docs.sparkSession, "exact-dedup")
+def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: common.Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, by the rules of ``groups_of``, with all their columns.
+
+    A caller that passes ``scratch`` can drop it once the result is written.
+    """
+    scratch = scratch or common.Scratch(docs.sparkSession, "exact-dedup")
     numbered, groups = _compared(docs, scratch, doc_id, text, MODULI, CHUNK)
     return numbered.select("doc", "row").join(groups.where("kept").select("row"), "row", "left_semi").select("doc.*")

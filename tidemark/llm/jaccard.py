@@ -16,6 +16,9 @@ a round's hash order is the hub, each node is verified against the hub with whic
 are contracted to components. Only then all pairs are formed, within a block, that are in different components,
 agree in size and have sketches of 512 bits no further apart than d: none is left out, and few are left. Each pair is
 verified on the whole sets. So the result is exact, up to equal 64-bit hashes of different shingles.
+
+Joins of the blocks, texts and sets ask for a merge join: none of their sides is bounded, so the plan is the same at
+every size, and adaptive execution can still split a hot key.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, components
 
-WORDS_HELD = 800_000
+WORDS_HELD = 250_000
 SKETCH_BITS = 512
 HUB_ROUNDS = 2
 
@@ -126,20 +129,21 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketched(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """row, n_shingles, digest of the set, join keys and sketch of (row, text)."""
+    """row, doc_id, n_shingles, digest of the set, join keys and sketch of (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shingler(size)
         for batch in batches:
-            sets = [cut(value or "") for value in batch.column(1).to_pylist()]
+            sets = [cut(value or "") for value in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([block_keys(s, percent).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 pa.array([parity_sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-            ], names=["row", "n_shingles", "digest", "keys", "sketch"])
+            ], names=["row", "doc_id", "n_shingles", "digest", "keys", "sketch"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_shingles long, digest binary, keys array<long>, sketch array<long>")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -162,46 +166,51 @@ def _plausible(a: Column, b: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    common_ = F.size(F.array_intersect("sa", "sb"))
+    """The pairs (a, b) whose sets are similar. A set that sketch or size rule out is not looked through."""
+    one = sets.select(F.col("node").alias("a"), F.col("f").alias("fa"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("node").alias("b"), F.col("f").alias("fb"), F.col("shingles").alias("sb"))
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    shared = F.when(_plausible(F.col("fa"), F.col("fb"), percent), F.size(F.array_intersect("sa", "sb"))).otherwise(0)
     sizes = F.size("sa") + F.size("sb")
-    return both.withColumn("shared", common_).where(F.col("shared") * (100 + percent) >= sizes * percent).select("a", "b")
+    return both.where(shared * (100 + percent) >= sizes * percent).select("a", "b")
 
 
 def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(the numbered rows of ``docs`` as a struct, set size and component of every row number)."""
     common.bounded_batches(docs.sparkSession)
     numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    numbered = scratch.keep(numbered, "numbered")
-    texts = numbered.select("row", F.col(f"doc.{text}").alias("text"))
+    numbered = scratch.keep(numbered, "numbered", "zstd")
+    texts = numbered.select("row", F.col(f"doc.{doc_id}").alias("doc_id"), F.col(f"doc.{text}").alias("text"))
     sketched = scratch.keep(_sketched(texts, size, percent), "sketched")
-    ids = numbered.select("row", F.col(f"doc.{doc_id}").alias("doc_id"))
-    named = scratch.keep(ids.join(sketched.select("row", "n_shingles", "digest"), "row"), "named")
+    named = scratch.keep(sketched.drop("keys"), "named")
+    # of all blocks only those that occur again go on, of these only the ones of nodes, and again those that recur
+    blocks = sketched.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
+    again = lambda rows: rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = scratch.keep(again(blocks), "keys")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
     nodes = named.where("n_shingles > 0").groupBy("digest").agg(least)
     nodes = scratch.keep(nodes.select("digest", F.col("least.row").alias("node"), F.col("least.doc_id").alias("node_id")), "nodes")
-    # each block with its node, once; written, as it is read for the hubs and then for the members
-    own = sketched.select("row", "keys").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
-    blocks = scratch.keep(own.select(F.explode("keys").alias("key"), F.col("row").alias("node")), "blocks")
-    counted = blocks.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    shared = scratch.keep(blocks.join(scratch.keep(counted.select("key"), "keys"), "key"), "shared")
-    scratch.drop("blocks", "keys")
+    scratch.sweep()
+    met = blocks.join(keys.hint("merge"), "key").join(nodes.select("node").hint("merge"), "node", "left_semi")
+    met = scratch.keep(met, "met")
+    scratch.drop("sketched", "keys")
+    scratch.sweep()
+    shared = scratch.keep(met.join(scratch.keep(again(met), "keys-of-nodes").hint("merge"), "key"), "shared")
+    scratch.drop("met", "keys-of-nodes")
+    scratch.sweep()
 
     members = scratch.keep(shared.select(F.col("node").alias("row")).distinct(), "members")
-    facts = sketched.select("row", F.col("n_shingles").alias("n"), "sketch").join(members, "row", "left_semi")
+    facts = named.select("row", F.col("n_shingles").alias("n"), "sketch").join(members.hint("merge"), "row", "left_semi")
     facts = scratch.keep(facts.withColumnRenamed("row", "node"), "facts")
-    scratch.drop("sketched")
-    sets = scratch.keep(_sets(texts.join(members, "row", "left_semi"), size), "sets")
-
+    scratch.sweep()
     look = facts.select("node", F.struct("n", "sketch").alias("f"))
+    sets = _sets(texts.join(members.hint("merge"), "row", "left_semi"), size)
+    sets = scratch.keep(sets.join(look.hint("merge"), "node"), "sets")
+    scratch.sweep()
+
     links, roots = None, None
     for turn in range(HUB_ROUNDS):
-        pairs = _hub_pairs(shared, roots, turn)
-        pairs = pairs.join(look.withColumnsRenamed({"node": "a", "f": "fa"}), "a").join(look.withColumnsRenamed({"node": "b", "f": "fb"}), "b")
-        pairs = scratch.keep(pairs.where(_plausible(F.col("fa"), F.col("fb"), percent)).select("a", "b"), f"hubs-{turn}")
+        pairs = scratch.keep(_hub_pairs(shared, roots, turn), f"hubs-{turn}")
         found = scratch.keep(_verified(pairs, sets, percent), f"links-{turn}")
         links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         roots = components.stars(links, scratch, f"stars-{turn}")
@@ -224,7 +233,7 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     placed = scratch.keep(placed.select("digest", "root").join(scratch.keep(leaders, "leaders"), "root").drop("root"), "placed")
     scratch.drop("sets", "shared", "rooted", "open")
     alone = F.col("n_shingles") == 0
-    return numbered, named.join(placed, "digest", "left").select(
+    return numbered, named.drop("sketch").join(placed, "digest", "left").select(
         "row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("leader_id")).alias("component_id"),
         (alone | (F.col("row") == F.col("leader_row"))).alias("first"),
     )
@@ -242,9 +251,13 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     return _placed(docs.select(doc_id, text), scratch, doc_id, text, size, percent)[1].drop("row")
 
 
-def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The first row of each component, with all its columns; rows without words all stay."""
-    scratch = common.Scratch(docs.sparkSession, "jaccard")
+def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
+              scratch: common.Scratch | None = None) -> DataFrame:
+    """The first row of each component, with all its columns; rows without words all stay.
+
+    A caller that passes ``scratch`` can drop it once the result is written.
+    """
+    scratch = scratch or common.Scratch(docs.sparkSession, "jaccard")
     numbered, placed = _placed(docs, scratch, doc_id, text, size, percent)
     return numbered.join(placed.where("first").select("row"), "row", "left_semi").select("doc.*")
 
