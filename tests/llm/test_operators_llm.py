@@ -279,6 +279,22 @@ def test_packing_rows(spark, awkward):
     assert packing.pack(awkward.limit(0)).count() == 0
 
 
+def test_packing_tokenises_as_the_library_at_its_defaults(spark):
+    """Also where a text holds the added token, beside blanks and other white space, repeated or cut short."""
+    mark, encoder = "<|endoftext|>", tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    around = ["", " ", "  ", "\n", " \n ", "\t", "\xa0", "a", " a", "a ", "'s", "!", mark]
+    texts = [left + mark + right for left in around for right in around]
+    texts += [f"so{t}on and {t} so {t}" for t in texts] + ["<|endoftext|", "<|endo ftext|>", "<|ENDOFTEXT|>", f"<|{mark}|>", *odd_texts(2000)]
+    want = {i: [*encoder.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert any(50256 in ids for ids in want.values())
+    own = packing.tokens_of(packing.RANKS, packing.VOCABULARY)
+    assert all(list(memoryview(own.encode(t)).cast("I")) == want[i][:-1] for i, t in enumerate(texts))
+    got = defaultdict(list)
+    for r in packing.pack(frame(spark, list(enumerate(texts)))).orderBy("start").collect():
+        got[r.doc_id] += memoryview(bytes(r.ids)).cast("I")
+    assert got == want
+
+
 @tables
 def test_packing_documents(spark):
     docs = common.table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text")

@@ -13,6 +13,7 @@ There is no shuffle: every task packs the documents of its own partition, tokeni
 from __future__ import annotations
 
 import base64
+import json
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,28 +30,47 @@ from tidemark.llm import common, tokens
 
 #: The 50k byte-level vocabulary, as ranks. The library that reads the JSON form gives the same ids, more slowly.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The JSON form, which alone lists the added tokens.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW, END = 2048, 1
 #: A task numbers its sequences from partition * 2^SEQUENCE_BITS.
 SEQUENCE_BITS = 36
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of a vocabulary's JSON form, which the library matches inside texts, special or not."""
+    with open(vocabulary, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or any(map(str.isspace, token["content"])):
+            raise ValueError(f"the rank form cannot match the added token {token['content']!r} as the library does")
+    return {token["content"]: token["id"] for token in added}
+
+
 class Tokens:
-    """Text -> ids as little-endian unsigned 32-bit bytes, with a cache of pieces per worker."""
+    """Text -> ids as little-endian unsigned 32-bit bytes, with a cache of pieces per worker.
 
-    def __init__(self, ranks_path: str):
+    An added token's text is that token wherever it stands. It holds no white space, so no cut goes through it.
+    """
+
+    def __init__(self, ranks_path: str, vocabulary: str):
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(text): int(rank) for text, rank in map(bytes.split, filter(bytes.strip, lines))}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = added_tokens(vocabulary)
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+        def ids_of(piece: str) -> list[int]:
+            return own.encode(piece, allowed_special="all") if any(text in piece for text in added) else own.encode_ordinary(piece)
 
         def encode(pieces: list[str]) -> list[bytes]:
-            return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(own.encode_ordinary, pieces)]
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(ids_of, pieces)]
 
         self.encode = tokens.Known(encode).encode
 
 
 @lru_cache(maxsize=2)
-def tokens_of(ranks_path: str) -> Tokens:
-    return Tokens(ranks_path)
+def tokens_of(ranks_path: str, vocabulary: str) -> Tokens:
+    return Tokens(ranks_path, vocabulary)
 
 
 class Piece:
@@ -165,11 +185,11 @@ def sequences(documents: Iterator[tuple[object, bytes]], window: int, max_open:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END,
-         ranks_path: str = RANKS, max_open: int = 2048) -> DataFrame:
+         ranks_path: str = RANKS, max_open: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces of all documents: id, start, length, ids, doc_tokens, sequence_id, offset.
 
     A null or empty text is the one id ``end``. Repeated rows are packed each; a null id stays null. Other columns
-    are left out. No rows give no rows. ``ids`` are little-endian unsigned 32-bit integers. ``max_open`` bounds the
+    are left out. No rows give no rows. The text of an added token of ``vocabulary`` is that token. ``ids`` are little-endian unsigned 32-bit integers. ``max_open`` bounds the
     memory of a task (at most that many windows of ids); it drops nothing.
     """
     common.bounded_batches(docs.sparkSession)
@@ -181,7 +201,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, closing = tokens_of(ranks_path), struct.pack("<I", end)
+        own, closing = tokens_of(ranks_path, vocabulary), struct.pack("<I", end)
         number = TaskContext.get().partitionId() << SEQUENCE_BITS
         key_type = None
 
