@@ -362,6 +362,26 @@ def test_archive_round_trip(spark, tmp_path):
         warc.inventory(spark, str(tmp_path / "forged")).collect()
 
 
+@pytest.mark.parametrize("kind", ["response", "revisit"])
+def test_archive_query_puts_every_record_together(spark, tmp_path, monkeypatch, kind):
+    """A record whose block is not as long as its header says fails the registered query."""
+    spark.createDataFrame([(1, "http://a", "same é"), (2, "http://b", "same é"), (3, "http://c", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    query, write = queries.op6_warc_archive, warc.write_archive
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in query(spark, str(tmp_path)).orderBy("page_id").collect()] == [
+        (1, 7, "response"), (2, 7, "revisit"), (3, 0, "response")]
+
+    def write_wrong(pages, folder):
+        write(pages, f"{folder}/right")
+        spark.read.parquet(f"{folder}/right/payloads").write.parquet(f"{folder}/payloads")
+        head = F.col("head").cast("string")
+        wrong = F.when(F.contains(head, F.lit(f"WARC-Type: {kind}")), F.regexp_replace(head, "^((?s).*?)\r\nContent-Length: ", "$1\r\nContent-Length: 1")).otherwise(head)
+        spark.read.parquet(f"{folder}/right/records").withColumn("head", wrong.cast("binary")).write.parquet(f"{folder}/records")
+
+    monkeypatch.setattr(warc, "write_archive", write_wrong)
+    with pytest.raises(Exception, match="not as long as its Content-Length"):
+        query(spark, str(tmp_path)).collect()
+
+
 def brute_groups(rows):
     groups = defaultdict(list)
     for i, text in rows:

@@ -75,10 +75,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM named
 """)
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all pages as an archive, then read it back: one row per record."""
+    """Write all pages as an archive, then put every record together again: one row per record."""
     folder = common.Scratch(spark, "warc").root
     warc.write_archive(common.table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
-    return warc.inventory(spark, folder).select(
+    return warc.reconstruct(spark, folder).select(
         "page_id", F.col("n").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

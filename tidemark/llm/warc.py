@@ -122,7 +122,22 @@ def inventory(spark: SparkSession, folder: str, id_type: str = "long") -> DataFr
 
 
 def reconstruct(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
-    """``inventory`` with ``payload`` and ``record``, the record's bytes as an archive file holds them."""
-    whole = inventory(spark, folder, id_type).join(read_payloads(spark, folder).select("address", "payload"), "address")
+    """``inventory`` with ``payload`` and ``record``, the record's bytes as an archive file holds them.
+
+    Size and digest are those of the joined payload. A record without a payload, with another one than its header
+    names, or with a block that is not as long as its Content-Length says, fails the read of ``n``, ``digest`` or
+    ``record``.
+    """
+    joined = read_records(spark, folder, id_type).join(read_payloads(spark, folder).select("address", "payload"), "address", "left")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return whole.withColumn("record", F.concat("head", body, F.lit(EOL * 2).cast("binary")))
+    whole = joined.withColumn("record", F.concat("head", body, F.lit(EOL * 2).cast("binary"))).withColumn("digest", base32(F.sha1("payload")))
+    # the block begins after the empty line that ends the WARC header and ends before the record's two line ends
+    header = F.substring_index(F.col("head").cast("string"), EOL * 2, 1)
+    block = F.octet_length("record") - F.octet_length(header) - 2 * len(EOL * 2)
+    long = block.cast("long").eqNullSafe(_field("Content-Length", "([0-9]+)").cast("long"))
+    right = F.col("digest").eqNullSafe(F.col("header_digest"))
+    return whole.select(
+        *joined.columns, _checked(F.octet_length("payload"), long, "a record's block is not as long as its Content-Length").alias("n"),
+        _checked(F.col("digest"), right, "a record's payload is missing or not the one of its header").alias("digest"),
+        _checked(F.col("record"), long, "a record's block is not as long as its Content-Length").alias("record"),
+    )
