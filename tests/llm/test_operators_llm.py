@@ -194,6 +194,60 @@ def test_learned_parts_reach_their_recall():
     assert model.visits <= parts // 2 and recall >= 0.9
 
 
+def test_visits_follow_from_vectors_outside_training(monkeypatch):
+    """Nothing that sets the number of visits was seen by graph, parts or classifier."""
+    x, seen, graphs = np.random.default_rng(9).standard_normal((1024, 8)), [], []
+    cut, train = ann.balanced_parts, ann._trained
+    monkeypatch.setattr(ann, "balanced_parts", lambda vectors, graph, parts: graphs.append(vectors) or cut(vectors, graph, parts))
+    monkeypatch.setattr(ann, "_trained", lambda vectors, soft: seen.append(vectors) or train(vectors, soft))
+    model = ann.fit(x, 20)
+    inside = {tuple(v) for v in seen[0]}
+    assert {tuple(v) for v in graphs[0]} == inside and len(inside) == 896
+    new = np.array([tuple(v) not in inside for v in x])
+    near, part = ann.nearest_in(x, 20)[new], model.logits(x).argmax(axis=1)
+
+    def covered(visits):
+        visited = np.argsort(-model.logits(x[new]), axis=1)[:, :visits]
+        return np.concatenate([np.isin(part[n[new[n]]], v) for n, v in zip(near, visited)]).mean()
+
+    assert covered(model.visits) >= ann.COVERAGE and (model.visits == 1 or covered(model.visits - 1) < ann.COVERAGE)
+
+
+def test_search_goes_on_until_there_are_enough_candidates(spark, monkeypatch):
+    """With parts that hold fewer than k + 1 candidates, k are found all the same."""
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda sample, k: fit(sample, k)._replace(visits=1))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(7).standard_normal((600, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (200, 599, 700):
+        got = Counter(r.query_id for r in ann.search(df, F.col("vec_id") % 100 == 0, k=k).collect())
+        assert got == {q: min(k, 599) for q in range(0, 600, 100)}
+
+
+@tables
+def test_search_recall_outside_the_sample(spark, monkeypatch):
+    """The given vectors with half of them outside the sample: nine tenths of the neighbours are found, and of those outside."""
+    monkeypatch.setattr(ann, "SAMPLE", 1024)
+    vectors = common.table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = [(r.vec_id, list(r.embedding)) for r in vectors.collect()]
+    drawn, fit = set(), ann.fit
+    monkeypatch.setattr(ann, "fit", lambda sample, k: drawn.update(map(tuple, sample)) or fit(sample, k))
+    got = defaultdict(set)
+    for r in queries.op3_learned_partitions(spark, "/root/testdata/sf0.1").collect():
+        got[r.query_id].add(r.vec_id)
+    assert len(drawn) < 1200
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    outside, found, found_outside = np.array([tuple(v) not in drawn for v in x]), [], []
+    for q in np.flatnonzero(ids % 20 == 0):
+        order = np.lexsort((ids, -(x @ x[q])))
+        near = order[order != q][:20]
+        hit = np.isin(ids[near], list(got[int(ids[q])]))
+        found.append(hit)
+        found_outside.append(hit[outside[near]])
+    print("recall", np.mean(found), "outside", np.concatenate(found_outside).mean())
+    assert np.mean(found) >= 0.9 and np.concatenate(found_outside).mean() >= 0.9
+
+
 @tables
 def test_search_recall(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in common.table(spark, "/root/testdata/sf0.1", "embeddings").collect()]

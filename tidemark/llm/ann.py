@@ -3,8 +3,9 @@
 On a bounded sample, the graph of nearest neighbours is cut into parts of equal size with few neighbours apart. A
 small classifier then learns, from a vector alone, in which parts its neighbours lie. It places every vector of the
 table in its most probable part, and sends a query to several of its most probable parts, whose members are all
-scored exactly. How many parts are visited follows from sample vectors that were not trained on: as many as hold
-``COVERAGE`` of their true neighbours.
+scored exactly. How many parts are visited follows from sample vectors that neither graph, parts nor classifier have
+seen, both as queries and as neighbours: as many as hold ``COVERAGE`` of their true neighbours among them. A query
+whose parts hold too few candidates goes on to further parts.
 
 Only the sample (``SAMPLE`` vectors expected, drawn by hash) and the model are bounded and touch the driver. A part
 is searched in blocks of members and blocks of queries, so no task holds more than a block of each, however full a
@@ -116,17 +117,20 @@ def fit(sample: np.ndarray, k: int) -> Model:
         parts *= 2
     if parts == 1:
         return Model(np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    graph = nearest_in(sample, min(NEIGHBOURS, n - 1))
-    part = balanced_parts(sample, graph, parts)
-    soft = np.zeros((n, parts))
-    np.add.at(soft, (np.repeat(np.arange(n), graph.shape[1]), part[graph.ravel()]), 1)
-    soft[np.arange(n), part] += 1
     trained = np.random.default_rng(5).permutation(n) >= n // 8
-    model = _trained(sample[trained], (soft / soft.sum(axis=1, keepdims=True))[trained])
-    logits = model.logits(sample)
-    placed, near = logits.argmax(axis=1), nearest_in(sample, min(k, n - 1))[~trained]
-    turn = np.argsort(np.argsort(-logits[~trained], axis=1), axis=1)  # when a query would visit each part
-    visited = np.take_along_axis(turn, placed[near], axis=1)
+    seen, unseen = sample[trained], sample[~trained]
+    graph = nearest_in(seen, min(NEIGHBOURS, len(seen) - 1))
+    part = balanced_parts(seen, graph, parts)
+    soft = np.zeros((len(seen), parts))
+    np.add.at(soft, (np.repeat(np.arange(len(seen)), graph.shape[1]), part[graph.ravel()]), 1)
+    soft[np.arange(len(seen)), part] += 1
+    model = _trained(seen, soft / soft.sum(axis=1, keepdims=True))
+    # members outside the sample are placed as the unseen ones are, so only these count as neighbours
+    placed, near = model.logits(sample).argmax(axis=1), nearest_in(sample, min(k, n - 1))[~trained]
+    turn = np.argsort(np.argsort(-model.logits(unseen), axis=1), axis=1)  # when a query would visit each part
+    visited = np.take_along_axis(turn, placed[near], axis=1)[~trained[near]]
+    if not len(visited):
+        return model._replace(visits=parts)
     covered = [(visited < visits).mean() for visits in range(1, parts + 1)]
     return model._replace(visits=1 + next(i for i, c in enumerate(covered) if c >= COVERAGE or i == parts - 1))
 
@@ -138,16 +142,19 @@ def taking_part(vector: str) -> Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _placed(members: DataFrame, model: Model, visits: int) -> DataFrame:
-    """``u``, ``parts``: the ``visits`` most probable parts."""
-    shared = members.sparkSession.sparkContext.broadcast(model)
+def _placed(members: DataFrame, model: Model, visits: int, held: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """``u``, ``parts``: the ``visits`` most probable parts, or more, until they hold ``least`` ids; ``held``: ids a part."""
+    shared = members.sparkSession.sparkContext.broadcast((model, held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                logits = shared.value.logits(_matrix(batch.column(1)))
-                parts = np.argsort(-logits, axis=1, kind="stable")[:, :visits].astype(np.int32)
-                lists = pa.array(list(parts), pa.list_(pa.int32()))
+                model, held = shared.value
+                order = np.argsort(-model.logits(_matrix(batch.column(1))), axis=1, kind="stable").astype(np.int32)
+                most = np.full(len(order), visits)
+                if held is not None:
+                    most = np.maximum(most, 1 + (np.cumsum(held[order], axis=1) < least).sum(axis=1))
+                lists = pa.array([parts[:n] for parts, n in zip(order, most)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["u", "parts"])
 
     return members.select("u", "v").mapInArrow(run, "u long, parts array<int>")
@@ -208,7 +215,10 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
     asking = rows.where("asks").join(members.select("u", "v"), "v").select(F.col("vec_id").alias("query_id"), "u").distinct()
     asking = scratch.keep(asking, "asking")
     asked = members.join(asking.select("u").distinct(), "u", "left_semi").select("u", "v")
-    visits = scratch.keep(asked.join(_placed(asked, model, model.visits), "u").select("u", "v", F.explode("parts").alias("part")), "visits")
+    held = np.zeros(model.w2.shape[1], np.int64)  # one row per part comes to the driver
+    for r in index.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["part"]] = r["n"]
+    visits = scratch.keep(asked.join(_placed(asked, model, model.visits, held, k + 1), "u").select("u", "v", F.explode("parts").alias("part")), "visits")
 
     # blocks per part, for members and for queries: one row per part, at most MOST_PARTS
     size = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
