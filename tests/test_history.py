@@ -102,3 +102,11 @@ def test_history_equals_fold(spark, seed, block):
         (tuple(v[c.split()[0]] for c in DIM.split(", ")) for v in want_versions if not v["new"]), key=key)
     assert sorted(tuple(r) for r in got.balances.collect()) == sorted(want_balances)
     assert {r.lsn: r.outcome for r in got.outcomes.collect()} == want_outcomes
+
+
+def test_blocks_do_not_follow_the_distance_of_lsns(spark):
+    """Events far apart in the log: one summary per block of events, not one per event."""
+    events = [(k << 21, T0, "update", "hot", f"h{k}", None, {"risk_category": "low"}) for k in range(60)]
+    narrow = history.narrow_events(spark.createDataFrame(events, EVENTS), 20)
+    assert sorted((r.block, r["count"]) for r in narrow.groupBy("block").count().collect()) == [(0, 20), (1, 20), (2, 20)]
+    assert history._block_summaries(narrow).count() == 3

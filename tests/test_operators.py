@@ -275,6 +275,16 @@ def test_log_gaps(spark):
     assert got == [(a, b, b - a - 1) for a, b in zip(lsns, lsns[1:]) if b - a > 1]
 
 
+def test_log_gaps_of_positions_far_apart(spark, monkeypatch):
+    """One summary per block of positions that are there, however far apart they are."""
+    held, cut = [], checks.rank_blocks
+    monkeypatch.setattr(checks, "rank_blocks", lambda *a: held.append(cut(*a)) or held[0])
+    lsns = [k << 21 for k in range(40)]
+    got = rows(checks.log_gaps(spark.createDataFrame([(x,) for x in lsns], "lsn long"), block=16))
+    assert got == [(a, b, b - a - 1) for a, b in zip(lsns, lsns[1:])]
+    assert held[0].select("block").distinct().count() == 3
+
+
 def test_cross_source_candidates(spark):
     rng = random.Random(4)
     make = lambda p, n: [(f"{p}{i}", rng.choice("ab"), dt.date(2024, 1, rng.randrange(1, 3)), "USD", "m", rng.randrange(1000, 1012) / 100) for i in range(n)]

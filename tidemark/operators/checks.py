@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .keyed import lookup_join
-from .numbering import in_order
+from .numbering import in_order, rank_blocks
 
 _VERSION = ("client_id", "client_sk", "valid_from", "valid_to")
 
@@ -57,8 +57,11 @@ def conflicting_lsns(events: DataFrame) -> DataFrame:
 
 
 def log_gaps(events: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """Holes in the log: the position before the hole, the one after it and how many are missing."""
-    blocked = events.select("lsn", F.expr(f"lsn div {block}").alias("block")).distinct()
+    """Holes in the log: the position before the hole, the one after it and how many are missing.
+
+    Blocks are runs of ``block`` positions that are there, so holes do not make more of them.
+    """
+    blocked = rank_blocks(events.select("lsn").distinct(), ["lsn"], block)
     ends = blocked.groupBy("block").agg(F.max("lsn").alias("last"))
     carried = ends.select("block", F.lag("last").over(Window.orderBy("block")).alias("carried"))
     within = F.lag("lsn").over(Window.partitionBy("block").orderBy("lsn"))

@@ -10,8 +10,8 @@ Events take effect in LSN order. Per client:
 State is carried forward over live events, a version starts where risk or status changes, and it ends
 where the next one starts or at death.
 
-**No client is ever one task.** LSNs are unique, so a block of ``BLOCK`` consecutive LSNs holds at most
-``BLOCK`` events however they are spread over clients. All windows over events run per (client, block).
+**No client is ever one task.** A block is a run of ``BLOCK`` consecutive events of the log, whatever the distance of
+their LSNs and however they are spread over clients. All windows over events run per (client, block).
 What crosses a block is one summary row per (client, block), and only those summaries are ordered per client.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import images
 from .keyed import lookup_join
+from .numbering import rank_blocks
 
 BLOCK = 1 << 20
 
@@ -49,7 +50,7 @@ _EVER, _NEVER = -(1 << 62), 1 << 62  # before and after every LSN
 
 @dataclass(frozen=True)
 class Applied:
-    """What a set of events does to a dimension. Nothing in here has been computed yet."""
+    """What a set of events does to a dimension. Only the events' order has been computed yet."""
 
     starts: DataFrame    #: new versions: client_id, opened_by_lsn, risk, status, valid_from .. deleted_at
     closures: DataFrame  #: for versions that were current before: client_id, valid_to, is_deleted, deleted_at
@@ -58,13 +59,14 @@ class Applied:
 
 
 def narrow_events(events: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The few typed columns the history needs, taken out of the images before anything is shuffled."""
+    """The few typed columns the history needs, taken out of the images before anything is shuffled, and the block.
+
+    The events are sorted by LSN for their blocks, which writes them once.
+    """
     before, after = F.col("before"), F.col("after")
     is_insert = F.col("op") == "insert"
-    return events.select(
-        "client_id",
-        F.expr(f"lsn div {block}").alias("block"),
-        "lsn", "commit_ts", "op", "payload_hash",
+    narrow = events.select(
+        "client_id", "lsn", "commit_ts", "op", "payload_hash",
         F.when(is_insert, F.struct(images.value_or(after, RISK, DEFAULT_RISK).alias("v")))
         .when(images.present(after, RISK), F.struct(images.value(after, RISK).alias("v"))).alias("risk_set"),
         F.when(is_insert, F.struct(images.value_or(after, STATUS, DEFAULT_STATUS).alias("v")))
@@ -73,6 +75,7 @@ def narrow_events(events: DataFrame, block: int = BLOCK) -> DataFrame:
         images.money(before, BALANCE).alias("balance_before"),
         images.money(after, BALANCE).alias("balance_after"),
     )
+    return rank_blocks(narrow, ["lsn"], block)
 
 
 def known_clients(dim: DataFrame) -> DataFrame:
@@ -205,7 +208,7 @@ def apply_events(
     needs more than one of the results passes ``hold`` to keep the shared parts, e.g. ``session.written``.
     """
     keep = hold or (lambda df, label: df)
-    narrow = keep(narrow_events(events, block), "events")
+    narrow = narrow_events(events, block)  # written already
     lives = keep(_lives(_block_summaries(narrow), known_clients(dim)), "lives")
     placed = narrow.join(lives, ["client_id", "block"], "left")
     live = keep(_live_events(placed), "live")

@@ -44,6 +44,12 @@ def dense_number(df: DataFrame, order: Sequence[str], name: str, start: Column |
     )
 
 
+def rank_blocks(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """``df`` with ``block``: runs of ``size`` consecutive rows in ``order``, which must be unique, whatever its values."""
+    ranked = dense_number(df, order, "_rank")
+    return ranked.withColumn("block", F.expr(f"(_rank - 1) div {size}")).drop("_rank")
+
+
 def number_file_rows(lines: DataFrame, name: str = "row_num", file: str = "file_path", split: str = "split_start") -> DataFrame:
     """Number the rows of each file from 1, in file order.
 
