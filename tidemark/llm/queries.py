@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, common, exact_dedup, jaccard, langid, license_scan, line_dedup, packing, quality, warc
+from tidemark.llm import (
+    alignment, ann, bpe, common, exact_dedup, fingerprint, jaccard, langid, license_scan, line_dedup, packing, phrases, quality, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +180,111 @@ def op2_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth id."""
     return ann.search(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_merge_path_alignment")
+def op11_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the two tokenisers' ends for every whole text."""
+    return alignment.align(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _fingerprint_sql() -> str:
+    """Triplets as rows, buckets as groups. Texts are put in order by id alone: ids of the table are distinct."""
+    buckets, quarter = 1 << fingerprint.BUCKET_BITS, (1 << fingerprint.BUCKET_BITS) // 4
+    triplets = ", ".join(
+        f"(b[i + {p + 1}] * 65536 + b[i + {q + 1}] * 256 + b[i + {r + 1}] + {kind << 24})" for kind, (p, q, r) in enumerate(fingerprint.PLACES))
+    return f"""
+    WITH numbered AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC) AS no FROM documents),
+    pairs AS (
+        SELECT doc_id, t, coalesce(lead(doc_id) OVER (ORDER BY no), first_value(doc_id) OVER (ORDER BY no)) AS next_id,
+               coalesce(lead(t) OVER (ORDER BY no), first_value(t) OVER (ORDER BY no)) AS u
+        FROM numbered
+    ), texts AS (
+        SELECT doc_id, 0 AS k, t FROM pairs UNION ALL
+        SELECT doc_id, 1, left(t, length(t) - length(t) // 3) || left(u, length(t) // 3) FROM pairs
+    ), bytes AS (
+        SELECT doc_id, k, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM texts
+    ), places AS (SELECT doc_id, k, b, unnest(range(len(b))) AS i FROM bytes),
+    triplets AS (
+        SELECT doc_id, k, unnest([{triplets}]) AS x FROM places
+    ), counted AS (
+        SELECT doc_id, k, ((x * {fingerprint.MULTIPLIER}) & 4294967295) >> {32 - fingerprint.BUCKET_BITS} AS bucket, count(*) AS n
+        FROM triplets WHERE x IS NOT NULL GROUP BY ALL
+    ), filled AS (
+        SELECT doc_id, k, bucket, coalesce(n, 0) AS n FROM (SELECT doc_id, k, unnest(range({buckets})) AS bucket FROM texts)
+        LEFT JOIN counted USING (doc_id, k, bucket)
+    ), quarters AS (
+        SELECT doc_id, k, max(n) FILTER (WHERE p = {quarter}) AS q1, max(n) FILTER (WHERE p = {2 * quarter}) AS q2, max(n) FILTER (WHERE p = {3 * quarter}) AS q3
+        FROM (SELECT doc_id, k, n, row_number() OVER (PARTITION BY doc_id, k ORDER BY n) AS p FROM filled) GROUP BY ALL
+    ), codes AS (
+        SELECT doc_id, k, bucket, CAST(n > q1 AS INTEGER) + CAST(n > q2 AS INTEGER) + CAST(n > q3 AS INTEGER) AS c
+        FROM filled JOIN quarters USING (doc_id, k)
+    ), prints AS (
+        SELECT doc_id, k, list(c ORDER BY bucket) AS codes FROM codes GROUP BY ALL
+    ), halves AS (
+        SELECT doc_id, k, string_agg(substr('0123456789abcdef', 4 * c + d + 1, 1), '' ORDER BY bucket) AS body
+        FROM (SELECT doc_id, k, bucket, c, lead(c) OVER (PARTITION BY doc_id, k ORDER BY bucket) AS d FROM codes) WHERE bucket % 2 = 0
+        GROUP BY ALL
+    ), lengths AS (
+        SELECT doc_id, k, CASE WHEN n = 0 THEN 0 ELSE {fingerprint.LENGTH_STEPS} * o + ((n * {fingerprint.LENGTH_STEPS}) >> o) END AS length
+        FROM (SELECT doc_id, k, len(b) AS n, CAST(floor(log2(greatest(len(b), 1))) AS INTEGER) AS o FROM bytes)
+    ), whole AS (
+        SELECT doc_id, k, p.codes, length, lower(lpad(to_hex(CAST(length AS BIGINT)), 4, '0')) || h.body AS print
+        FROM prints p JOIN halves h USING (doc_id, k) JOIN lengths USING (doc_id, k)
+    ), near AS (
+        SELECT p.doc_id, p.t, p.u, o.print AS print, e.print AS edited_print,
+               {_apart("o", "e")} AS edited_apart, {_apart("o", "x")} AS next_apart
+        FROM pairs p JOIN whole o ON o.doc_id = p.doc_id AND o.k = 0 JOIN whole e ON e.doc_id = p.doc_id AND e.k = 1
+        JOIN whole x ON x.doc_id = p.next_id AND x.k = 0
+    )
+    SELECT doc_id, length(t) AS n_chars, sha256(encode(left(t, length(t) - length(t) // 3) || left(u, length(t) // 3))) AS edited_sha256,
+           print AS fingerprint, edited_print AS edited_fingerprint,
+           CAST({fingerprint.RANGE} - least(edited_apart, {fingerprint.RANGE}) AS DOUBLE) / {fingerprint.RANGE} AS near_edited,
+           CAST({fingerprint.RANGE} - least(next_apart, {fingerprint.RANGE}) AS DOUBLE) / {fingerprint.RANGE} AS near_next
+    FROM near
+    """
+
+
+def _apart(one: str, other: str) -> str:
+    codes = f"list_sum(list_transform(list_zip({one}.codes, {other}.codes), lambda z: abs(z[1] - z[2])))"
+    return f"{fingerprint.CODE_WEIGHT} * {codes} + {fingerprint.LENGTH_WEIGHT} * least(abs({one}.length - {other}.length), {fingerprint.LENGTH_MOST})"
+
+
+@query("op12_quartile_digest", _fingerprint_sql())
+def op12_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every whole text, of its edited text, and how alike they are."""
+    return fingerprint.with_next(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op13_phrase_stripes", """
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    places AS (SELECT lang, w, unnest(range(len(w))) AS i FROM cut),
+    grams AS (SELECT lang, w[i + 1 : i + m] AS g, m FROM places, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m <= len(w)),
+    f AS (SELECT lang, g, m, count(*) AS a FROM grams GROUP BY ALL),
+    sizes AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+    found AS (SELECT lang, g, m, a FROM f WHERE m > 1 AND a >= 30),
+    inside AS (
+        SELECT lang, part, max(a) AS most FROM (
+            SELECT lang, a, m, g, unnest(list_transform(list_filter(range(m * m), lambda z: z % m > 0 AND z % m < m - 1 AND z // m + z % m + 1 <= m),
+                                                        lambda z: g[z // m + 1 : z // m + z % m + 1])) AS part
+            FROM found WHERE m > 2
+        ) GROUP BY lang, part
+    ), cuts AS (SELECT lang, g, m, a, unnest(range(1, m)) AS k FROM found),
+    scored AS (
+        SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : c.m]
+    ), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    kept AS (
+        SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, score FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.part = b.g
+        WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(b.a AS HUGEINT)
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000
+""")
+def op13_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language."""
+    return phrases.ranked(phrases.collocations(common.table(spark, sf_dir, "documents", "lang", "text")), 2000)
