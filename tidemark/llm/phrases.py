@@ -2,20 +2,23 @@
 
 A prefix keys an associative counter of the words that follow it: its stripe. Tasks count stripes over their own texts
 and emit them; stripes of one key are merged elementwise. A merged stripe answers three questions at once: which
-extensions of the prefix are frequent, how often the prefix occurs (the sum of all counters, with one more for
-what ends a piece or is not counted), and how much of the prefix its most frequent extension takes up.
+extensions of the prefix are frequent, how often the prefix occurs (the sum of all counters, with one more for what ends a piece or is not counted;
+a longer prefix has been counted as an extension before), and how much of the prefix its most frequent extension takes up.
 
-Levels: single words are counted first, then stripes of frequent words, then stripes of longer prefixes. A phrase is
-at most as frequent as each part of it, so a level only counts what the level before left over. What is left over is
+Levels: single words are counted first, then stripes of prefixes of one word, of two and of three. A phrase is
+at most as frequent as each part of it, so a level counts only extensions of which both parts, without the last and without the
+first word, were left over by the level before. What is left over is
 told to tasks by a bit filter of fixed size: false hits cost work and change nothing, as every count is exact. Most
 stripes are short; the stripe of a prefix that holds a noticeable share of all words is split by a hash of the next word
-into segments, so that none grows with the corpus alone.
+into segments, so that none grows with the corpus alone. On the way a stripe is two values, its words as one text and its counters
+as one run of bytes.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -25,7 +28,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import common
 
@@ -34,14 +36,13 @@ FILTER_BITS = 26
 #: A prefix gets one segment for each 1 / SHARES of all words that it holds. So at most SHARES prefixes have several.
 SHARES = 4096
 #: Distinct words and distinct counters a task holds before it emits what it has.
-WORDS_HELD, COUNTERS_HELD = 400_000, 1_500_000
+WORDS_HELD, COUNTERS_HELD = 400_000, 2_000_000
 #: Salts of the first of two rankings.
 SALTS = 64
 
 _END = b"\xff"  # no byte of UTF-8 text
 _FOLD = bytes(32 if b == 9 else 255 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_KEY = "lang string, prefix string, segment int"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -192,16 +193,14 @@ class Stripes:
         following = second & 0xFFFFFFFF
         starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (words[2][1:] != words[2][:-1])))
         prefix = names.take(pa.array(words[0][starts]))
-        hot_key = prefix
         for k in (1, 2):
             longer = pc.binary_join_element_wise(prefix, names.take(pa.array(words[k][starts])), " ")
             prefix = pc.if_else(pa.array(words[k][starts] > 0), longer, prefix)
-            hot_key = prefix if k == 1 else hot_key
         hot = self.hot.get(self.vocabulary.lang, {})
         stripe = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(times))))
         segment = np.zeros(len(times), np.int64)
         if hot:
-            parts = np.array([hot.get(key, 1) for key in hot_key.to_pylist()], np.uint64)[stripe]
+            parts = np.array([hot.get(key, 1) for key in prefix.to_pylist()], np.uint64)[stripe]
             spread = (hashes[following] * np.uint64(_SPREAD)) >> np.uint64(20)
             segment = np.where(following > 0, (spread % parts).astype(np.int64), 0)
             order = np.lexsort((following, segment, stripe))
@@ -210,16 +209,37 @@ class Stripes:
         is_rest = following == 0
         rest = np.add.reduceat(np.where(is_rest, times, 0), cuts)
         offsets = np.append(0, np.cumsum(np.add.reduceat((~is_rest).astype(np.int64), cuts))).astype(np.int32)
-        nexts = pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(following[~is_rest])))
-        counts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(times[~is_rest]))
-        columns = [pa.repeat(self.vocabulary.lang, len(cuts)), prefix.take(pa.array(stripe[cuts])), pa.array(segment[cuts].astype(np.int32)), pa.array(rest), nexts, counts]
+        nexts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(following[~is_rest]))), " ")
+        columns = [
+            pa.repeat(self.vocabulary.lang, len(cuts)), prefix.take(pa.array(stripe[cuts])), pa.array(segment[cuts].astype(np.int32)), pa.array(rest),
+            nexts, _packed(times[~is_rest], offsets)]
         whole = pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "segment", "rest", "nexts", "counts"])
         for start in range(0, len(whole), 16384):
             yield whole.slice(start, 16384)
 
 
-def _count_stripes(known, hot, longest: int):
-    """Stripes of single words (``longest`` 2, with a filter of words), or of two and more (a filter of pairs of words)."""
+def _packed(times: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Each stripe's counters as little-endian unsigned 32-bit integers; a task holds fewer words than these can count."""
+    data = pa.py_buffer(times.astype("<u4").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), data])
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.Table:
+    """Stripes on the way as stripes with lists."""
+    raw = [value or b"" for value in batch.column("counts").to_pylist()]
+    lengths = np.array([len(value) // 4 for value in raw], np.int64)
+    offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+    words = pc.split_pattern(batch.column("nexts").filter(pa.array(lengths > 0)), " ").flatten()
+    times = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+    return pa.table({
+        **{name: batch.column(name) for name in ("lang", "prefix", "segment", "rest")},
+        "nexts": pa.ListArray.from_arrays(offsets, words), "counts": pa.ListArray.from_arrays(offsets, pa.array(times)),
+    })
+
+
+def _count_stripes(known, hot, size: int):
+    """Stripes of prefixes of ``size`` - 1 words, with a filter of the frequent phrases of as many words. Only those of
+    single words have a rest: how often longer ones occur is known from the level before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, many = known.value, hot.value
@@ -227,20 +247,17 @@ def _count_stripes(known, hot, longest: int):
         for groups in _by_language(batches):
             for lang, texts in groups.items():
                 own = held.setdefault(lang, Stripes(lang, many))
-                ids = own.vocabulary.read(texts)
+                ids = np.append(own.vocabulary.read(texts), np.zeros(size, np.int64))
                 hashes = own.vocabulary.hashed()
-                if longest == 2:
-                    on = frequent.has(hashes)
-                    on[0] = False
-                    at = np.flatnonzero(on[ids])  # the last is _END
-                    own.add([ids[at]], np.where(on[ids[at + 1]], ids[at + 1], 0))
-                    continue
-                ids = np.append(ids, np.zeros(longest, np.int64))
-                pairs = frequent.has(hashes[ids[:-1]] * np.uint64(_STEP) + hashes[ids[1:]]) & (ids[:-1] > 0) & (ids[1:] > 0)
-                at = np.flatnonzero(pairs)
-                for size in range(3, longest + 1):  # phrases of ``size`` words that begin at ``at``
-                    own.add([ids[at + k] for k in range(size - 1)], np.where(pairs[at + size - 2], ids[at + size - 1], 0))
-                    at = at[pairs[at + size - 2]]
+                n = len(ids) - size + 1
+                phrase, whole = hashes[ids[:n]], ids[:n] > 0
+                for k in range(1, size - 1):
+                    phrase = phrase * np.uint64(_STEP) + hashes[ids[k : n + k]]
+                    whole &= ids[k : n + k] > 0
+                whole &= frequent.has(phrase)
+                at = np.flatnonzero(whole[:-1] if size == 2 else whole[:-1] & whole[1:])
+                following = np.where(whole[at + 1], ids[at + size - 1], 0)
+                own.add([ids[at + k] for k in range(size - 1)], following)
             if sum(s.size for s in held.values()) > COUNTERS_HELD or sum(len(s.vocabulary.numbers) for s in held.values()) > WORDS_HELD:
                 for own in held.values():
                     yield from own.emit()
@@ -292,16 +309,16 @@ def _merge(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            waiting.append(batch)
+            waiting.append(_unpacked(batch))
             size += batch.num_rows
             if size >= 8192 or batch.nbytes > 1 << 20:
-                table = pa.Table.from_batches(waiting)
+                table = pa.concat_tables(waiting)
                 made = merged_stripes(pa.concat_tables([open_stripe, table]) if open_stripe else table)
                 waiting, size = [], 0
                 yield from pruned(made.slice(0, made.num_rows - 1))
                 open_stripe = made.slice(made.num_rows - 1)  # it may go on
         if waiting or open_stripe:
-            tables = ([open_stripe] if open_stripe else []) + ([pa.Table.from_batches(waiting)] if waiting else [])
+            tables = ([open_stripe] if open_stripe else []) + waiting
             yield from pruned(merged_stripes(pa.concat_tables(tables)))
 
     return run
@@ -316,15 +333,14 @@ def _hot(phrases: DataFrame, sizes: DataFrame) -> dict[str, dict[str, int]]:
     return dict(hot)
 
 
-def _level(rows: DataFrame, frequent: DataFrame, sizes: DataFrame, longest: int, least: int, scratch: common.Scratch, name: str) -> DataFrame:
-    """Merged stripes (lang, prefix, total, nexts, counts) of the prefixes in and beyond ``frequent``, written."""
+def _level(rows: DataFrame, frequent: DataFrame, sizes: DataFrame, size: int, least: int, scratch: common.Scratch) -> DataFrame:
+    """Merged stripes (lang, prefix, total, nexts, counts) of the prefixes in ``frequent`` (lang, phrase, f), written."""
     spark = rows.sparkSession
     known, hot = spark.sparkContext.broadcast(filter_of(frequent)), spark.sparkContext.broadcast(_hot(frequent, sizes))
-    lists = "rest long, nexts array<string>, counts array<long>"
-    stripes = rows.mapInArrow(_count_stripes(known, hot, longest), f"{_KEY}, {lists}")
+    stripes = rows.mapInArrow(_count_stripes(known, hot, size), "lang string, prefix string, segment int, rest long, nexts string, counts binary")
     keys = ["lang", "prefix", "segment"]
     merged = stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(least), "lang string, prefix string, total long, nexts array<string>, counts array<long>")
-    return scratch.keep(merged, name)
+    return scratch.keep(merged.where((F.size("nexts") > 0) | F.lit(size == 2)), f"stripes-{size}")
 
 
 def _joined(first, last):
@@ -351,24 +367,24 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     words = rows.mapInArrow(_count_words, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     words = scratch.keep(words.where(F.col("phrase").isNull() | (F.col("f") >= least)), "words")
     sizes = words.where("phrase is null").select("lang", F.col("f").alias("n"))
-    stripes = _level(rows, words.where("phrase is not null"), sizes, 2, least, scratch, "stripes-1")
-    if longest > 2:
-        pair = F.explode(F.arrays_zip("nexts", "counts")).alias("e")
-        pairs = stripes.select("lang", "prefix", pair).select("lang", F.concat_ws(" ", "prefix", "e.nexts").alias("phrase"), F.col("e.counts").alias("f"))
-        stripes = stripes.unionByName(_level(rows, pairs, sizes, longest, least, scratch, "stripes-2"))
-
+    frequent, levels, found = words.where("phrase is not null"), [], []
+    for size in range(2, longest + 1):
+        levels.append(_level(rows, frequent, sizes, size, least, scratch))
+        extended = levels[-1].select("lang", "prefix", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
+        phrase = F.concat_ws(" ", "prefix", "e.nexts")
+        frequent = scratch.keep(extended.select("lang", phrase.alias("phrase"), F.col("e.counts").alias("f"), F.split(phrase, " ").alias("w")), f"found-{size}")
+        found.append(frequent)
+    totals = levels[0].groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("total").alias("f"))
+    parts = reduce(DataFrame.unionByName, [totals, *[f.drop("w") for f in found[:-1]]])
     most = F.max(F.array_max("counts")).alias("right_most")
-    parts = scratch.keep(stripes.groupBy("lang", "prefix").agg(F.sum("total").alias("f"), most).where(F.col("f") >= least), "parts")
-    extended = stripes.select("lang", "prefix", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    phrase = F.concat_ws(" ", "prefix", "e.nexts")
-    found = scratch.keep(extended.select("lang", phrase.alias("phrase"), F.split(phrase, " ").alias("w"), F.col("e.counts").alias("a")), "found")
+    right = reduce(DataFrame.unionByName, levels).groupBy("lang", F.col("prefix").alias("phrase")).agg(most)
+    found = reduce(DataFrame.unionByName, found).withColumnRenamed("f", "a")
 
     # what a phrase is the rest of; a phrase inside a longer candidate of two words more lies in one of one word more, too
     left = found.where(F.size("w") > 2).groupBy("lang", _joined(2, F.size("w") - 1).alias("phrase")).agg(F.max("a").alias("left_most"))
-    right = parts.select("lang", F.col("prefix").alias("phrase"), "right_most")
     cut = found.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", _joined(F.lit(1), F.col("k")).alias("first"), _joined(F.col("k") + 1, F.size("w") - F.col("k")).alias("last"))
-    known = lambda name, count: parts.select("lang", F.col("prefix").alias(name), F.col("f").alias(count))
+    known = lambda name, count: parts.select("lang", F.col("phrase").alias(name), F.col("f").alias(count))
     cut = cut.join(known("first", "l"), ["lang", "first"]).join(known("last", "r"), ["lang", "last"])
     score = F.expr("cast(2000000 as decimal(7,0)) * cast(a as decimal(19,0)) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
     lowest = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
