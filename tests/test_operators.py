@@ -319,7 +319,7 @@ def test_schemas_and_additive_columns(spark):
 
 def test_unpublished_batch_is_invisible(spark, tmp_path):
     warehouse = Warehouse(spark, str(tmp_path / "w"))
-    assert warehouse.latest() == (0, {}) and warehouse.read("dim_date").count() == 0
+    assert warehouse.latest() == (0, {}, {}) and warehouse.read("dim_date").count() == 0
     day = dims.calendar(spark, dt.date(2024, 1, 1), dt.date(2024, 1, 3))
     failing = warehouse.begin("failing")
     failing.append("dim_date", day)

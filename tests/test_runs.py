@@ -29,7 +29,7 @@ def folder(tmp_path_factory):
 @pytest.fixture(scope="module")
 def first_run(spark, folder, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("warehouse") / "first")
-    return root, ingest.run(spark, root, folder, "batch-1")
+    return root, ingest.run(spark, root, folder, "batch-1", buckets=4)
 
 
 @pytest.fixture
@@ -59,7 +59,7 @@ def test_first_run(spark, first_run):
     assert counts(spark, root) == EXPECTED
     assert report["vendor"] | {"drift_warnings": 0} == {
         "files_seen": 3, "files_processed": 3, "files_skipped": 0, "rows_landed": 24, "rows_staged": 20,
-        "rows_quarantined": 2, "duplicates_skipped": 2, "drift_warnings": 0}
+        "rows_quarantined": 2, "duplicates_skipped": 2, "drift_warnings": 0, "files_overlooked": []}
     assert len(report["vendor"]["drift_warnings"]) == 1
     assert report["changes"] == {"events_seen": 12, "applied": 11, "reconciled": 1, "quarantined": 0, "skipped": 0}
     assert report["core"] == {"client_signup": 30, "client_profile": 30, "client_deposit": 20, "client_trades": 20}
@@ -194,7 +194,7 @@ def test_second_writer_is_refused(spark, tmp_path):
 def test_nothing_is_left_in_the_shared_folder(spark, folder, tmp_path):
     at = os.path.join(shared_folder(spark).removeprefix("file://"), "tidemark")
     before = set(os.listdir(at)) if os.path.isdir(at) else set()
-    ingest.run(spark, str(tmp_path / "w"), folder, "clean")
+    ingest.run(spark, str(tmp_path / "w"), folder, "clean", buckets=4)
     assert set(os.listdir(at)) <= before
 
 

@@ -16,6 +16,18 @@ def unprocessed(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(done, "file_hash", "left_anti")
 
 
+def rescan(files: DataFrame, manifest: DataFrame, until: Column, days: int = 7) -> DataFrame:
+    """What to do with listed files, given that files up to ``until`` have been seen: those that arrived within ``days`` before it
+    or later are to be hashed (action ``hash``), as clocks and copies run late; an older one is not read again, but
+    reported where no delivery of its name is known (``overlooked``)."""
+    horizon = until - F.make_interval(days=F.lit(days))
+    recent = F.col("arrived_at") > horizon
+    known = manifest.select("file_name", F.lit(True).alias("_known")).distinct()
+    marked = files.join(known, "file_name", "left")
+    action = F.when(F.coalesce(recent, F.lit(True)), "hash").when(F.col("_known").isNull(), "overlooked")
+    return marked.withColumn("action", action).where("action is not null").drop("_known")
+
+
 def missing_inputs(expected: DataFrame, found: DataFrame, name: str = "file_name") -> DataFrame:
     """Expected names that were not delivered."""
     return expected.join(found.select(name), name, "left_anti")
@@ -32,26 +44,47 @@ def manifest_rows(counts: DataFrame, source: str, batch_id: Column, at: Column)
     )
 
 
+def manifest_after_retry(manifest: DataFrame, settled: DataFrame, at: Column) -> DataFrame:
+    """The manifest rows of the files whose rows a retry has settled, with their counts as they are now: ``settled`` has
+    file_hash, and verdict and disposition of the second judgement."""
+    held = F.col("verdict").isNotNull()
+    moved = settled.groupBy("file_hash").agg(F.count_if(~held).alias("_left"), F.count_if(F.col("disposition") == "STAGED").alias("_staged"))
+    now = manifest.join(moved, "file_hash").withColumns({
+        "row_count_staged": F.col("row_count_staged") + F.col("_staged"),
+        "row_count_quarantined": F.col("row_count_quarantined") - F.col("_left"), "processed_at": at,
+    })
+    return now.select(*manifest.columns)
+
+
 def unapplied(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """Events to apply: one row per LSN, none of them in the ledger. Copies within a delivery are equal
     (conflicts are refused before), so any one of them will do."""
     return absent_from(events.dropDuplicates(["lsn"]), ledger, ["lsn"], events)
 
 
-def feed_counters(seen: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row: events seen, applied, reconciled, quarantined and skipped."""
-    total = seen.agg(F.count("*").alias("events_seen"))
-    done = outcomes.agg(
+def _settled(outcomes: DataFrame) -> DataFrame:
+    return outcomes.agg(
         F.count_if(F.col("outcome") == "APPLIED").alias("applied"),
         F.count_if(F.col("outcome") == "RECONCILED").alias("reconciled"),
         F.count_if(F.col("outcome") == "QUARANTINED").alias("quarantined"),
         F.count("*").alias("settled"),
     )
-    return total.crossJoin(done).select(
+
+
+def feed_counters(seen: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row: events seen, applied, reconciled, quarantined and skipped."""
+    total = seen.agg(F.count("*").alias("events_seen"))
+    return total.crossJoin(_settled(outcomes)).select(
         "events_seen", "applied", "reconciled", "quarantined", (F.col("events_seen") - F.col("settled")).alias("skipped")
     )
 
 
+def feed_report(events_seen: int, outcomes: DataFrame) -> dict[str, int]:
+    """The same where the events were counted when they were written. ``outcomes``: those of the events applied now."""
+    done = _settled(outcomes).first().asDict()
+    return {"events_seen": events_seen, **{k: n for k, n in done.items() if k != "settled"}, "skipped": events_seen - done["settled"]}
+
+
 def changed_redeliveries(files: DataFrame) -> DataFrame:
     """File names that were delivered with more than one content."""
     versions = files.groupBy("file_name").agg(

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .asof import as_of
 from .keyed import lookup_join
 from .numbering import dense_number
 
@@ -135,6 +136,13 @@ def with_client_key(facts: DataFrame, dim: DataFrame) -> DataFrame:
     return lookup_join(facts, current, ["client_id"])
 
 
+def with_client_key_as_of(facts: DataFrame, dim: DataFrame, at: str, key: str = "client_sk") -> DataFrame:
+    """Facts with the key of the version that was valid at the fact's own time; null before the client's first version,
+    after its deletion, and for an unknown client."""
+    versions = dim.select("client_id", "valid_from", "valid_to", F.col("client_sk").alias(key))
+    return as_of(facts, versions, "client_id", at, "valid_from", [key], [key], until="valid_to")
+
+
 def with_instrument_key(trades: DataFrame, instruments: DataFrame) -> DataFrame:
     """Trades with their instrument key, null for an unknown instrument."""
     names = instruments.select(F.col("instrument_name").alias("instrument"), "instrument_sk")

@@ -45,9 +45,15 @@ def dense_number(df: DataFrame, order: Sequence[str], name: str, start: Column |
 
 
 def rank_blocks(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
-    """``df`` with ``block``: runs of ``size`` consecutive rows in ``order``, which must be unique, whatever its values."""
-    ranked = dense_number(df, order, "_rank")
-    return ranked.withColumn("block", F.expr(f"(_rank - 1) div {size}")).drop("_rank")
+    """``df`` with ``block``: runs of at most ``size`` consecutive rows in ``order``, which must be unique, whatever its values.
+
+    A block lies within a part of the range sort, so a row's block follows from its place in the part; no row has to be
+    counted or joined for it. Later blocks have higher numbers.
+    """
+    slots = in_order(df, order)
+    within = F.col("_slot") - F.shiftleft("_part", _SLOT_BITS)
+    run = F.call_function("div", within, F.lit(size).cast("long"))
+    return slots.withColumn("block", F.shiftleft("_part", _SLOT_BITS) + run).drop("_slot", "_part")
 
 
 def number_file_rows(lines: DataFrame, name: str = "row_num", file: str = "file_path", split: str = "split_start") -> DataFrame:

@@ -154,6 +154,25 @@ def quarantine_records(
     )
 
 
+def waiting_rows(raw: DataFrame, quarantine: DataFrame, current_clients: DataFrame) -> DataFrame:
+    """Landed vendor rows, with their ``quarantine_id``, that wait for a client who is there now.
+
+    The client is named in the record's payload, so that only records with a chance are looked up. A row is found by the
+    id of its record, which depends on the row alone.
+    """
+    waiting = quarantine.where((F.col("source_system") == "vendor") & (F.col("reason_code") == ORPHAN_CLIENT) & F.col("retry_eligible") & ~F.col("is_resolved"))
+    named = waiting.select("quarantine_id", F.get_json_object("raw_payload", "$.client_id").alias("client_id"))
+    ready = lookup_join(named, current_clients.select("client_id"), ["client_id"], "left_semi").select("quarantine_id")
+    record = stable_id(F.lit("vendor"), F.col("file_name"), F.concat_ws(":", "file_hash", "row_num"), F.lit(ORPHAN_CLIENT))
+    return raw.withColumn("quarantine_id", record).join(ready, "quarantine_id", "left_semi")
+
+
+def resolved(quarantine: DataFrame, settled: DataFrame) -> DataFrame:
+    """The quarantine rows of ``settled`` (their ids) as they are once the retry has dealt with them."""
+    done = quarantine.join(settled.select("quarantine_id").distinct(), "quarantine_id", "left_semi")
+    return done.withColumns({"is_resolved": F.lit(True), "retry_eligible": F.lit(False)})
+
+
 def validity(judged: DataFrame, by: Sequence[str], target: float = 0.99) -> DataFrame:
     """Share of rows that no rule rejects, per group, and whether it reaches the target."""
     ratio = F.avg(F.when(F.col("verdict").isNull(), 1.0).otherwise(0.0))

@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import clock, masking
+from ..operators.asof import as_of
 from ..operators.keyed import latest_by
+from ..schemas import period_of
 
 _MONEY = "decimal(18,2)"
 
@@ -148,3 +150,28 @@ def quarantine_summary(quarantine: DataFrame) -> DataFrame:
 
 def deposit_breakdown(deposits: DataFrame) -> DataFrame:
     return deposits.groupBy("source_system", "reconciliation_status").agg(F.count("*").alias("records"))
+
+
+def deposits_by_state(deposits: DataFrame, dim: DataFrame, balances: DataFrame) -> DataFrame:
+    """Completed deposits by the client's risk and status when they were made, and by whether a balance was known then.
+
+    The moment of a deposit is the end of its business day: the version valid then, and the latest balance change at or
+    before it.
+    """
+    moment = (F.col("deposit_date") + F.expr("interval 1 day")).cast("timestamp_ntz") - F.expr("interval 1 microsecond")
+    made = deposits.where("status = 'completed'").select("client_id", "amount_usd", moment.alias("made_at"))
+    states = as_of(made, dim, "client_id", "made_at", "valid_from", ["risk_category", "account_status"], ["client_sk"], until="valid_to")
+    known = as_of(states, balances, "client_id", "made_at", "observed_at", ["balance_usd"], ["lsn"])
+    return known.groupBy("risk_category", "account_status", F.col("balance_usd").isNotNull().alias("balance_known")).agg(
+        F.count("*").alias("deposits"), F.sum("amount_usd").alias("amount_usd")
+    )
+
+
+def deposits_in(deposits: DataFrame, days: DataFrame) -> DataFrame:
+    """Completed deposits on the given days of the calendar, by month and source.
+
+    The month is part of the join, so Spark reads only the folders of months that the chosen days fall in.
+    """
+    chosen = days.select(F.col("date_key").alias("deposit_date"), period_of("date_key").alias("period"))
+    return deposits.where("status = 'completed'").join(chosen, ["period", "deposit_date"]).groupBy("period", "source_system").agg(
+        F.count("*").alias("deposits"), F.sum("amount_usd").alias("amount_usd"))

@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 
 from ..functions.clock import window_bounds
 from ..operators import replay as steps
-from ..session import scratch_run, written
+from ..operators.keyed import absent_from
+from ..session import counted, scratch_run, written
 from .changes import EMAIL_DOMAIN, ledger_rows, write_history
 from .publish import Warehouse
 
@@ -17,23 +18,27 @@ def replay_window(
     spark: SparkSession, root: str, start: str | dt.datetime, end: str | dt.datetime,
     batch_id: str = "replay_batch", email_domain: str = EMAIL_DOMAIN,
 ) -> dict[str, object]:
-    """Rebuild history and balances of every client with an event in the window, both ends included."""
+    """Rebuild history and balances of every client with an event in the window, both ends included.
+
+    Only the buckets of these clients are read (but for the search of the window) and written.
+    """
     low, high = window_bounds(start, end)
     with scratch_run(spark, "replay"):
         batch = Warehouse(spark, root).begin(batch_id)
-        raw, dim = batch.table("raw_cdc_events"), batch.table("dim_client")
-        affected = written(steps.affected_clients(raw, low, high), "affected")
-        clients = affected.count()
+        affected, n = counted(steps.affected_clients(batch.table("raw_cdc_events"), low, high), "affected")
+        clients = n["rows"]
         if clients == 0:
             return {"replayed_events": 0, "affected_clients": 0, "status": "NOOP"}
-        events = written(steps.events_to_rebuild(raw, affected, low), "replayed")
-        base = written(steps.base_at(dim, affected, low), "base")
-        balances = steps.purge_balances(batch.table("fact_client_balance_history"), affected, low)
-        ledger = batch.table("cdc_processing_ledger").join(events.select("lsn"), "lsn", "left_anti")
-        applied = write_history(batch, base, events, dim, email_domain)
-        batch.replace("fact_client_balance_history", balances)
-        batch.replace("cdc_processing_ledger", ledger)
-        batch.append("fact_client_balance_history", applied.balances.withColumns({"batch_id": batch.id, "created_at": batch.at}))
-        batch.append("cdc_processing_ledger", ledger_rows(batch, applied.outcomes))
+        hit = batch.buckets_of(affected)
+        boundaries = steps.same_boundary(affected, low)
+        dim, ledger = batch.table("dim_client", hit), batch.table("cdc_processing_ledger", hit)
+        events, replayed = counted(steps.events_to_rebuild(batch.table("raw_cdc_events", hit), boundaries), "replayed")
+        base = written(steps.base_at(dim, boundaries), "base")
+        balances = steps.purge_balances(batch.table("fact_client_balance_history", hit), boundaries)
+        applied = write_history(batch, base, events, dim, email_domain, hit)
+        again = applied.balances.withColumns({"batch_id": batch.id, "created_at": batch.at})
+        batch.replace_buckets("fact_client_balance_history", balances.unionByName(again), hit)
+        kept = absent_from(ledger, events, ["lsn"])
+        batch.replace_buckets("cdc_processing_ledger", kept.unionByName(ledger_rows(batch, applied.outcomes), allowMissingColumns=True), hit)
         batch.publish()
-        return {"replayed_events": events.count(), "affected_clients": clients, "status": "SUCCESS", "overlap_count": 0}
+        return {"replayed_events": replayed["rows"], "affected_clients": clients, "status": "SUCCESS", "overlap_count": 0}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LINEAGE = "file_name string, file_hash string, batch_id string, landed_at timestamp_ntz"
 _AUDIT = "batch_id string, created_at timestamp_ntz"
@@ -95,11 +95,29 @@ CLUSTERING = {
     "fact_trade": ("trade_date", "client_id", "trade_id"),
     "fact_client_balance_history": ("observed_at", "lsn"),
     "raw_cdc_events": ("commit_ts", "lsn"),
+    "cdc_processing_ledger": ("lsn",),
+    "dim_client": ("client_id", "valid_from", "client_sk"),
 }
 
+#: tables cut into buckets by a hash of the named column, so that a batch rewrites only the buckets it touches
+BUCKETED = {
+    "dim_client": "client_id", "fact_client_balance_history": "client_id", "cdc_processing_ledger": "client_id",
+    "raw_cdc_events": "client_id", "quarantine": "quarantine_id", "ingestion_file_manifest": "file_hash",
+}
+#: facts with a folder per month of the named date, as column ``period``: a filter on months, also one that only a join
+#: brings in, leaves the other folders unread
+PERIODS = {"fact_deposit": "deposit_date", "fact_trade": "trade_date"}
+#: columns whose highest value the writes keep count of
+COUNTERS = {"dim_client": ("client_sk",)}
+
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
-    return spark.createDataFrame([], TABLES[table])
+    return spark.createDataFrame([], TABLES[table] + (", period string" if table in PERIODS else ""))
+
+
+def period_of(day: Column | str) -> Column:
+    """The month of a date, as the folders of facts name it."""
+    return F.date_format(day, "yyyy-MM")
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

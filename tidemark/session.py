@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: object) -> SparkSession:
@@ -78,3 +78,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, label: str, **totals: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, and the number of rows (``rows``) and other totals as the write itself sees them; nothing is read again."""
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[value.alias(name) for name, value in totals.items()])
+    return written(observed, label), seen.get

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import csv
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.keyed import lookup_join
 from ..operators.numbering import number_file_rows
 from ..schemas import SNAPSHOT_FIELDS
 from ..session import written
@@ -52,47 +51,85 @@ def drift_report(headers: DataFrame) -> DataFrame:
 
 #: A record: anything up to a line end outside quotes.
 _RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"?+)++'
+#: A cell and the comma behind it: quoted, with quotes inside doubled, or anything without a comma.
+_CELL = r'("(?:[^"]|"")*+"|[^,]*+),'
+
+
+def cells_of(record: Column | str) -> Column:
+    """The cells of a CSV record. A quoted cell gives its content; an empty one without quotes is null."""
+    raw = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_CELL), F.lit(1))
+    quoted = lambda c: F.length(c).__ge__(2) & c.startswith('"') & c.endswith('"')
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda c: F.when(quoted(c), inner(c)).when(c != "", c))
 
 
-def read_vendor(spark: SparkSession, paths: list[str], multiline: bool = False) -> tuple[DataFrame, list[str]]:
-    """Rows of the files as text columns with raw_payload, file_path, file_name and row_num, and the warnings.
+def headers_of(first_lines: DataFrame) -> DataFrame:
+    """One row per file: file_path, file_name, delivered and expected names, and the place of each expected field."""
+    delivered = F.transform(cells_of("value"), lambda c: F.coalesce(c, F.lit("")))
+    renamed = lambda name: F.coalesce(*[F.when(name == old, F.lit(new)) for old, new in ALIASES.items()], name)
+    named = first_lines.select("file_path", "file_name", delivered.alias("delivered")).withColumn("names", F.transform("delivered", renamed))
+    return named.withColumns({f"at_{f}": (F.array_position("names", F.lit(f)) - 1).cast("int") for f in EXPECTED})
 
-    All files are scanned together, and their lines are numbered and written once. Only header lines, one per file,
-    reach the driver; files with the same header are parsed together, so the plan has one branch per header in use
-    and not one per file. A missing trailing cell is null. ``raw_payload`` has the cells under the names of the
-    delivered header; where their number is not the header's, also the whole record, as ``_record``.
+
+def refuse_drift(headers: DataFrame, shown: int = 20) -> None:
+    """Fail if a header is not the expected one, naming the first files and how many there are. Decided where the headers are."""
+    expected = F.array(*[F.lit(f) for f in EXPECTED])
+    twice = F.filter(F.array_distinct("names"), lambda name: F.size(F.filter("names", lambda n: n == name)) > 1)  # an alias beside its target
+    judged = headers.select(
+        "file_name", F.array_sort(F.array_except(expected, "names")).alias("missing"),
+        F.concat(F.array_sort(F.array_except("names", expected)), F.array_sort(twice)).alias("unexpected"),
+    ).where((F.size("missing") > 0) | (F.size("unexpected") > 0))
+    found = judged.orderBy("file_name").limit(shown).collect()
+    if found:
+        listed = "; ".join(f"{r.file_name}: missing={r.missing}, unexpected={r.unexpected}" for r in found)
+        more = judged.count() - len(found) if len(found) == shown else 0
+        raise SchemaDrift(f"Unapproved schema drift in {listed}" + (f" and {more} more files" if more else ""))
+
+
+def alias_warnings(headers: DataFrame) -> DataFrame:
+    """A row (file_name, warning) for every approved alias that a file uses."""
+    used = headers.select("file_name", F.explode("delivered").alias("alias")).where(F.col("alias").isin(*ALIASES))
+    name = F.coalesce(*[F.when(F.col("alias") == old, F.lit(new)) for old, new in ALIASES.items()])
+    return used.select("file_name", F.format_string("Approved schema alias '%s' normalized to '%s' in %s", "alias", name, "file_name").alias("warning"))
+
+
+def read_vendor(
+    spark: SparkSession, paths: list[str] | DataFrame, multiline: bool = False, chosen: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files as text columns with raw_payload, file_path, file_name and row_num, and the warnings about aliases.
+
+    ``paths``: files or folders, or their lines as ``files.folder_lines`` gives them; ``chosen`` names the files that count, by
+    ``file_path``. All files are scanned together, and their lines are numbered and written once. Headers stay on the executors: each file's header becomes an array of names and the
+    places of the expected fields, the files' rows are joined to them, and cells are taken by place. So neither plan nor
+    driver knows how many files or layouts there are; drift is decided by an aggregate, of which the first few cases are shown. A
+    missing trailing cell is null. ``raw_payload`` has the cells under the names of the delivered header; where their
+    number is not the header's, also the whole record, as ``_record``.
 
     With ``multiline`` a quoted cell may hold line ends; a file is then read by one task.
     """
-    if not paths:
+    if isinstance(paths, DataFrame):
+        text = paths
+    elif not paths:
         raise ValueError("no vendor files given")
-    text = lines(spark, paths, whole=multiline)
+    else:
+        text = lines(spark, paths, whole=multiline)
     if multiline:
         text = text.withColumn("value", F.explode(F.regexp_extract_all("value", F.lit(_RECORD), F.lit(0))))
-    numbered = written(number_file_rows(text.where("trim(value) <> ''"), "line_num"), "vendor-lines")
-    first_lines = numbered.where("line_num = 1")
-    warnings: list[str] = []
-    layouts: dict[tuple[str, ...], tuple[list[str], set[str]]] = {}
-    for head in first_lines.select("file_name", "value").orderBy("file_name").collect():
-        delivered = next(csv.reader([head.value]))
-        names, used = check_header(head.file_name, delivered)
-        layouts.setdefault(tuple(delivered), (names, set()))[1].add(head.value)
-        warnings += used
-    heads = first_lines.select("file_path", F.col("value").alias("head"))
-    body = numbered.where("line_num > 1").join(heads, "file_path")
-    parsed = spark.createDataFrame([], ", ".join(f"{f} string" for f in (*EXPECTED, "raw_payload", "file_path", "file_name")) + ", row_num long")
-    for delivered, (names, texts) in layouts.items():
-        schema = ", ".join(f"{n} string" for n in (*delivered, "_record"))
-        cells = body.where(F.col("head").isin(sorted(texts))).withColumn(
-            "cells", F.from_csv("value", schema, {"columnNameOfCorruptRecord": "_record"})
-        )
-        own = F.to_json(F.struct(*[F.col(f"cells.{d}").alias(d) for d in delivered]), {"ignoreNullFields": "false"})
-        odd = F.col("cells._record").isNotNull()
-        payload = F.when(odd, F.to_json("cells", {"ignoreNullFields": "false"})).otherwise(own)
-        parsed = parsed.unionByName(
-            cells.select(
-                *[F.col(f"cells.{d}").alias(n) for d, n in zip(delivered, names)], payload.alias("raw_payload"),
-                "file_path", "file_name", (F.col("line_num") - 1).alias("row_num"),
-            )
-        )
-    return parsed, warnings
+    numbered = number_file_rows(text.where("trim(value) <> ''"), "line_num")
+    if chosen is not None:
+        numbered = lookup_join(numbered, chosen.select("file_path"), ["file_path"], "left_semi")
+    numbered = written(numbered, "vendor-lines")
+    headers = written(headers_of(numbered.where("line_num = 1")), "vendor-headers")
+    refuse_drift(headers)
+    body = lookup_join(numbered.where("line_num > 1"), headers.drop("file_name"), ["file_path"], "inner")
+    body = body.withColumn("cells", cells_of("value"))
+    width = F.size("delivered")
+    padded = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.get("cells", i))
+    own = F.map_from_arrays("delivered", padded)
+    whole = F.map_concat(own, F.create_map(F.lit("_record"), "value"))
+    payload = F.to_json(F.when(F.size("cells") == width, own).otherwise(whole), {"ignoreNullFields": "false"})
+    rows = body.select(
+        *[F.get("cells", F.col(f"at_{f}")).alias(f) for f in EXPECTED], payload.alias("raw_payload"),
+        "file_path", "file_name", (F.col("line_num") - 1).alias("row_num"),
+    )
+    return rows, alias_warnings(headers)

@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import checks, controls, dims, history, replay
-from ..plans import changes as change_plan
+from ..operators import asof, checks, compare, controls, dims, history, replay
+from ..plans import analytics, changes as change_plan
 from ..plans.publish import Warehouse
 from ..session import scratch_path, written
 from ..streaming import changes as streaming
@@ -158,19 +158,20 @@ def replay_affected(spark: SparkSession, folder: str) -> DataFrame:
 def replay_events(spark: SparkSession, folder: str) -> DataFrame:
     """Affected clients' events from the boundary through their latest."""
     events = t.feed(spark, folder)
-    return replay.events_to_rebuild(events, replay.affected_clients(events, LOW, HIGH), LOW).select("lsn", "client_id", "op")
+    return replay.events_to_rebuild(events, replay.same_boundary(replay.affected_clients(events, LOW, HIGH), LOW)).select("lsn", "client_id", "op")
 
 
 def _before_replay(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = t.feed(spark, folder)
-    return events, replay.affected_clients(events, LOW, HIGH), written(t.full_dimension(spark, folder)[0], "dim")
+    boundaries = replay.same_boundary(replay.affected_clients(events, LOW, HIGH), LOW)
+    return events, boundaries, written(t.full_dimension(spark, folder)[0], "dim")
 
 
 @query("replay_purge", t.with_(t.FULL, f"SELECT {_VERSION} FROM dim WHERE NOT (valid_from >= {_LOW} AND client_id IN {_AFFECTED})"))
 def replay_purge(spark: SparkSession, folder: str) -> DataFrame:
     """The dimension without the affected clients' versions from the boundary on."""
-    _, affected, dim = _before_replay(spark, folder)
-    return replay.purge_versions(dim, affected, LOW)
+    _, boundaries, dim = _before_replay(spark, folder)
+    return replay.purge_versions(dim, boundaries)
 
 
 _OPENED = f"valid_from < {_LOW} AND (valid_to IS NULL OR valid_to >= {_LOW}) AND client_id IN {_AFFECTED}"
@@ -183,14 +184,14 @@ SELECT client_sk, client_id, opened_by_lsn, risk_category, account_status, valid
 FROM dim WHERE NOT (valid_from >= {_LOW} AND client_id IN {_AFFECTED})"""))
 def replay_reopen(spark: SparkSession, folder: str) -> DataFrame:
     """The base a replay starts from: purged, and the version in force at the boundary open again."""
-    _, affected, dim = _before_replay(spark, folder)
-    return replay.base_at(dim, affected, LOW)
+    _, boundaries, dim = _before_replay(spark, folder)
+    return replay.base_at(dim, boundaries)
 
 
 def _replayed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    events, affected, dim = _before_replay(spark, folder)
-    base = written(replay.base_at(dim, affected, LOW), "base")
-    again = history.apply_events(base, replay.events_to_rebuild(events, affected, LOW))
+    events, boundaries, dim = _before_replay(spark, folder)
+    base = written(replay.base_at(dim, boundaries), "base")
+    again = history.apply_events(base, replay.events_to_rebuild(events, boundaries))
     return dim, t.dimension_after(base, again)
 
 
@@ -208,35 +209,72 @@ def replay_from_start(spark: SparkSession, folder: str) -> DataFrame:
     early = dt.datetime(2024, 1, 1)
     events = t.feed(spark, folder)
     dim = written(t.full_dimension(spark, folder)[0], "dim")
-    affected = replay.affected_clients(events, early, HIGH)
-    base = written(replay.base_at(dim, affected, early), "base")
-    again = history.apply_events(base, replay.events_to_rebuild(events, affected, early), hold=written)
+    boundaries = replay.same_boundary(replay.affected_clients(events, early, HIGH), early)
+    base = written(replay.base_at(dim, boundaries), "base")
+    again = history.apply_events(base, replay.events_to_rebuild(events, boundaries), hold=written)
     return t.dimension_after(base, again)
 
 
-@query("replay_noop_diff", t.with_("feed", "SELECT 'lost' AS side, lsn FROM feed WHERE false"))
+_DIFF = "CAST(client_id AS BIGINT) % 16"
+
+
+@query("replay_noop_diff", t.with_(t.FULL, f"""
+SELECT c.trial, b.bucket, b.n AS rows_before, b.n AS rows_after, c.trial = 'replay' OR b.bucket <> p.bucket AS equal,
+       CASE WHEN c.trial = 'planted' AND b.bucket = p.bucket THEN 2 ELSE 0 END AS differing
+FROM (SELECT {_DIFF} AS bucket, count(*) AS n FROM dim GROUP BY 1) b,
+     (SELECT {_DIFF} AS bucket FROM dim ORDER BY client_sk DESC LIMIT 1) p, (VALUES ('replay'), ('planted')) c(trial)"""))
 def replay_noop_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Versions that a replay lost or added: none."""
+    """The dimension before and after a replay, bucket by bucket: nothing differs. With one version changed on purpose,
+    its bucket does, by the row that is gone and the one that has come."""
     before, after = _replayed(spark, folder)
     after = written(after, "after")
-    lost = before.exceptAll(after).select(F.lit("lost").alias("side"), F.col("opened_by_lsn").alias("lsn"))
-    return lost.unionByName(after.exceptAll(before).select(F.lit("added").alias("side"), F.col("opened_by_lsn").alias("lsn")))
+    top = after.agg(F.max("client_sk").alias("top")).first().top
+    planted = after.withColumn("risk_category", F.when(F.col("client_sk") == top, "planted").otherwise(F.col("risk_category")))
+    bucket = (F.col("client_id").cast("long") % 16).cast("long")
+    found = []
+    for trial, now in (("replay", after), ("planted", planted)):
+        compared = written(compare.compared_buckets(before, now, bucket), trial)
+        differing = compare.differing_rows(before, now, bucket, compared).groupBy("bucket").agg(F.sum("times").alias("differing"))
+        joined = compared.join(differing, "bucket", "left").withColumn("trial", F.lit(trial)).fillna(0, ["differing"])
+        found.append(joined.select("trial", "bucket", "rows_before", "rows_after", "equal", "differing"))
+    return found[0].unionByName(found[1])
+
+
+def _late_views(events: DataFrame) -> DataFrame:
+    """The views of each client's first days, between two and eleven of them, which arrive after all else."""
+    views = F.map_contains_key(F.coalesce("after", F.create_map().cast("map<string,string>")), F.lit(history.STATUS))
+    until = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("client_id").cast("long") % 10).cast("int"))
+    return views & (F.col("commit_ts") < until)
+
+
+def _late_boundaries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The feed, its part in time, its late part, and where each client's history has to begin again."""
+    events = t.feed(spark, folder)
+    is_late = _late_views(events)
+    first, second = events.where(~is_late), events.where(is_late)
+    late = written(replay.late_clients(second, first), "late")
+    return events, first, second, written(replay.late_boundaries(events, late), "boundaries")
+
+
+@query("late_rebuilt_events", t.with_("feed late overtaken boundaries", """
+SELECT f.lsn, f.client_id, b.from_ts FROM feed f JOIN boundaries b ON f.client_id = b.client_id WHERE commit_ts >= from_ts"""))
+def late_rebuilt_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events that late arrivals cause to be applied again: of each late client, its own tail and no more."""
+    events, _, _, boundaries = _late_boundaries(spark, folder)
+    rebuilt = replay.events_to_rebuild(events, boundaries)
+    return rebuilt.join(boundaries, "client_id").select("lsn", "client_id", "from_ts")
 
 
 @query("late_lsn_rebuild", t.with_(t.FULL, f"SELECT {_VERSION} FROM dim"))
 def late_lsn_rebuild(spark: SparkSession, folder: str) -> DataFrame:
-    """Views of the first ten days arrive after all else. Their clients are rebuilt from the first late event on."""
-    events = t.feed(spark, folder)
+    """Late views of very different age. Each client is rebuilt from its own first late event on; the end is what it would
+    have been in order."""
+    events, first, second, boundaries = _late_boundaries(spark, folder)
     base = t.base_dimension(spark, folder)
-    is_late = F.map_contains_key(F.coalesce("after", F.create_map().cast("map<string,string>")), F.lit(history.STATUS)) & (
-        F.col("commit_ts") < F.lit("2024-01-11 00:00:00").cast("timestamp_ntz"))
-    first, second = events.where(~is_late), events.where(is_late)
     dim = written(t.dimension_after(base, history.apply_events(base, first)), "dim")
-    late = written(replay.late_clients(second, first), "late")
-    low = events.join(late, "client_id").where("lsn >= from_lsn").agg(F.min("commit_ts").alias("low")).first().low
-    other = second.join(late, "client_id", "left_anti")
-    work = replay.events_to_rebuild(events, late, low).unionByName(other)
-    rebuilt = written(replay.base_at(dim, late, low), "base")
+    other = second.join(boundaries, "client_id", "left_anti")
+    work = replay.events_to_rebuild(events, boundaries).unionByName(other)
+    rebuilt = written(replay.base_at(dim, boundaries), "base")
     return t.dimension_after(rebuilt, history.apply_events(rebuilt, work))
 
 
@@ -251,7 +289,7 @@ def stream_apply(spark: SparkSession, folder: str) -> DataFrame:
     )
     lines = t.feed(spark, folder).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"), "lsn")
     lines.repartitionByRange(2, "lsn").select("value").write.text(source)
-    warehouse = Warehouse(spark, root)
+    warehouse = Warehouse(spark, root, buckets=4)
     batch = warehouse.begin("base")
     batch.append("dim_client", t.base_dimension(spark, folder))
     batch.publish()
@@ -261,6 +299,54 @@ def stream_apply(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# --- points in time ---------------------------------------------------------------------------------------
+
+
+def _facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a fact of its client, at its own time; some of them before the client's first version or after its last."""
+    return t.feed(spark, folder).select("lsn", "client_id", "commit_ts")
+
+
+_AT_FACT = """
+SELECT f.lsn, f.client_id, {columns} FROM feed f LEFT JOIN (
+  SELECT f.lsn, {inner} FROM feed f JOIN {table} s ON f.client_id = s.client_id AND s.{since} <= f.commit_ts
+  QUALIFY row_number() OVER (PARTITION BY f.lsn ORDER BY s.{since} DESC, s.{order} DESC) = 1) v ON f.lsn = v.lsn"""
+
+
+@query("fact_key_as_of", t.with_(t.FULL, _AT_FACT.format(
+    columns="v.client_sk", table="dim", since="valid_from", order="client_sk",
+    inner="CASE WHEN s.valid_to IS NULL OR s.valid_to > f.commit_ts THEN s.client_sk END AS client_sk")))
+def fact_key_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The key of the version that was valid at each fact's own time."""
+    return dims.with_client_key_as_of(_facts(spark, folder), t.full_dimension(spark, folder)[0], "commit_ts").drop("commit_ts")
+
+
+@query("fact_balance_as_of", t.with_(t.HISTORY + " balances", _AT_FACT.format(
+    columns="v.balance_usd", table="balances", since="observed_at", order="lsn", inner="s.balance_usd")))
+def fact_balance_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest balance change at or before each fact's own time."""
+    balances = t.full_dimension(spark, folder)[1].balances
+    return asof.as_of(_facts(spark, folder), balances, "client_id", "commit_ts", "observed_at", ["balance_usd"], ["lsn"]).drop("commit_ts")
+
+
+@query("deposits_by_state", t.with_(t.FULL + " balances", """
+SELECT risk_category, account_status, balance_known, count(*) AS deposits, sum(amount_usd) AS amount_usd FROM (
+  SELECT f.lsn, f.amount_usd,
+    (SELECT max({'a': valid_from, 'b': client_sk, 'r': CASE WHEN valid_to IS NULL OR valid_to > made THEN risk_category END}) FROM dim d WHERE d.client_id = f.client_id AND valid_from <= made).r AS risk_category,
+    (SELECT max({'a': valid_from, 'b': client_sk, 'r': CASE WHEN valid_to IS NULL OR valid_to > made THEN account_status END}) FROM dim d WHERE d.client_id = f.client_id AND valid_from <= made).r AS account_status,
+    EXISTS (SELECT 1 FROM balances b WHERE b.client_id = f.client_id AND observed_at <= made) AS balance_known
+  FROM (SELECT lsn, client_id, CAST(value AS DECIMAL(18,2)) AS amount_usd,
+               CAST(CAST(commit_ts AS DATE) + 1 AS TIMESTAMP) - INTERVAL 1 MICROSECOND AS made FROM feed WHERE event_type = 'purchase') f
+) g GROUP BY ALL"""))
+def deposits_by_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Purchases as deposits, by the state of their client at the end of the day."""
+    dim, applied = t.full_dimension(spark, folder)
+    purchases = t.table(spark, folder, "events").where("event_type = 'purchase'").select(
+        F.col("user_id").cast("string").alias("client_id"), F.col("ts").cast("date").alias("deposit_date"),
+        F.col("value").cast("decimal(18,2)").alias("amount_usd"), F.lit("completed").alias("status"))
+    return analytics.deposits_by_state(purchases, dim, applied.balances)
+
+
 # --- deliveries ------------------------------------------------------------------------------------------
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import hashing
 from ..operators import controls, dims, keyed, numbering
+from ..plans import analytics
 from ..plans.publish import Warehouse
 from ..schemas import SNAPSHOT_FIELDS, TYPES
 from ..session import scratch_path
@@ -288,3 +291,31 @@ def lineage(spark: SparkSession, folder: str) -> DataFrame:
     return controls.lineage(deposits, "fact_deposit", F.col("deposit_id")).unionByName(
         controls.lineage(events, "cdc_processing_ledger", F.col("event_id").cast("string"))
     )
+
+
+@query("rescan_worklist", """
+SELECT CAST(o_orderkey AS VARCHAR) AS file_name,
+       CASE WHEN o_orderdate > TIMESTAMP '1996-01-01 00:00:00' - INTERVAL 7 DAY THEN 'hash' ELSE 'overlooked' END AS action
+FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01 00:00:00' - INTERVAL 7 DAY OR o_orderstatus = 'P'""")
+def rescan_worklist(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order is a file that arrived on its date; all but partial ones are in the manifest, and files up to 1996 have been
+    seen. Those of the last seven days are hashed again, older ones that nobody knows are reported."""
+    orders = t.table(spark, folder, "orders")
+    named = orders.select(F.col("o_orderkey").cast("string").alias("file_name"), F.col("o_orderdate").cast("timestamp_ntz").alias("arrived_at"))
+    manifest = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("file_name"))
+    until = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
+    return controls.rescan(named, manifest, until).select("file_name", "action")
+
+
+@query("deposits_in_months", t.with_("deposits", """
+SELECT strftime(deposit_date, '%Y-%m') AS period, source_system, count(*) AS deposits, sum(amount_usd) AS amount_usd
+FROM deposits WHERE status = 'completed' AND year(deposit_date) = 1996 AND quarter(deposit_date) = 2 AND isodow(deposit_date) NOT IN (6, 7) GROUP BY 1, 2"""))
+def deposits_in_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Published deposits of the working days of a quarter: the calendar decides which months' folders are read."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    batch = warehouse.begin("deposits")
+    batch.append("fact_deposit", t.deposits(spark, folder))
+    batch.append("dim_date", dims.calendar(spark, dt.date(1992, 1, 1), dt.date(1998, 12, 31)))
+    batch.publish()
+    days = warehouse.read("dim_date").where("year = 1996 and quarter = 2 and not is_weekend")
+    return analytics.deposits_in(warehouse.read("fact_deposit"), days)

@@ -102,7 +102,7 @@ def dedup_conflict(spark: SparkSession, folder: str) -> DataFrame:
 @query("quarantine_records", t.with_(t.VENDOR, """
 SELECT sha256(concat_ws('|', 'vendor', file_name, CAST(row_num AS VARCHAR), disposition)) AS quarantine_id, 'vendor' AS source_system,
        file_name AS source_identifier, deposit_id AS record_id, disposition AS reason_code,
-       '{"deposit_id":' || coalesce('"' || deposit_id || '"', 'null') || ',"client_id":' || coalesce('"' || client_id || '"', 'null') || '}' AS raw_payload,
+       '{"deposit_id":' || coalesce('"' || deposit_id || '"', 'null') || ',"client_id":' || coalesce('"' || client_id || '"', 'null') || ',"amount_usd":"' || amount_usd || '"}' AS raw_payload,
        CASE WHEN disposition IN ('ORPHAN_CLIENT', 'DUPLICATE_CONFLICT') THEN 'ERROR' ELSE 'CRITICAL' END AS severity,
        false AS is_resolved, disposition = 'ORPHAN_CLIENT' AS retry_eligible
 FROM judged WHERE disposition NOT IN ('STAGED', 'DUPLICATE')"""))
@@ -114,11 +114,20 @@ def quarantine_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    failed = _judged(spark, folder).where("verdict is not null")
-    payload = F.to_json(F.struct("deposit_id", "client_id"), {"ignoreNullFields": "false"})
+    judged = quality.judge_vendor_rows(_landed(spark, folder), _current(spark, folder), hold=written)
+    return _records(judged, F.col("row_num"))
+
+
+def _landed(spark: SparkSession, folder: str) -> DataFrame:
+    """Delivered rows with their payload as delivered, and the file's hash."""
+    payload = F.to_json(F.struct("deposit_id", "client_id", "amount_usd"), {"ignoreNullFields": "false"})
+    return t.delivered(spark, folder).withColumns({"raw_payload": payload, "file_hash": hashing.content_digest("file_name")})
+
+
+def _records(judged: DataFrame, occurrence: F.Column) -> DataFrame:
     return quality.quarantine_records(
-        failed, "vendor", F.col("file_name"), F.col("deposit_id"), F.col("row_num"), payload, F.lit("b1"),
-        F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"),
+        judged.where("verdict is not null"), "vendor", F.col("file_name"), F.col("deposit_id"), occurrence, F.col("raw_payload"),
+        F.lit("b1"), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"),
     )
 
 
@@ -140,6 +149,55 @@ def quarantine_retry(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.lookup_join(waiting, arrived, ["client_id"], "left_semi").select("record_id", "client_id")
 
 
+_ARRIVED = "disposition = 'ORPHAN_CLIENT' AND client_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)"
+
+
+def _retried(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """First judgement, quarantine, and the second judgement of the rows whose clients (customers in credit) have come."""
+    landed, first = _landed(spark, folder), _current(spark, folder)
+    judged = written(quality.judge_vendor_rows(landed, first, hold=written), "judged")
+    records = written(_records(judged, F.concat_ws(":", "file_hash", "row_num")), "records")
+    arrived = t.clients(spark, folder).where("account_balance_usd > 0").select("client_id", "client_sk")
+    now = first.unionByName(arrived.join(first, "client_id", "left_anti"))
+    staged = judged.where(F.col("disposition") == quality.STAGED).select("deposit_id", "row_hash")
+    again = written(quality.judge_vendor_rows(quality.waiting_rows(landed, records, now), now, staged, hold=written), "again")
+    return judged, records, again
+
+
+@query("quarantine_resolution", t.with_(t.VENDOR, f"""
+SELECT deposit_id AS record_id, file_name AS source_identifier, disposition AS reason_code, {_ARRIVED} AS is_resolved,
+       disposition = 'ORPHAN_CLIENT' AND NOT ({_ARRIVED}) AS retry_eligible
+FROM judged WHERE disposition NOT IN ('STAGED', 'DUPLICATE') UNION ALL
+SELECT deposit_id, file_name, 'DUPLICATE_CONFLICT', false, false FROM (
+  SELECT *, first_value(t_amount) OVER (PARTITION BY deposit_id ORDER BY file_name, row_num) AS won FROM judged WHERE {_ARRIVED}) r
+WHERE t_amount <> won"""))
+def quarantine_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """The quarantine after a retry: records dealt with are resolved, and rows that another rule holds back now have one for it."""
+    _, records, again = _retried(spark, folder)
+    done = keyed.upsert(records, quality.resolved(records, again), ["quarantine_id"], ["is_resolved", "retry_eligible"])
+    fresh = _records(again, F.concat_ws(":", "file_hash", "row_num"))
+    return done.unionByName(fresh).select("record_id", "source_identifier", "reason_code", "is_resolved", "retry_eligible")
+
+
+@query("manifest_after_retry", t.with_(t.VENDOR, f"""
+SELECT file_name, sum(first_staged) + sum(CASE WHEN arrived AND place2 = 1 THEN 1 ELSE 0 END) AS row_count_staged,
+       sum(first_held) - sum(CASE WHEN arrived AND t_amount = won THEN 1 ELSE 0 END) AS row_count_quarantined
+FROM (SELECT file_name, t_amount, arrived, CASE WHEN disposition = 'STAGED' THEN 1 ELSE 0 END AS first_staged,
+             CASE WHEN disposition NOT IN ('STAGED', 'DUPLICATE') THEN 1 ELSE 0 END AS first_held,
+             row_number() OVER w AS place2, first_value(t_amount) OVER w AS won
+      FROM (SELECT *, {_ARRIVED} AS arrived FROM judged) j WINDOW w AS (PARTITION BY deposit_id, arrived ORDER BY file_name, row_num)) f
+GROUP BY file_name"""))
+def manifest_after_retry(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of every file once its waiting rows have been tried again, as an upsert of the counts that changed."""
+    judged, _, again = _retried(spark, folder)
+    at = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    counts = quality.row_accounting(judged, ["file_name", "file_hash"])
+    manifest = written(controls.manifest_rows(counts, "vendor", F.lit("b1"), at), "manifest")
+    now = controls.manifest_after_retry(manifest, again, at)
+    after = keyed.upsert(manifest, now, ["file_hash"], ["row_count_staged", "row_count_quarantined", "processed_at"])
+    return after.select("file_name", "row_count_staged", "row_count_quarantined")
+
+
 @query("validity_ratio", t.with_(t.VENDOR, """
 SELECT file_name, round(avg(CASE WHEN disposition IN ('STAGED', 'DUPLICATE') THEN 1.0 ELSE 0.0 END), 6) AS valid_ratio,
        avg(CASE WHEN disposition IN ('STAGED', 'DUPLICATE') THEN 1.0 ELSE 0.0 END) >= 0.99 AS within_target

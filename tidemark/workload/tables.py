@@ -195,6 +195,14 @@ CTES["balances"] = """
 SELECT lsn, client_id, commit_ts AS observed_at, balance_after AS balance_usd FROM live
 WHERE op = 'update' AND has_balance AND balance_before IS DISTINCT FROM balance_after"""
 
+# The views of each client's first days, two to eleven of them, arrive after all else; where a client's history begins again.
+_IS_LATE = "(event_type = 'view' AND commit_ts < TIMESTAMP '2024-01-03 00:00:00' + to_days(CAST(CAST(f.client_id AS BIGINT) % 10 AS INTEGER)))"
+CTES["late"] = f"SELECT client_id, min(lsn) AS from_lsn FROM feed f WHERE {_IS_LATE} GROUP BY client_id"
+CTES["overtaken"] = f"""
+SELECT DISTINCT l.client_id, from_lsn FROM late l JOIN feed f ON f.client_id = l.client_id WHERE NOT {_IS_LATE} AND f.lsn > from_lsn"""
+CTES["boundaries"] = """
+SELECT f.client_id, min(commit_ts) AS from_ts FROM feed f JOIN overtaken o ON f.client_id = o.client_id WHERE f.lsn >= from_lsn GROUP BY f.client_id"""
+
 HISTORY = "clients base feed lives deaths live states starts"
 FULL = HISTORY + " closed dim"
 
