@@ -239,6 +239,8 @@ def test_phrases_against_brute_force(spark, monkeypatch, longest, shares, held):
     """Also with split stripes and tasks that emit early."""
     monkeypatch.setattr(phrases, "SHARES", shares)
     monkeypatch.setattr(phrases, "COUNTERS_HELD", held)
+    monkeypatch.setattr(phrases, "BUNDLE", 3 if held < 1000 else 256)
+    monkeypatch.setattr(phrases, "MERGED", held)
     rows = spoken(300, longest) + [(None, None), ("en", ""), ("fr", ".,;")]
     docs = spark.createDataFrame([(l, t, 1, "x") for l, t in rows], "lang string, text string, n int, phrase string").repartition(5)
     got = sorted(tuple(r) for r in phrases.collocations(docs, longest=longest, least=8).select("lang", "phrase", "a", "l", "r", "n", "score", "dropped").collect())

@@ -10,8 +10,9 @@ at most as frequent as each part of it, so a level counts only extensions of whi
 first word, were left over by the level before. What is left over is
 told to tasks by a bit filter of fixed size: false hits cost work and change nothing, as every count is exact. Most
 stripes are short; the stripe of a prefix that holds a noticeable share of all words is split by a hash of the next word
-into segments, so that none grows with the corpus alone. On the way a stripe is two values, its words as one text and its counters
-as one run of bytes.
+into segments, so that none grows with the corpus alone. Stripes travel in bundles: a task's stripes (or segments) of about
+``BUNDLE`` prefixes, chosen by hash, are one row of packed columns. So rows are few, however many prefixes there are, and a
+merge holds one bundle at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ FILTER_BITS = 26
 SHARES = 4096
 #: Distinct words and distinct counters a task holds before it emits what it has.
 WORDS_HELD, COUNTERS_HELD = 400_000, 2_000_000
+#: Frequent prefixes to a bundle, and counters that a merge holds before it sums them up.
+BUNDLE, MERGED = 256, 2_000_000
 #: Salts of the first of two rankings.
 SALTS = 64
 
@@ -163,17 +166,17 @@ class Stripes:
     """A task's counters of one language. A counter is the prefix's words (1, 2 or 3), then the next word, as two numbers;
     a next word of 0 stands for the end of a piece and for words that no frequent phrase goes on with."""
 
-    def __init__(self, lang: str, hot: dict[tuple[str, str], int]):
-        self.vocabulary, self.hot = Vocabulary(lang), hot
+    def __init__(self, lang: str, hot: dict[str, dict[str, int]], bundles: dict[str, int], limit: int):
+        self.vocabulary, self.hot, self.bundles = Vocabulary(lang), hot.get(lang, {}), bundles.get(lang, 1)
         self.held: list[tuple[list[np.ndarray], np.ndarray]] = []
-        self.size = 0
+        self.size, self.limit = 0, limit
 
     def add(self, prefix: list[np.ndarray], following: np.ndarray) -> None:
         one, two, three = [*prefix, *[np.zeros(1, np.int64)] * (3 - len(prefix))]
         columns = [one << 32 | np.broadcast_to(two, one.shape), np.broadcast_to(three << 32, one.shape) | following]
         self.held.append(_summed(columns, np.ones(len(one), np.int64)))
         self.size += len(self.held[-1][1])
-        if self.size > COUNTERS_HELD:
+        if self.size > self.limit:
             self.compact()
 
     def compact(self) -> None:
@@ -183,7 +186,7 @@ class Stripes:
             self.size = len(self.held[0][1])
 
     def emit(self) -> Iterator[pa.RecordBatch]:
-        """One row per stripe segment: lang, prefix, segment, rest, nexts, counts."""
+        """One row per bundle: lang, bundle, and the packed prefixes, segments, rests, numbers of words, words and counters."""
         self.compact()
         if not self.size:
             return
@@ -193,60 +196,68 @@ class Stripes:
         following = second & 0xFFFFFFFF
         starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (words[2][1:] != words[2][:-1])))
         prefix = names.take(pa.array(words[0][starts]))
+        place = hashes[words[0][starts]]
         for k in (1, 2):
             longer = pc.binary_join_element_wise(prefix, names.take(pa.array(words[k][starts])), " ")
             prefix = pc.if_else(pa.array(words[k][starts] > 0), longer, prefix)
-        hot = self.hot.get(self.vocabulary.lang, {})
+            place = np.where(words[k][starts] > 0, place * np.uint64(_STEP) + hashes[words[k][starts]], place)
         stripe = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(times))))
-        segment = np.zeros(len(times), np.int64)
-        if hot:
-            parts = np.array([hot.get(key, 1) for key in prefix.to_pylist()], np.uint64)[stripe]
-            spread = (hashes[following] * np.uint64(_SPREAD)) >> np.uint64(20)
-            segment = np.where(following > 0, (spread % parts).astype(np.int64), 0)
-            order = np.lexsort((following, segment, stripe))
-            stripe, segment, following, times = stripe[order], segment[order], following[order], times[order]
+        segment = np.zeros(len(times), np.uint64)
+        if self.hot:
+            parts = np.array([self.hot.get(key, 1) for key in prefix.to_pylist()], np.uint64)[stripe]
+            segment = np.where(following > 0, ((hashes[following] * np.uint64(_SPREAD)) >> np.uint64(20)) % parts, np.uint64(0))
+        bundle = (((place[stripe] + segment) * np.uint64(_SPREAD)) >> np.uint64(16)) % np.uint64(self.bundles)
+        order = np.lexsort((following, segment, stripe, bundle))
+        bundle, stripe, segment, following, times = (x[order] for x in (bundle, stripe, segment, following, times))
         cuts = np.flatnonzero(np.append(True, (stripe[1:] != stripe[:-1]) | (segment[1:] != segment[:-1])))
+        rows = np.flatnonzero(np.append(True, bundle[cuts][1:] != bundle[cuts][:-1]))  # stripes at which a bundle begins
         is_rest = following == 0
-        rest = np.add.reduceat(np.where(is_rest, times, 0), cuts)
-        offsets = np.append(0, np.cumsum(np.add.reduceat((~is_rest).astype(np.int64), cuts))).astype(np.int32)
-        nexts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(following[~is_rest]))), " ")
-        columns = [
-            pa.repeat(self.vocabulary.lang, len(cuts)), prefix.take(pa.array(stripe[cuts])), pa.array(segment[cuts].astype(np.int32)), pa.array(rest),
-            nexts, _packed(times[~is_rest], offsets)]
-        whole = pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "segment", "rest", "nexts", "counts"])
-        for start in range(0, len(whole), 16384):
-            yield whole.slice(start, 16384)
-
-
-def _packed(times: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Each stripe's counters as little-endian unsigned 32-bit integers; a task holds fewer words than these can count."""
-    data = pa.py_buffer(times.astype("<u4").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), data])
-
-
-def _unpacked(batch: pa.RecordBatch) -> pa.Table:
-    """Stripes on the way as stripes with lists."""
-    raw = [value or b"" for value in batch.column("counts").to_pylist()]
-    lengths = np.array([len(value) // 4 for value in raw], np.int64)
+        lengths = np.add.reduceat((~is_rest).astype(np.int64), cuts)
+        ends = np.append(0, np.cumsum(lengths))
+        stripe_offsets = np.append(rows, len(cuts)).astype(np.int64)
+        entry_offsets = ends[stripe_offsets]
+        joined = lambda values, offsets, sep: pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values), sep)
+        columns = {
+            "lang": pa.repeat(self.vocabulary.lang, len(rows)), "bundle": pa.array(bundle[cuts][rows].astype(np.int64)),
+            "prefixes": joined(prefix.take(pa.array(stripe[cuts])), stripe_offsets, "\n"),
+            "segments": _packed(segment[cuts], stripe_offsets, "<u4"),
+            "rests": _packed(np.add.reduceat(np.where(is_rest, times, 0), cuts), stripe_offsets, "<u4"),
+            "lengths": _packed(lengths, stripe_offsets, "<u4"),
+            "nexts": joined(names.take(pa.array(following[~is_rest])), entry_offsets, " "), "counts": _packed(times[~is_rest], entry_offsets, "<u4"),
+        }
+        whole = pa.RecordBatch.from_pydict(columns)
+        for start in range(0, len(whole), 64):
+            yield whole.slice(start, 64)
+
+
+def _packed(values: np.ndarray, offsets: np.ndarray, kind: str) -> pa.Array:
+    """Runs of numbers as bytes. A task counts fewer words than 32 bits can."""
+    data = values.astype(kind)
+    at = pa.py_buffer((offsets * data.itemsize).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, at, pa.py_buffer(data.tobytes())])
+
+
+def _unpacked(row: dict) -> pa.Table:
+    """The stripes of a bundle as rows: prefix, segment, rest, nexts, counts."""
+    segments, rests, lengths, counts = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("segments", "rests", "lengths", "counts"))
     offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-    words = pc.split_pattern(batch.column("nexts").filter(pa.array(lengths > 0)), " ").flatten()
-    times = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+    words = pa.array(row["nexts"].split(" ") if len(counts) else [], pa.string())
     return pa.table({
-        **{name: batch.column(name) for name in ("lang", "prefix", "segment", "rest")},
-        "nexts": pa.ListArray.from_arrays(offsets, words), "counts": pa.ListArray.from_arrays(offsets, pa.array(times)),
+        "prefix": pa.array(row["prefixes"].split("\n"), pa.string()), "segment": segments, "rest": rests,
+        "nexts": pa.ListArray.from_arrays(offsets, words), "counts": pa.ListArray.from_arrays(offsets, pa.array(counts)),
     })
 
 
-def _count_stripes(known, hot, size: int):
+def _count_stripes(known, hot, size: int, limit: int):
     """Stripes of prefixes of ``size`` - 1 words, with a filter of the frequent phrases of as many words. Only those of
     single words have a rest: how often longer ones occur is known from the level before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, many = known.value, hot.value
+        frequent, (many, bundles) = known.value, hot.value
         held: dict[str, Stripes] = {}
         for groups in _by_language(batches):
             for lang, texts in groups.items():
-                own = held.setdefault(lang, Stripes(lang, many))
+                own = held.get(lang) or held.setdefault(lang, Stripes(lang, many, bundles, limit))
                 ids = np.append(own.vocabulary.read(texts), np.zeros(size, np.int64))
                 hashes = own.vocabulary.hashed()
                 n = len(ids) - size + 1
@@ -258,7 +269,7 @@ def _count_stripes(known, hot, size: int):
                 at = np.flatnonzero(whole[:-1] if size == 2 else whole[:-1] & whole[1:])
                 following = np.where(whole[at + 1], ids[at + size - 1], 0)
                 own.add([ids[at + k] for k in range(size - 1)], following)
-            if sum(s.size for s in held.values()) > COUNTERS_HELD or sum(len(s.vocabulary.numbers) for s in held.values()) > WORDS_HELD:
+            if sum(s.size for s in held.values()) > limit or sum(len(s.vocabulary.numbers) for s in held.values()) > WORDS_HELD:
                 for own in held.values():
                     yield from own.emit()
                 held.clear()
@@ -269,57 +280,55 @@ def _count_stripes(known, hot, size: int):
 
 
 def merged_stripes(table: pa.Table) -> pa.Table:
-    """Rows of one key, which stand together, merged elementwise."""
-    codes = [pc.dictionary_encode(table[name].combine_chunks()).indices.to_numpy() for name in ("lang", "prefix", "segment")]
-    starts = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in codes], axis=0)))
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+    """Stripes of one key (prefix, segment) merged elementwise."""
+    prefixes = pc.dictionary_encode(table["prefix"].combine_chunks()).indices.to_numpy().astype(np.int64)
+    _, starts, row = np.unique(prefixes << 32 | table["segment"].to_numpy(), return_index=True, return_inverse=True)
     nexts, counts = table["nexts"].combine_chunks(), table["counts"].combine_chunks()
     words = pc.dictionary_encode(nexts.flatten())
     owner = np.repeat(row, pc.list_value_length(nexts).to_numpy())
     (owner, word), times = _summed([owner, words.indices.to_numpy().astype(np.int64)], counts.flatten().to_numpy())
     offsets = pa.array(np.searchsorted(owner, np.arange(len(starts) + 1)).astype(np.int32))
-    keys = table.select(["lang", "prefix", "segment"]).take(pa.array(starts))
+    rest = np.zeros(len(starts), np.int64)
+    np.add.at(rest, row, table["rest"].to_numpy())
     return pa.table({
-        **{name: keys[name] for name in keys.column_names},
-        "rest": pa.array(np.add.reduceat(table["rest"].to_numpy(), starts)),
+        "prefix": table["prefix"].take(pa.array(starts)), "segment": table["segment"].take(pa.array(starts)), "rest": pa.array(rest),
         "nexts": pa.ListArray.from_arrays(offsets, words.dictionary.take(pa.array(word))),
         "counts": pa.ListArray.from_arrays(offsets, pa.array(times)),
     })
 
 
-def _merge(least: int):
-    """Merge sorted stripes; of a merged stripe its total and the frequent extensions are kept."""
+def _merge(least: int, limit: int):
+    """Merge the stripes of each bundle; of a merged stripe its total and the frequent extensions are kept."""
 
-    def pruned(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def pruned(lang: str, table: pa.Table) -> Iterator[pa.RecordBatch]:
         counts = table["counts"].combine_chunks()
         times, lengths = counts.flatten().to_numpy(), pc.list_value_length(counts).to_numpy()
         row = np.repeat(np.arange(len(lengths)), lengths)
-        total = table["rest"].to_numpy() + np.bincount(row, weights=times, minlength=len(lengths)).astype(np.int64)
+        total = table["rest"].to_numpy().copy()
+        np.add.at(total, row, times)
         on = times >= least
         offsets = pa.array(np.append(0, np.cumsum(np.bincount(row[on], minlength=len(lengths)))).astype(np.int32))
         nexts = table["nexts"].combine_chunks().flatten().filter(pa.array(on))
         made = pa.table({
-            "lang": table["lang"], "prefix": table["prefix"], "total": pa.array(total),
+            "lang": pa.repeat(lang, len(total)), "prefix": table["prefix"], "total": pa.array(total),
             "nexts": pa.ListArray.from_arrays(offsets, nexts), "counts": pa.ListArray.from_arrays(offsets, pa.array(times[on])),
         })
         yield from made.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_stripe, waiting, size = None, [], 0
+        key, waiting, size = None, [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(_unpacked(batch))
-            size += batch.num_rows
-            if size >= 8192 or batch.nbytes > 1 << 20:
-                table = pa.concat_tables(waiting)
-                made = merged_stripes(pa.concat_tables([open_stripe, table]) if open_stripe else table)
-                waiting, size = [], 0
-                yield from pruned(made.slice(0, made.num_rows - 1))
-                open_stripe = made.slice(made.num_rows - 1)  # it may go on
-        if waiting or open_stripe:
-            tables = ([open_stripe] if open_stripe else []) + waiting
-            yield from pruned(merged_stripes(pa.concat_tables(tables)))
+            for row in batch.to_pylist():
+                if key != (row["lang"], row["bundle"]):
+                    if waiting:
+                        yield from pruned(key[0], merged_stripes(pa.concat_tables(waiting)))
+                    key, waiting, size = (row["lang"], row["bundle"]), [], 0
+                waiting.append(_unpacked(row))
+                size += len(row["counts"]) // 4
+                if size > limit:
+                    waiting, size = [merged_stripes(pa.concat_tables(waiting))], 0
+        if waiting:
+            yield from pruned(key[0], merged_stripes(pa.concat_tables(waiting)))
 
     return run
 
@@ -336,10 +345,13 @@ def _hot(phrases: DataFrame, sizes: DataFrame) -> dict[str, dict[str, int]]:
 def _level(rows: DataFrame, frequent: DataFrame, sizes: DataFrame, size: int, least: int, scratch: common.Scratch) -> DataFrame:
     """Merged stripes (lang, prefix, total, nexts, counts) of the prefixes in ``frequent`` (lang, phrase, f), written."""
     spark = rows.sparkSession
-    known, hot = spark.sparkContext.broadcast(filter_of(frequent)), spark.sparkContext.broadcast(_hot(frequent, sizes))
-    stripes = rows.mapInArrow(_count_stripes(known, hot, size), "lang string, prefix string, segment int, rest long, nexts string, counts binary")
-    keys = ["lang", "prefix", "segment"]
-    merged = stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(least), "lang string, prefix string, total long, nexts array<string>, counts array<long>")
+    counted = frequent.groupBy("lang").agg(F.ceil(F.count("*") / BUNDLE).alias("bundles")).collect()  # a number for each language
+    known = spark.sparkContext.broadcast(filter_of(frequent))
+    hot = spark.sparkContext.broadcast((_hot(frequent, sizes), {r["lang"]: int(r["bundles"]) for r in counted}))
+    packed = "segments binary, rests binary, lengths binary, nexts string, counts binary"
+    stripes = rows.mapInArrow(_count_stripes(known, hot, size, COUNTERS_HELD), f"lang string, bundle long, prefixes string, {packed}")
+    keys = ["lang", "bundle"]
+    merged = stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(least, MERGED), "lang string, prefix string, total long, nexts array<string>, counts array<long>")
     return scratch.keep(merged.where((F.size("nexts") > 0) | F.lit(size == 2)), f"stripes-{size}")
 
 
