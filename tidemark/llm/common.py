@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch. Texts are long; the defaults would put thousands of them in one batch.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The whole table; only the named columns reach the scan."""
@@ -50,20 +51,17 @@ class Scratch:
         self.root = os.path.join(shared_folder(spark), "tidemark", f"{label}-{uuid.uuid4().hex}")
 
     def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """Write ``df`` and go on from the written table. Spark removes the shuffle files of the write at its end: nothing
+        will read them again, and the disks of all executors would else hold every shuffle of a job in many steps."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", compression).parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.select("*").write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def sweep(self) -> None:
-        """Let the shuffle files of finished jobs go now.
-
-        Spark removes them when the driver collects its garbage. A driver with a roomy heap may not do so for long,
-        and the disks of all executors then hold every shuffle of a job in many steps.
-        """
-        for _ in range(2):  # what Python still refers to goes first
-            gc.collect()
-            self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         path_of = self.spark._jvm.org.apache.hadoop.fs.Path
         for name in names or ("",):

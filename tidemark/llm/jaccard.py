@@ -13,9 +13,9 @@ a block that is not empty; a document with more of them emits them as well, and
 
 Groups of copies. Equal sets are one node. Nodes are then linked in rounds: in each block the node that comes first in
 a round's hash order is the hub, each node is verified against the hub with which it shares most blocks, and links
-are contracted to components. Only then all pairs are formed, within a block, that are in different components,
-agree in size and have sketches of 512 bits no further apart than d: none is left out, and few are left. Each pair is
-verified on the whole sets. So the result is exact, up to equal 64-bit hashes of different shingles.
+are contracted to components; blocks that are left with one component are done. When rounds find no more links, all pairs are
+formed that are in different components, agree in size and have sketches of 512 bits no further apart than d, each pair in
+the first block it shares only: none is left out, and few are left. Each pair is verified on the whole sets. So the result is exact, up to equal 64-bit hashes of different shingles.
 
 Joins of the blocks, texts and sets ask for a merge join: none of their sides is bounded, so the plan is the same at
 every size, and adaptive execution can still split a hot key.
@@ -37,7 +37,8 @@ from tidemark.llm import common, components
 
 WORDS_HELD = 250_000
 SKETCH_BITS = 512
-HUB_ROUNDS = 2
+#: Rounds of links to hubs; they end sooner where a round after the second finds no link.
+HUB_ROUNDS = 12
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
@@ -190,38 +191,36 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
     nodes = named.where("n_shingles > 0").groupBy("digest").agg(least)
     nodes = scratch.keep(nodes.select("digest", F.col("least.row").alias("node"), F.col("least.doc_id").alias("node_id")), "nodes")
-    scratch.sweep()
     met = blocks.join(keys.hint("merge"), "key").join(nodes.select("node").hint("merge"), "node", "left_semi")
     met = scratch.keep(met, "met")
     scratch.drop("sketched", "keys")
-    scratch.sweep()
     shared = scratch.keep(met.join(scratch.keep(again(met), "keys-of-nodes").hint("merge"), "key"), "shared")
     scratch.drop("met", "keys-of-nodes")
-    scratch.sweep()
 
     members = scratch.keep(shared.select(F.col("node").alias("row")).distinct(), "members")
     facts = named.select("row", F.col("n_shingles").alias("n"), "sketch").join(members.hint("merge"), "row", "left_semi")
     facts = scratch.keep(facts.withColumnRenamed("row", "node"), "facts")
-    scratch.sweep()
     look = facts.select("node", F.struct("n", "sketch").alias("f"))
     sets = _sets(texts.join(members.hint("merge"), "row", "left_semi"), size)
     sets = scratch.keep(sets.join(look.hint("merge"), "node"), "sets")
-    scratch.sweep()
 
-    links, roots = None, None
+    links, roots, open_ = None, None, shared
     for turn in range(HUB_ROUNDS):
-        pairs = scratch.keep(_hub_pairs(shared, roots, turn), f"hubs-{turn}")
+        pairs = scratch.keep(_hub_pairs(open_, roots, turn), f"hubs-{turn}")
         found = scratch.keep(_verified(pairs, sets, percent), f"links-{turn}")
+        if turn > 1 and found.isEmpty():
+            break  # what is open now are mostly pairs that no link joins
         links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         roots = components.stars(links, scratch, f"stars-{turn}")
-
-    rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = scratch.keep(rooted, "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = scratch.keep(rooted.join(scratch.keep(mixed, "mixed"), "key").join(look, "node"), "open")
-    a, b = (open_.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "f")]) for side in "ab")
-    crossing = a.join(b, "key").where("node_a < node_b and root_a <> root_b").where(_plausible(F.col("f_a"), F.col("f_b"), percent))
-    crossing = scratch.keep(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "crossing")
+        open_ = scratch.keep(_open(open_, roots), f"open-{turn}")
+
+    own = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node's own blocks
+    rooted = open_.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = scratch.keep(rooted.join(look, "node").join(own, "node"), "rooted")
+    a, b = (rooted.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "f", "keys")]) for side in "ab")
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # a pair meets once, in the first block it shares
+    crossing = a.join(b, "key").where("node_a < node_b and root_a <> root_b").where(_plausible(F.col("f_a"), F.col("f_b"), percent) & first)
+    crossing = scratch.keep(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "crossing")
     found = scratch.keep(_verified(crossing, sets, percent), "links")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
     roots = components.stars(links, scratch, "stars")
@@ -231,7 +230,7 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     leaders = placed.groupBy("root").agg(F.min(F.struct(F.col("node_id").isNull(), "node_id", "node")).alias("leader"))
     leaders = leaders.select("root", F.col("leader.node_id").alias("leader_id"), F.col("leader.node").alias("leader_row"))
     placed = scratch.keep(placed.select("digest", "root").join(scratch.keep(leaders, "leaders"), "root").drop("root"), "placed")
-    scratch.drop("sets", "shared", "rooted", "open")
+    scratch.drop("sets", "shared", "rooted", *[f"open-{turn}" for turn in range(HUB_ROUNDS)])
     alone = F.col("n_shingles") == 0
     return numbered, named.drop("sketch").join(placed, "digest", "left").select(
         "row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("leader_id")).alias("component_id"),
@@ -262,6 +261,13 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     return numbered.join(placed.where("first").select("row"), "row", "left_semi").select("doc.*")
 
 
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The blocks in which several components meet: no other block can hold a pair that still matters."""
+    rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return shared.join(mixed, "key", "left_semi")
+
+
 def _hub_pairs(shared: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """(a, b): each node and, of the hubs of its blocks outside its component, the one it shares most blocks with."""
     rooted = shared.withColumn("root", F.col("node"))
