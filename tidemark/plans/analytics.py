@@ -170,8 +170,9 @@ def deposits_by_state(deposits: DataFrame, dim: DataFrame, balances: DataFrame)
 def deposits_in(deposits: DataFrame, days: DataFrame) -> DataFrame:
     """Completed deposits on the given days of the calendar, by month and source.
 
-    The month is part of the join, so Spark reads only the folders of months that the chosen days fall in.
+    The month is part of the join, so Spark reads only the folders of months that the chosen days fall in. A calendar has a
+    few hundred days a year and grows with nothing else, so it may always be broadcast; pruning rests on that.
     """
-    chosen = days.select(F.col("date_key").alias("deposit_date"), period_of("date_key").alias("period"))
+    chosen = F.broadcast(days.select(F.col("date_key").alias("deposit_date"), period_of("date_key").alias("period")))
     return deposits.where("status = 'completed'").join(chosen, ["period", "deposit_date"]).groupBy("period", "source_system").agg(
         F.count("*").alias("deposits"), F.sum("amount_usd").alias("amount_usd"))

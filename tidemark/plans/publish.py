@@ -29,6 +29,8 @@ from ..schemas import BUCKETED, CLUSTERING, COUNTERS, PERIODS, TABLES, conform,
 
 #: Buckets of a new warehouse; they bound the number of folders that a batch writes and the list of live parts.
 BUCKETS = 32
+#: Tasks, and so files, of a bucket at most, where its rows are not sorted.
+SPREAD = 8
 _BUCKET, _PART = "bucket", "part="
 _PUBLICATION = (
     "seq long, batch_id string, changes array<struct<table_name:string,part:string,bucket:int,replaces:boolean>>, "
@@ -71,20 +73,19 @@ class Warehouse:
         A publication lists only what it changed. The parts of a table, or of a bucket, are those since it was last replaced.
         """
         published = self._publications()
-        last = published.select("seq", "counters").orderBy(F.desc("seq")).first()
+        last = published.agg(F.max("seq").alias("seq"), F.max_by("counters", "seq").alias("counters")).first()
         changes = published.select("seq", F.posexplode("changes").alias("pos", "c")).select("seq", "pos", "c.*")
-        replaced = changes.where("replaces").groupBy("table_name", "bucket").agg(F.max("seq").alias("since"))
-        whole = replaced.where("bucket is null").select("table_name", F.col("since").alias("table_since"))
-        mine = replaced.select("table_name", F.col("bucket").alias("of_bucket"), F.col("since").alias("bucket_since")).where("of_bucket is not null")
-        live = (
-            changes.join(whole, "table_name", "left").where("table_since is null or seq >= table_since")
-            .join(mine.withColumnRenamed("table_name", "of_table"), F.expr("table_name = of_table and bucket = of_bucket"), "left")
-            .where("bucket_since is null or seq >= bucket_since").where("part is not null")
-        )
-        parts: dict[str, list[Part]] = {}
-        for row in live.orderBy("seq", "pos").collect():  # names of folders: a few for each table and bucket
-            parts.setdefault(row.table_name, []).append(Part(row.part, row.bucket))
-        return (last.seq, parts, dict(last.counters or {})) if last else (0, {}, {})
+        named = changes.groupBy("table_name", "bucket").agg(
+            F.max(F.when(F.col("replaces"), F.col("seq"))).alias("since"), F.collect_list(F.struct("seq", "pos", "part")).alias("all"))
+        live = F.filter("all", lambda x: x["part"].isNotNull() & (x["seq"] >= F.coalesce("since", F.lit(0))))
+        found = named.select("table_name", "bucket", "since", live.alias("live")).collect()  # names of folders: a few for each table and bucket
+        whole = {r.table_name: r.since for r in found if r.bucket is None and r.since}
+        placed: dict[str, list[tuple[int, int, Part]]] = {}
+        for row in found:
+            mine = [(x.seq, x.pos, Part(x.part, row.bucket)) for x in row.live if x.seq >= whole.get(row.table_name, 0)]
+            placed.setdefault(row.table_name, []).extend(mine)
+        parts = {name: [part for _, _, part in sorted(entries, key=lambda e: e[:2])] for name, entries in placed.items() if entries}
+        return last.seq or 0, parts, dict(last.counters or {})
 
     def published(self, batch_id: str) -> bool:
         return not self._publications().where(F.col("batch_id") == batch_id).isEmpty()
@@ -125,12 +126,15 @@ class Warehouse:
         statistics let filters skip files. Tables with buckets have a folder for each inside."""
         part = (_PART if table in PERIODS else "") + f"{batch_id}-{uuid.uuid4().hex[:8]}"
         rows, order = conform(df, table), list(CLUSTERING.get(table, ()))
+        first = []
         if table in BUCKETED:
-            rows, order = rows.withColumn(_BUCKET, bucket_of(BUCKETED[table], buckets)), [_BUCKET, *order]
+            rows, first = rows.withColumn(_BUCKET, bucket_of(BUCKETED[table], buckets)), [_BUCKET]
         if table in PERIODS:
-            rows, order = rows.withColumn("period", period_of(PERIODS[table])), ["period", *order]
+            rows, first = rows.withColumn("period", period_of(PERIODS[table])), ["period"]
         if order:
-            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            rows = rows.repartitionByRange(*first, *order).sortWithinPartitions(*first, *order)
+        elif first:  # dealt out without a look at the rows first; a client with most of a bucket's rows is several tasks
+            rows = rows.repartition(*first, F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)))
         seen = Observation()
         tops = [F.max(c).alias(c) for c in COUNTERS.get(table, ())]
         writer = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *tops).write

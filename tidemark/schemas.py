@@ -95,8 +95,6 @@ CLUSTERING = {
     "fact_trade": ("trade_date", "client_id", "trade_id"),
     "fact_client_balance_history": ("observed_at", "lsn"),
     "raw_cdc_events": ("commit_ts", "lsn"),
-    "cdc_processing_ledger": ("lsn",),
-    "dim_client": ("client_id", "valid_from", "client_sk"),
 }
 
 #: tables cut into buckets by a hash of the named column, so that a batch rewrites only the buckets it touches
