@@ -13,7 +13,7 @@ a block that is not empty; a document with more of them emits them as well, and
 
 Groups of copies. Equal sets are one node. Nodes are then linked in rounds: in each block the node that comes first in
 a round's hash order is the hub, each node is verified against the hub with which it shares most blocks, and links
-are contracted to components; blocks that are left with one component are done. When rounds find no more links, all pairs are
+are contracted to components; blocks that are left with one component are done. After a few rounds all pairs are
 formed that are in different components, agree in size and have sketches of 512 bits no further apart than d, each pair in
 the first block it shares only: none is left out, and few are left. Each pair is verified on the whole sets. So the result is exact, up to equal 64-bit hashes of different shingles.
 
@@ -37,8 +37,8 @@ from tidemark.llm import common, components
 
 WORDS_HELD = 250_000
 SKETCH_BITS = 512
-#: Rounds of links to hubs; they end sooner where a round after the second finds no link.
-HUB_ROUNDS = 12
+#: Rounds of links to hubs, each some twenty small jobs; they end sooner where a round after the second finds no link.
+HUB_ROUNDS = 4
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
