@@ -176,8 +176,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * (100 + percent) >= sizes * percent).select("a", "b")
 
 
-def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(the numbered rows of ``docs`` as a struct, set size and component of every row number)."""
+def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, size: int, percent: int, compared: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the numbered rows of ``docs`` as a struct, set size and component of every row number). ``compared``: of how many of its
+    blocks, the lowest, a node is known to others when a pair looks for its first one; all, or fewer where texts have very many."""
     common.bounded_batches(docs.sparkSession)
     numbered = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     numbered = scratch.keep(numbered, "numbered", "zstd")
@@ -214,13 +215,16 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
         roots = components.stars(links, scratch, f"stars-{turn}")
         open_ = scratch.keep(_open(open_, roots), f"open-{turn}")
 
-    own = open_.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node's own blocks
+    own = open_.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a node's own blocks
+    if compared:
+        own = own.withColumn("keys", F.slice("keys", 1, compared))
     rooted = open_.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted = scratch.keep(rooted.join(look, "node").join(own, "node"), "rooted")
     a, b = (rooted.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "f", "keys")]) for side in "ab")
-    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # a pair meets once, in the first block it shares
+    # a pair meets once, in the first block it shares, or in each of them if that is not among the blocks compared
+    first = F.coalesce(F.array_min(F.array_intersect("keys_a", "keys_b")) >= F.col("key"), F.lit(True))
     crossing = a.join(b, "key").where("node_a < node_b and root_a <> root_b").where(_plausible(F.col("f_a"), F.col("f_b"), percent) & first)
-    crossing = scratch.keep(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "crossing")
+    crossing = scratch.keep(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "crossing")
     found = scratch.keep(_verified(crossing, sets, percent), "links")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
     roots = components.stars(links, scratch, "stars")
@@ -257,7 +261,7 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     A caller that passes ``scratch`` can drop it once the result is written.
     """
     scratch = scratch or common.Scratch(docs.sparkSession, "jaccard")
-    numbered, placed = _placed(docs, scratch, doc_id, text, size, percent)
+    numbered, placed = _placed(docs, scratch, doc_id, text, size, percent, compared=64)
     return numbered.join(placed.where("first").select("row"), "row", "left_semi").select("doc.*")
 
 
