@@ -261,7 +261,7 @@ def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     A caller that passes ``scratch`` can drop it once the result is written.
     """
     scratch = scratch or common.Scratch(docs.sparkSession, "jaccard")
-    numbered, placed = _placed(docs, scratch, doc_id, text, size, percent, compared=64)
+    numbered, placed = _placed(docs, scratch, doc_id, text, size, percent, compared=16)
     return numbered.join(placed.where("first").select("row"), "row", "left_semi").select("doc.*")
 
 
