@@ -17,6 +17,10 @@ are contracted to components; blocks that are left with one component are done.
 formed that are in different components, agree in size and have sketches of 512 bits no further apart than d, each pair in
 the first block it shares only: none is left out, and few are left. Each pair is verified on the whole sets. So the result is exact, up to equal 64-bit hashes of different shingles.
 
+Blocks outnumber documents by far. Their keys are therefore written in ``KEY_PASSES`` columns by key value, and the keys
+that recur are looked for column by column: equal keys are in the same pass, so nothing is lost, and the shuffles of
+all blocks never lie on the disks together.
+
 Joins of the blocks, texts and sets ask for a merge join: none of their sides is bounded, so the plan is the same at
 every size, and adaptive execution can still split a hot key.
 """
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ WORDS_HELD = 250_000
 SKETCH_BITS = 512
 #: Rounds of links to hubs, each some twenty small jobs; they end sooner where a round after the second finds no link.
 HUB_ROUNDS = 4
+#: Block keys are dealt into so many passes by their value; what one pass shuffles is gone before the next begins.
+KEY_PASSES = 4
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
@@ -130,21 +136,23 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketched(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """row, doc_id, n_shingles, digest of the set, join keys and sketch of (row, doc_id, text)."""
+    """row, doc_id, n_shingles, digest of the set, sketch and the join keys of each pass of (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shingler(size)
         for batch in batches:
             sets = [cut(value or "") for value in batch.column(2).to_pylist()]
+            keys = [block_keys(s, percent) if len(s) else np.zeros(0, np.uint64) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([block_keys(s, percent).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 pa.array([parity_sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-            ], names=["row", "doc_id", "n_shingles", "digest", "keys", "sketch"])
+                *[pa.array([k[k % np.uint64(KEY_PASSES) == g].view(np.int64) for k in keys], pa.list_(pa.int64())) for g in range(KEY_PASSES)],
+            ], names=["row", "doc_id", "n_shingles", "digest", "sketch", *columns])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+    kind, columns = dict(rows.dtypes)["doc_id"], [f"keys_{g}" for g in range(KEY_PASSES)]
+    made = f"row long, doc_id {kind}, n_shingles long, digest binary, sketch array<long>, " + ", ".join(f"{c} array<long>" for c in columns)
+    return rows.select("row", "doc_id", "text").mapInArrow(run, made)
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -176,6 +184,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * (100 + percent) >= sizes * percent).select("a", "b")
 
 
+def _recurring(sketched: DataFrame, nodes: DataFrame, scratch: common.Scratch, turn: int) -> DataFrame:
+    """key and node of the blocks of one pass (row, keys) that several nodes have."""
+    # of all blocks only those that occur again go on, of these only the ones of nodes, and again those that recur
+    blocks = sketched.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
+    again = lambda rows: rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = scratch.keep(again(blocks), f"keys-{turn}")
+    met = blocks.join(keys.hint("merge"), "key").join(nodes.select("node").hint("merge"), "node", "left_semi")
+    met = scratch.keep(met, f"met-{turn}")
+    keys = scratch.keep(again(met), f"keys-of-nodes-{turn}")
+    shared = scratch.keep(met.join(keys.hint("merge"), "key"), f"shared-{turn}")
+    scratch.drop(f"keys-{turn}", f"met-{turn}", f"keys-of-nodes-{turn}")
+    return shared
+
+
 def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, size: int, percent: int, compared: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(the numbered rows of ``docs`` as a struct, set size and component of every row number). ``compared``: of how many of its
     blocks, the lowest, a node is known to others when a pair looks for its first one; all, or fewer where texts have very many."""
@@ -184,19 +206,13 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     numbered = scratch.keep(numbered, "numbered", "zstd")
     texts = numbered.select("row", F.col(f"doc.{doc_id}").alias("doc_id"), F.col(f"doc.{text}").alias("text"))
     sketched = scratch.keep(_sketched(texts, size, percent), "sketched")
-    named = scratch.keep(sketched.drop("keys"), "named")
-    # of all blocks only those that occur again go on, of these only the ones of nodes, and again those that recur
-    blocks = sketched.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    again = lambda rows: rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keys = scratch.keep(again(blocks), "keys")
+    named = scratch.keep(sketched.select("row", "doc_id", "n_shingles", "digest", "sketch"), "named")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
     nodes = named.where("n_shingles > 0").groupBy("digest").agg(least)
     nodes = scratch.keep(nodes.select("digest", F.col("least.row").alias("node"), F.col("least.doc_id").alias("node_id")), "nodes")
-    met = blocks.join(keys.hint("merge"), "key").join(nodes.select("node").hint("merge"), "node", "left_semi")
-    met = scratch.keep(met, "met")
-    scratch.drop("sketched", "keys")
-    shared = scratch.keep(met.join(scratch.keep(again(met), "keys-of-nodes").hint("merge"), "key"), "shared")
-    scratch.drop("met", "keys-of-nodes")
+    shared = [_recurring(sketched.select("row", F.col(f"keys_{g}").alias("keys")), nodes, scratch, g) for g in range(KEY_PASSES)]
+    shared = reduce(DataFrame.unionByName, shared)
+    scratch.drop("sketched")
 
     members = scratch.keep(shared.select(F.col("node").alias("row")).distinct(), "members")
     facts = named.select("row", F.col("n_shingles").alias("n"), "sketch").join(members.hint("merge"), "row", "left_semi")
@@ -234,7 +250,7 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     leaders = placed.groupBy("root").agg(F.min(F.struct(F.col("node_id").isNull(), "node_id", "node")).alias("leader"))
     leaders = leaders.select("root", F.col("leader.node_id").alias("leader_id"), F.col("leader.node").alias("leader_row"))
     placed = scratch.keep(placed.select("digest", "root").join(scratch.keep(leaders, "leaders"), "root").drop("root"), "placed")
-    scratch.drop("sets", "shared", "rooted", *[f"open-{turn}" for turn in range(HUB_ROUNDS)])
+    scratch.drop("sets", "rooted", *[f"shared-{g}" for g in range(KEY_PASSES)], *[f"open-{turn}" for turn in range(HUB_ROUNDS)])
     alone = F.col("n_shingles") == 0
     return numbered, named.drop("sketch").join(placed, "digest", "left").select(
         "row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("leader_id")).alias("component_id"),
