@@ -7,6 +7,8 @@ import pytest
 from test_operators_llm import brute_components, check_packed
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tidemark.llm import common, grams, langid, quality
 from tidemark.llm.queries import QUALITY_LINE, learned_languages, learned_quality
 
@@ -42,3 +44,25 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), TABLES).columns == docs.columns, name
         assert stage(spark, docs.limit(0), TABLES).count() == 0, name
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "language", "exact_dedup", "near_dedup", "packing"]
+
+
+def test_a_stage_leaves_what_an_earlier_result_reads(spark):
+    docs = common.table(spark, TABLES, "documents")
+    first = corpus_pipeline.drop_copies(spark, docs, TABLES)
+    chained = corpus_pipeline.drop_near_copies(spark, first, TABLES)
+    beside = corpus_pipeline.drop_near_copies(spark, docs, TABLES)
+    assert first.count() > chained.count() > 0
+    assert {r.doc_id for r in chained.select("doc_id").collect()} == {r.doc_id for r in beside.select("doc_id").collect()}
+
+
+def test_runs_in_one_session_with_awkward_rows(spark, tmp_path):
+    docs = common.table(spark, TABLES, "documents").limit(60)
+    odd = docs.limit(4).withColumn("text", F.expr("element_at(array(null, '', ' ', '!?'), cast(doc_id % 4 as int) + 1)")).withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    mixed = docs.unionByName(odd).unionByName(docs.limit(5)).withColumn("row", F.lit(1)).withColumn("score", F.lit("x")).withColumn("n_shingles", F.lit(None).cast("string"))
+    mixed.write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "labels.parquet").symlink_to(os.path.join(TABLES, "labels.parquet"))
+    one, two = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    rows = sorted(map(tuple, one.select("doc_id", "start", "length").collect()))
+    assert rows and rows == sorted(map(tuple, two.select("doc_id", "start", "length").collect()))
+    ids = [r[0] for r in rows if r[1] == 0]
+    assert len(ids) == len(set(ids))
