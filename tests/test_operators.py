@@ -188,6 +188,21 @@ def test_snapshot_layouts(spark, tmp_path):
             snapshots.read_snapshot(spark, [str(tmp_path / "bad.json")], ("a",)).collect()
 
 
+def test_snapshot_text_is_parsed_once(spark, tmp_path):
+    texts = ["", "[", ",", "[]", " [ , ] ", '[{"a": "0"}', '\t[{"a": "1"},', '{"a": "2"}, {"a": "]"} ] \r', ",".join(['{"a": "x,"}'] * 20_000) + ",", "]"]
+    (tmp_path / "s.json").write_text("\n".join(texts))
+    got = snapshots.read_snapshot(spark, [str(tmp_path / "s.json")], ("a",))
+    rows = got.orderBy("row_num").collect()
+    assert [r.a for r in rows] == ["0", "1", "2", "]"] + ["x,"] * 20_000
+    assert [r.row_num for r in rows] == list(range(1, 20_005)) and [r.raw_json for r in rows[:2]] == ['{"a": "0"}', '{"a": "1"}']
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1  # neither each use of the parsed text nor an inferred filter parses it again
+    for bad in ('{"a": "x"}],', '[{"a": "x"}]]', "],", "[ [", '[[{"a": "x"}]]'):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception, match="Not a sequence of whole JSON objects: a text of bad.json"):
+            snapshots.read_snapshot(spark, [str(tmp_path / "bad.json")], ("a",)).collect()
+
+
 def test_feed_lines_are_whole_events(spark, tmp_path):
     good = '{"lsn": 1, "commit_ts": "2024-11-15T11:00:00Z", "op": "insert", "client_id": "a"}'
     bad = {

@@ -9,8 +9,8 @@ from ..operators.numbering import number_file_rows
 from ..schemas import SNAPSHOT_FIELDS, SNAPSHOT_HASHES, TYPES
 from .files import lines
 
-# Brackets around the array and commas between its lines.
-_OPENING, _CLOSING = r"^\s*\[?\s*", r"\s*,?\s*\]?\s*$"
+# A text between the brackets around the array and the commas between its lines; matched as a whole, so that one attempt decides.
+_BETWEEN = r"(?s)^\s*+\[?+\s*+(.*[^\s,\]])?\s*+,?+\s*+\]?+\s*+$"
 
 
 #: Stands behind the last object of a text, so that text left over after it is noticed.
@@ -29,20 +29,23 @@ def read_snapshot(
     """
     if layout not in ("lines", "document"):
         raise ValueError(f"unknown layout {layout!r}")
-    text = lines(spark, paths, whole=layout == "document")
-    bare = F.regexp_replace(F.regexp_replace("value", _CLOSING, ""), _OPENING, "")
-    text = text.withColumn("value", bare)
-    items = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(f',"{_END}"]'))).try_cast("array<variant>")
+    text = lines(spark, paths, whole=layout == "document").withColumn("value", F.regexp_replace("value", _BETWEEN, "$1"))
+    # a column of its own, as everything below asks for it: a text is parsed once for each time it is read
+    text = text.withColumn("items", F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(f',"{_END}"]'))).try_cast("array<variant>"))
+    items = F.col("items")
     objects = F.slice(items, 1, F.size(items) - 1)
-    whole = F.element_at(items, -1).try_cast("string").eqNullSafe(F.lit(_END)) & F.forall(
+    whole = F.try_element_at(items, F.lit(-1)).try_cast("string").eqNullSafe(F.lit(_END)) & F.forall(
         objects, lambda o: F.coalesce(F.schema_of_variant(o), F.lit("")).startswith("OBJECT"))
     refused = F.raise_error(F.concat(F.lit("Not a sequence of whole JSON objects: a text of "), F.col("file_name")))
     # nothing between the brackets is no object; said here, as Spark may move a filter behind the check
     checked = F.when(F.coalesce(whole, F.lit(False)), objects).when(F.col("value") == "", F.array().cast("array<variant>"))
     checked = checked.otherwise(refused.cast("array<variant>"))
-    parsed = text.withColumn("found", checked).select("*", F.explode("found").alias("doc"))
-    raw = F.when(F.size("found") == 1, F.col("value")).otherwise(F.to_json("doc"))
-    numbered = number_file_rows(parsed.withColumn("raw_json", raw).drop("found", "value"))
+    # Exploded as an expression: for a column Spark would add a filter that evaluates the check again. The text goes with
+    # its object only if that is the only one; else every object would carry the whole text.
+    parsed = text.withColumn("alone", F.when(F.size(items) == 2, F.col("value"))).select(
+        "file_path", "file_name", "split_start", "alone", F.explode(checked).alias("doc"))
+    raw = F.coalesce("alone", F.to_json("doc"))
+    numbered = number_file_rows(parsed.withColumn("raw_json", raw).drop("alone"))
     columns = [F.try_variant_get("doc", f"$.{f}", "string").alias(f) for f in (*fields, *extra)]
     return numbered.select(*columns, "raw_json", "file_path", "file_name", "row_num")
 
