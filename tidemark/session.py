@@ -73,10 +73,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
-    Cuts lineage and freezes the rows: a lost executor re-reads files instead of redoing the work.
+    Cuts lineage and freezes the rows: a lost executor re-reads files instead of redoing the work. Written with zstd:
+    digests in hex, of which there are many, take half the room.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

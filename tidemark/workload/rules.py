@@ -155,12 +155,19 @@ _ARRIVED = "disposition = 'ORPHAN_CLIENT' AND client_id IN (SELECT CAST(c_custke
 def _retried(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First judgement, quarantine, and the second judgement of the rows whose clients (customers in credit) have come."""
     landed, first = _landed(spark, folder), _current(spark, folder)
-    judged = written(quality.judge_vendor_rows(landed, first, hold=written), "judged")
+
+    def judge(rows: DataFrame, clients: DataFrame, staged: DataFrame | None, label: str, *keep: str) -> DataFrame:
+        # the hash of a file follows from its name here: it is added at the end and not shuffled with every row
+        found = quality.judge_vendor_rows(rows.drop("file_hash"), clients, staged, hold=written, keep=("raw_payload", *keep))
+        return written(found.withColumn("file_hash", hashing.content_digest("file_name")), label)
+
+    judged = judge(landed, first, None, "judged")
     records = written(_records(judged, F.concat_ws(":", "file_hash", "row_num")), "records")
     arrived = t.clients(spark, folder).where("account_balance_usd > 0").select("client_id", "client_sk")
     now = first.unionByName(arrived.join(first, "client_id", "left_anti"))
     staged = judged.where(F.col("disposition") == quality.STAGED).select("deposit_id", "row_hash")
-    again = written(quality.judge_vendor_rows(quality.waiting_rows(landed, records, now), now, staged, hold=written), "again")
+    waiting = written(quality.waiting_rows(landed, records, now).drop("file_hash"), "waiting")
+    again = judge(waiting, now, staged, "again", "quarantine_id")
     return judged, records, again
 
 
