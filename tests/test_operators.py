@@ -281,6 +281,17 @@ def test_judged_rows_carry_only_what_is_kept(spark):
     assert {n: h for n, (_, h) in found.items()} == {r.row_num: r.row_hash for r in full.collect()}
 
 
+def test_waiting_rows_meet_their_records_by_bytes(spark):
+    raw = spark.createDataFrame([("f", "h", 1, "c1"), ("f", "h", 2, "c2"), ("f", None, 3, "c1")], "file_name string, file_hash string, row_num long, client_id string")
+    record = hashing.stable_id(F.lit("vendor"), F.col("file_name"), F.concat_ws(":", "file_hash", "row_num"), F.lit("ORPHAN_CLIENT"))
+    held = raw.select(record.alias("quarantine_id"), F.lit("vendor").alias("source_system"), F.lit("ORPHAN_CLIENT").alias("reason_code"),
+                      F.lit(True).alias("retry_eligible"), F.lit(False).alias("is_resolved"), F.to_json(F.struct("client_id")).alias("raw_payload"))
+    got = quality.waiting_rows(raw, held, spark.createDataFrame([("c1",)], "client_id string"))
+    want = {(r.row_num, r.id) for r in raw.select("row_num", record.alias("id")).where("client_id = 'c1'").collect()}
+    assert {(r.row_num, r.quarantine_id) for r in got.collect()} == want and len(want) == 2
+    assert "unhex(quarantine_id" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_overlaps_and_gaps_against_brute_force(spark):
     rng, versions = random.Random(9), []
     for sk in range(300):
