@@ -405,3 +405,27 @@ def test_stream_equals_batch_and_can_be_repeated(spark, tmp_path):
     assert [(v.risk_category, v.opened_by_lsn, v.is_current) for v in dim] == [("low", 2, False), ("medium", 3, False), ("high", 5, True)]
     assert {r.lsn: r.outcome for r in warehouse.read("cdc_processing_ledger").collect()} == {2: "APPLIED", 3: "APPLIED", 5: "APPLIED", 9: "QUARANTINED"}
     assert [r.reason_code for r in warehouse.read("quarantine").collect()] == ["UNSUPPORTED_OPERATION"]
+
+
+def test_report_judges_and_sorts_once(spark, monkeypatch):
+    from tidemark.workload import reporting, rules, tables
+
+    judged, sorted_, of_history = [], [], numbering.in_order
+    judge = quality.judge_vendor_rows
+    monkeypatch.setattr(rules.quality, "judge_vendor_rows", lambda *a, **k: judged.append(k) or judge(*a, **k))
+    monkeypatch.setattr(checks, "in_order", lambda df, order: sorted_.append(order) or of_history(df, order))
+    client = "c_custkey int, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    order = "o_orderkey int, o_custkey int, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    event = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    at = dt.datetime(2024, 1, 2)
+    made = {
+        "customer": spark.createDataFrame([(1, "C#1", 0, 10.0, "BUILDING")], client),
+        "orders": spark.createDataFrame([(1, 1, "P", 30000.0, at, "1-URGENT"), (2, 9, "O", 30000.0, at, "3-MEDIUM")], order),
+        "events": spark.createDataFrame([(1, at, 1, "click", 30.0, '{"k": 1}'), (2, at, 2, "signup", 1.0, '{"k": 1}')], event),
+        "lineitem": spark.createDataFrame([(1, 1), (1, 1)], "l_orderkey int, l_linenumber int"),
+    }
+    monkeypatch.setattr(tables, "table", lambda spark, folder, name: made[name])
+    found = {(r.section, r.name, r.detail): r.found for r in reporting.run_report(spark, "nowhere").collect()}
+    assert len(judged) == 1 and sorted_ == [["client_id", "valid_from", "client_sk"]]
+    assert found["tables", "ingestion_file_manifest", ""] == 2 and found["tables", "cdc_processing_ledger", ""] == 2
+    assert found["quarantine", "ORPHAN_CLIENT", "ERROR"] == 1 and found["keys", "fact_trade", ""] == 1 and found["files", "below 99 % valid rows", ""] == 1

@@ -12,13 +12,19 @@ from .numbering import in_order, rank_blocks
 _VERSION = ("client_id", "client_sk", "valid_from", "valid_to")
 
 
+def ordered_versions(dim: DataFrame) -> DataFrame:
+    """The versions sorted by client and start, written once, for the checks that look at them in that order."""
+    return in_order(dim.select(*_VERSION), ["client_id", "valid_from", "client_sk"])
+
+
 def _with_earlier(dim: DataFrame, value: Column, best: Callable[[Column | str], Column]) -> DataFrame:
     """Versions with ``earlier``: ``value`` aggregated over all versions of the client that start before.
 
     The versions are sorted into parts of bounded size. Windows over versions run per (client, part), windows
-    per client only over one summary per part, so that no client's history is ever in one task.
+    per client only over one summary per part, so that no client's history is ever in one task. ``dim`` may be sorted
+    already, by ``ordered_versions``.
     """
-    versions = in_order(dim.select(*_VERSION), ["client_id", "valid_from", "client_sk"])
+    versions = dim if "_slot" in dim.columns else ordered_versions(dim)
     sums = versions.groupBy("client_id", "_part").agg(best(value).alias("_sum"))
     before = Window.partitionBy("client_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("client_id", "_part", best("_sum").over(before).alias("_carried"))

@@ -39,8 +39,9 @@ def _lines(read: Callable[[str], DataFrame], now: dt.datetime | None) -> Iterato
     quarantine, manifest = read("quarantine"), read("ingestion_file_manifest")
     yield analytics.table_counts({name: read(name) for name in SUMMARY_TABLES}).select(
         F.lit("tables").alias("section"), F.col("table_name").alias("name"), F.lit("").alias("detail"), F.col("rows").alias("found"))
-    yield _total(checks.overlapping_versions(dim), "history", "overlapping versions")
-    yield _total(checks.history_gaps(dim), "history", "gaps between versions")
+    versions = checks.ordered_versions(dim)
+    yield _total(checks.overlapping_versions(versions), "history", "overlapping versions")
+    yield _total(checks.history_gaps(versions), "history", "gaps between versions")
     yield _total(checks.backward_versions(dim), "history", "backward versions")
     for table, keys in KEYS.items():
         yield _total(duplicate_keys(read(table), keys), "keys", table)

@@ -46,13 +46,13 @@ UNION ALL SELECT 'contract', source_system, 'UNKNOWN_METHOD', count(*) FROM depo
 def run_report(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, invariants, breakdowns and signals in one list. Failed deposits have lost their lineage here."""
     dim, applied = t.full_dimension(spark, folder)
-    judged = written(rules._judged(spark, folder).withColumn("raw_payload", F.lit("{}")), "judged")
+    judged = written(rules._judged(spark, folder, keep=()).drop("row_hash").withColumn("raw_payload", F.lit("{}")), "judged")
     deposits = rules._canonical(t.deposits(spark, folder)).withColumns(
         {"file_name": F.when(F.col("status") != "failed", "deposits"), "batch_id": F.lit("b1")})
     tables = {
         "dim_client": written(dim, "dim"), "fact_deposit": written(deposits, "deposits"), "raw_cdc_events": t.feed(spark, folder),
         "fact_trade": t.table(spark, folder, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("trade_id")),
-        "fact_client_balance_history": applied.balances, "cdc_processing_ledger": applied.outcomes,
-        "quarantine": rules._records(judged, F.col("row_num")), "ingestion_file_manifest": rules.manifest_counts(spark, folder),
+        "fact_client_balance_history": applied.balances, "cdc_processing_ledger": written(applied.outcomes.select("lsn"), "ledger"),
+        "quarantine": rules._records(judged, F.col("row_num")), "ingestion_file_manifest": written(rules._manifest(judged), "manifest"),
     }
     return report.report(tables.__getitem__)

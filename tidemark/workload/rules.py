@@ -17,8 +17,8 @@ def _current(spark: SparkSession, folder: str) -> DataFrame:
     return t.base_dimension(spark, folder).where("is_current").select("client_id", "client_sk")
 
 
-def _judged(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge_vendor_rows(t.delivered(spark, folder), _current(spark, folder), hold=written)
+def _judged(spark: SparkSession, folder: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    return quality.judge_vendor_rows(t.delivered(spark, folder), _current(spark, folder), hold=written, keep=keep)
 
 
 # --- dispositions ----------------------------------------------------------------------------------------
@@ -46,7 +46,11 @@ SELECT sha256(file_name) AS file_hash, file_name, 'vendor' AS source, 'SUCCESS'
 FROM judged GROUP BY file_name"""))
 def manifest_counts(spark: SparkSession, folder: str) -> DataFrame:
     """One manifest row per vendor file."""
-    counts = quality.row_accounting(_judged(spark, folder), ["file_name"]).withColumn("file_hash", hashing.content_digest("file_name"))
+    return _manifest(_judged(spark, folder, keep=()))
+
+
+def _manifest(judged: DataFrame) -> DataFrame:
+    counts = quality.row_accounting(judged, ["file_name"]).withColumn("file_hash", hashing.content_digest("file_name"))
     at = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
     return controls.manifest_rows(counts, "vendor", F.lit("b1"), at).drop("arrived_at", "processed_at")
 
