@@ -281,6 +281,17 @@ def test_judged_rows_carry_only_what_is_kept(spark):
     assert {n: h for n, (_, h) in found.items()} == {r.row_num: r.row_hash for r in full.collect()}
 
 
+def test_feed_text_is_parsed_once(spark):
+    head = '"commit_ts": "2024-11-15T11:00:00Z", "client_id": "a"'
+    texts = ['{"lsn": 1, %s, "after": {"b": 500.00, "a": 1e3, "c": null}}' % head, ' { %s, "after": {"a":1000.0,"c" :null, "b":500},"lsn":1 } ' % head,
+             '{"lsn": 12345678901234567, %s, "note": "\\u00e9 \\" ,0]", "list": [1, {"z": 0.10, "y": []}]}' % head]
+    events = parse_events(spark.createDataFrame([(x,) for x in texts], "value string"))
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    want = [r.h for r in spark.createDataFrame([(x,) for x in texts], "value string").select(hashing.payload_digest("value").alias("h")).collect()]
+    assert [r.payload_hash for r in events.collect()] == want
+    assert [r.lsn for r in events.collect()] == [1, 1, 12345678901234567]
+
+
 def test_waiting_rows_meet_their_records_by_bytes(spark):
     raw = spark.createDataFrame([("f", "h", 1, "c1"), ("f", "h", 2, "c2"), ("f", None, 3, "c1")], "file_name string, file_hash string, row_num long, client_id string")
     record = hashing.stable_id(F.lit("vendor"), F.col("file_name"), F.concat_ws(":", "file_hash", "row_num"), F.lit("ORPHAN_CLIENT"))

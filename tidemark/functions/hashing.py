@@ -32,7 +32,12 @@ def row_digest(df: DataFrame, fields: Sequence[str]) -> Column:
 def payload_digest(line: Column | str) -> Column:
     """Digest of a JSON document that ignores key order, spacing and the spelling of numbers."""
     text = F.col(line) if isinstance(line, str) else line
-    return F.sha2(F.to_json(F.parse_json(text)), 256)
+    return document_digest(F.parse_json(text))
+
+
+def document_digest(document: Column) -> Column:
+    """The same of a document that has been parsed already, as a VARIANT."""
+    return F.sha2(F.to_json(document), 256)
 
 
 def stable_id(*parts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import clock, images
-from ..functions.hashing import payload_digest
+from ..functions.hashing import document_digest
 from ..operators.checks import conflicting_lsns
 from ..operators.numbering import number_file_rows
 from .files import lines
@@ -27,8 +27,9 @@ def parse_events(text: DataFrame) -> DataFrame:
     def stated(value: Column, what: str, kind: str) -> Column:
         return F.coalesce(value, F.raise_error(F.concat(F.lit(f"Change event without {what}: "), place)).cast(kind))
 
-    # a zero behind the object shows whether the text ends with it
-    items = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(",0]"))).try_cast("array<variant>")
+    # a zero behind the object shows whether the text ends with it; as a column, so that a text is parsed once
+    text = text.withColumn("items", F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(",0]"))).try_cast("array<variant>"))
+    items = F.col("items")
     alone = F.when((F.size(items) == 2) & F.schema_of_variant(items[0]).startswith("OBJECT"), items[0])
     doc = F.coalesce(alone, F.raise_error(F.concat(F.lit("Not one JSON object: "), place)).cast("variant"))
     return text.withColumn("doc", doc).select(
@@ -39,7 +40,7 @@ def parse_events(text: DataFrame) -> DataFrame:
         images.image(F.col("doc"), "$.before").alias("before"),
         images.image(F.col("doc"), "$.after").alias("after"),
         F.col("value").alias("raw_json"),
-        payload_digest("value").alias("payload_hash"),
+        document_digest(F.col("doc")).alias("payload_hash"),
         *kept,
     )
 
