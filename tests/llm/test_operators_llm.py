@@ -132,6 +132,25 @@ def test_jaccard_keeps_one_of_each_group(spark, awkward):
     assert jaccard.kept_rows(awkward.limit(0)).count() == 0
 
 
+def test_jaccard_compares_sets_part_by_part(spark, monkeypatch):
+    """No write of a comparison reads more than one part of the sets, so no whole set is shuffled with a pair."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(base[: 300 - 2 * i] + [f"x{i}y{j}" for j in range(2 * i)])) for i in range(30)] + [(50 + i, f"alone {i} " * 40) for i in range(5)]
+    steps, keep = [], common.Scratch.keep
+
+    def seen(self, df, name, *more):
+        if name.startswith("links"):
+            steps.append(set(re.findall("shingles_[0-9]+", df._jdf.queryExecution().optimizedPlan().toString())))
+        return keep(self, df, name, *more)
+
+    monkeypatch.setattr(common.Scratch, "keep", seen)
+    got = jaccard.linked(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 5, 80)
+    assert steps and all(len(parts) == 1 for parts in steps)
+    assert set.union(*steps) == {f"shingles_{g}" for g in range(jaccard.SET_PASSES)}
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(50):

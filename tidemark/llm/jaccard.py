@@ -19,7 +19,9 @@ the first block it shares only: none is left out, and few are left. Each pair is
 
 Blocks outnumber documents by far. Their keys are therefore written in ``KEY_PASSES`` columns by key value, and the keys
 that recur are looked for column by column: equal keys are in the same pass, so nothing is lost, and the shuffles of
-all blocks never lie on the disks together.
+all blocks never lie on the disks together. Sets are compared in the same way: they are written in ``SET_PASSES``
+columns by hash value, and a pair carries from pass to pass how many differing shingles it may still have. A pair that
+has none left goes, so most wrong pairs move the first part of a set only, and no pair ever moves a whole one at once.
 
 Joins of the blocks, texts and sets ask for a merge join: none of their sides is bounded, so the plan is the same at
 every size, and adaptive execution can still split a hot key.
@@ -45,6 +47,8 @@ SKETCH_BITS = 512
 HUB_ROUNDS = 4
 #: Block keys are dealt into so many passes by their value; what one pass shuffles is gone before the next begins.
 KEY_PASSES = 4
+#: Sets are dealt into so many parts by hash value and compared part by part; the shuffle of one part goes before the next.
+SET_PASSES = 4
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
@@ -156,15 +160,18 @@ def _sketched(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """node and shingles of (row, text)."""
+    """node, f and the shingles of each pass of (row, text, f)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = shingler(size)
+        cut, ends = shingler(size), np.array([((g + 1) << 64) // SET_PASSES - 1 for g in range(SET_PASSES - 1)], np.uint64)
         for batch in batches:
-            sets = [cut(value or "").view(np.int64) for value in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            parts = [np.split(s.view(np.int64), np.searchsorted(s, ends, side="right")) for s in (cut(value or "") for value in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(2), *[pa.array([p[g] for p in parts], pa.list_(pa.int64())) for g in range(SET_PASSES)],
+            ], names=["node", "f", *columns])
 
-    return rows.select("row", "text").mapInArrow(run, "node long, shingles array<long>")
+    kind, columns = rows.schema["f"].dataType.simpleString(), [f"shingles_{g}" for g in range(SET_PASSES)]
+    return rows.select("row", "text", "f").mapInArrow(run, f"node long, f {kind}, " + ", ".join(f"{c} array<long>" for c in columns))
 
 
 def _plausible(a: Column, b: Column, percent: int) -> Column:
@@ -174,14 +181,19 @@ def _plausible(a: Column, b: Column, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. A set that sketch or size rule out is not looked through."""
-    one = sets.select(F.col("node").alias("a"), F.col("f").alias("fa"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("f").alias("fb"), F.col("shingles").alias("sb"))
-    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    shared = F.when(_plausible(F.col("fa"), F.col("fb"), percent), F.size(F.array_intersect("sa", "sb"))).otherwise(0)
-    sizes = F.size("sa") + F.size("sb")
-    return both.where(shared * (100 + percent) >= sizes * percent).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: common.Scratch, label: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, written as ``label``. A set that sketch or size rule out is not looked through."""
+    for turn in range(SET_PASSES):
+        one, two = (sets.select(F.col("node").alias(c), F.col("f").alias(f"f{c}"), F.col(f"shingles_{turn}").alias(f"s{c}")) for c in "ab")
+        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+        if not turn:  # ``room``: by how many shingles the rest of the two sets may differ
+            both = both.where(_plausible(F.col("fa"), F.col("fb"), percent))
+            both = both.withColumn("room", F.floor((F.col("fa.n") + F.col("fb.n")) * (100 - percent) / (100 + percent)))
+        apart = F.size("sa") + F.size("sb") - 2 * F.size(F.array_intersect("sa", "sb"))
+        both = both.select("a", "b", (F.col("room") - apart).alias("room")).where("room >= 0")
+        pairs = scratch.keep(both, label if turn == SET_PASSES - 1 else f"{label}-part-{turn}")
+    scratch.drop(*[f"{label}-part-{turn}" for turn in range(SET_PASSES - 1)])
+    return pairs.select("a", "b")
 
 
 def _recurring(sketched: DataFrame, nodes: DataFrame, scratch: common.Scratch, turn: int) -> DataFrame:
@@ -218,13 +230,12 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     facts = named.select("row", F.col("n_shingles").alias("n"), "sketch").join(members.hint("merge"), "row", "left_semi")
     facts = scratch.keep(facts.withColumnRenamed("row", "node"), "facts")
     look = facts.select("node", F.struct("n", "sketch").alias("f"))
-    sets = _sets(texts.join(members.hint("merge"), "row", "left_semi"), size)
-    sets = scratch.keep(sets.join(look.hint("merge"), "node"), "sets")
+    sets = scratch.keep(_sets(texts.join(look.withColumnRenamed("node", "row").hint("merge"), "row"), size), "sets")
 
     links, roots, open_ = None, None, shared
     for turn in range(HUB_ROUNDS):
         pairs = scratch.keep(_hub_pairs(open_, roots, turn), f"hubs-{turn}")
-        found = scratch.keep(_verified(pairs, sets, percent), f"links-{turn}")
+        found = _verified(pairs, sets, percent, scratch, f"links-{turn}")
         if turn > 1 and found.isEmpty():
             break  # what is open now are mostly pairs that no link joins
         links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
@@ -241,7 +252,7 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     first = F.coalesce(F.array_min(F.array_intersect("keys_a", "keys_b")) >= F.col("key"), F.lit(True))
     crossing = a.join(b, "key").where("node_a < node_b and root_a <> root_b").where(_plausible(F.col("f_a"), F.col("f_b"), percent) & first)
     crossing = scratch.keep(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "crossing")
-    found = scratch.keep(_verified(crossing, sets, percent), "links")
+    found = _verified(crossing, sets, percent, scratch, "links")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
     roots = components.stars(links, scratch, "stars")
 
