@@ -141,7 +141,7 @@ def test_jaccard_compares_sets_part_by_part(spark, monkeypatch):
 
     def seen(self, df, name, *more):
         if name.startswith("links"):
-            steps.append(set(re.findall("shingles_[0-9]+", df._jdf.queryExecution().optimizedPlan().toString())))
+            steps.append(set(re.findall("shingles_[0-9]+", df._jdf.queryExecution().executedPlan().toString())))
         return keep(self, df, name, *more)
 
     monkeypatch.setattr(common.Scratch, "keep", seen)
