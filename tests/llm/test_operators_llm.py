@@ -132,6 +132,20 @@ def test_jaccard_keeps_one_of_each_group(spark, awkward):
     assert jaccard.kept_rows(awkward.limit(0)).count() == 0
 
 
+def test_kept_steps_give_the_driver_heap_back(spark, monkeypatch):
+    """What ended steps leave on the driver goes when the next table is kept, and the heap shrinks; one that has not grown again is left alone."""
+    runtime, scratch = spark._jvm.java.lang.Runtime.getRuntime(), common.Scratch(spark, "heap")
+    held = [spark.sparkContext._gateway.new_array(spark._jvm.byte, 64 << 20) for _ in range(12)]
+    grown = runtime.totalMemory()
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.9 * grown / runtime.maxMemory(), raising=False)
+    monkeypatch.setattr(common, "_heap_left", [0.0], raising=False)
+    held.clear()
+    assert scratch.keep(spark.range(3), "ids").count() == 3
+    assert runtime.totalMemory() < 0.8 * grown
+    assert not common.collect_finished(spark)
+    scratch.drop()
+
+
 def test_jaccard_compares_sets_part_by_part(spark, monkeypatch):
     """No write of a comparison reads more than one part of the sets, so no whole set is shuffled with a pair."""
     rng = random.Random(7)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The driver collects its garbage once its heap has grown to this share of its limit, and to so many times what the last time left.
+HEAP_SHARE, HEAP_GROWTH = 0.5, 1.2
+_heap_left = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -39,6 +43,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def collect_finished(spark: SparkSession) -> bool:
+    """Let the driver give back the memory of steps that have ended, if its heap has grown; whether it had to.
+
+    Plans, metrics and block lists of ended steps stay until the driver happens to collect its garbage. A job of many small steps
+    can so grow the heap to its limit for what nobody needs any more. A heap that does not shrink is left alone.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() < max(HEAP_SHARE * runtime.maxMemory(), HEAP_GROWTH * _heap_left[0]):
+        return False
+    gc.collect()  # frames that Python has not yet dropped hold their plans in the JVM
+    spark._jvm.java.lang.System.gc()
+    _heap_left[0] = float(runtime.totalMemory())
+    return True
+
+
 class Scratch:
     """A folder of one job's intermediate tables in the shared folder.
 
@@ -60,6 +79,7 @@ class Scratch:
             df.select("*").write.option("compression", compression).parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
+        collect_finished(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
