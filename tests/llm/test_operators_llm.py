@@ -135,7 +135,7 @@ def test_jaccard_keeps_one_of_each_group(spark, awkward):
 def test_kept_steps_give_the_driver_heap_back(spark, monkeypatch):
     """What ended steps leave on the driver goes when the next table is kept, and the heap shrinks; one that has not grown again is left alone."""
     runtime, scratch = spark._jvm.java.lang.Runtime.getRuntime(), common.Scratch(spark, "heap")
-    held = [spark.sparkContext._gateway.new_array(spark._jvm.byte, 64 << 20) for _ in range(12)]
+    held = [spark._jvm.java.nio.ByteBuffer.allocate(64 << 20) for _ in range(12)]
     grown = runtime.totalMemory()
     monkeypatch.setattr(common, "HEAP_SHARE", 0.9 * grown / runtime.maxMemory(), raising=False)
     monkeypatch.setattr(common, "_heap_left", [0.0], raising=False)
