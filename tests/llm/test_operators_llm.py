@@ -133,16 +133,21 @@ def test_jaccard_keeps_one_of_each_group(spark, awkward):
 
 
 def test_kept_steps_give_the_driver_heap_back(spark, monkeypatch):
-    """What ended steps leave on the driver goes when the next table is kept, and the heap shrinks; one that has not grown again is left alone."""
-    runtime, scratch = spark._jvm.java.lang.Runtime.getRuntime(), common.Scratch(spark, "heap")
-    held = [spark._jvm.java.nio.ByteBuffer.allocate(64 << 20) for _ in range(12)]
-    grown = runtime.totalMemory()
-    monkeypatch.setattr(common, "HEAP_SHARE", 0.9 * grown / runtime.maxMemory(), raising=False)
+    """A kept step has a grown heap collected as a whole; one that has not grown since is left alone, and so is a small one."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName())
+    scratch = common.Scratch(spark, "heap")
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0, raising=False)
     monkeypatch.setattr(common, "_heap_left", [0.0], raising=False)
-    held.clear()
+    before = whole()
     assert scratch.keep(spark.range(3), "ids").count() == 3
-    assert runtime.totalMemory() < 0.8 * grown
-    assert not common.collect_finished(spark)
+    assert whole() == before + 1
+    monkeypatch.setattr(common, "HEAP_GROWTH", 100)
+    scratch.keep(spark.range(3), "not-grown")
+    monkeypatch.setattr(common, "HEAP_SHARE", 1.1)
+    monkeypatch.setattr(common, "_heap_left", [0.0])
+    scratch.keep(spark.range(3), "small")
+    assert whole() == before + 1
     scratch.drop()
 
 
