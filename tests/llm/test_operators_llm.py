@@ -170,6 +170,46 @@ def test_jaccard_compares_sets_part_by_part(spark, monkeypatch):
     assert set.union(*steps) == {f"shingles_{g}" for g in range(jaccard.SET_PASSES)}
 
 
+def test_jaccard_makes_sets_of_likely_pairs_only(spark, monkeypatch):
+    """Long texts that share half their words meet in blocks, but sketches rule them out: only the two near copies are cut into sets."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = words(750)
+    rows = [(i, passage + words(750)) for i in range(12)]
+    rows.append((20, rows[3][1][:-5] + words(5)))
+    rows = [(i, " ".join(text)) for i, text in rows]
+    nodes, members, keep = set(), [], common.Scratch.keep
+
+    def seen(self, df, name, *more):
+        kept = keep(self, df, name, *more)
+        if "shingles_0" in kept.columns:
+            nodes.update(r.node for r in kept.select("node").collect())
+        if name == "members":
+            members.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(common.Scratch, "keep", seen)
+    got = jaccard.linked(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 5, 80)
+    assert members == [13] and len(nodes) == 2
+
+
+def test_wide_sketches_bound_the_difference(spark):
+    """Also of sets whose sketches differ in length: folded if by half, else not judged."""
+    rng, rows, apart = np.random.default_rng(3), [], []
+    for n, other in [(40, 45), (512, 513), (500, 600), (1000, 1100), (1000, 1030), (2048, 2049), (5000, 5100), (900, 2500), (600, 0), (9000, 700)]:
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(0, min(n, other) - 30)], rng.integers(0, 2**63, min(30, other), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, max(0, other - len(b)), dtype=np.uint64)]))
+        rows.append((len(apart), *(jaccard.wide_sketch(x).tolist() for x in (a, b))))
+        apart.append(len(np.setxor1d(a, b)))
+    found = spark.createDataFrame(rows, "i long, a array<long>, b array<long>")
+    found = {r.i: r.d for r in found.select("i", jaccard._apart(found.a, found.b).alias("d")).collect()}
+    assert all(0 <= found[i] <= apart[i] for i in range(len(rows)))
+    assert found[0] == found[1] == found[8] == found[9] == 0
+    assert all(found[i] > 0.5 * min(apart[i], 512) for i in (3, 4, 5, 6))
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(50):

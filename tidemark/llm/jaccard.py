@@ -23,6 +23,10 @@ all blocks never lie on the disks together. Sets are compared in the same way: t
 columns by hash value, and a pair carries from pass to pass how many differing shingles it may still have. A pair that
 has none left goes, so most wrong pairs move the first part of a set only, and no pair ever moves a whole one at once.
 
+Sets take several times the room of the sketches, and the share of documents that meet some other one in a block grows with
+the corpus. They are therefore made anew in each round, and only of the nodes of pairs that sizes and sketches allow. A sketch
+of 512 bits cannot tell large sets apart; these have a second one with a bit for each shingle at least.
+
 Joins of the blocks, texts and sets ask for a merge join: none of their sides is bounded, so the plan is the same at
 every size, and adaptive execution can still split a hot key.
 """
@@ -133,14 +137,20 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """512 parities as eight 64-bit integers."""
-    flips = np.bincount((_mixed(shingles * _ODD[3]) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+def parity_sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """``bits`` parities as 64-bit integers. The XOR of the two halves is the sketch of half as many bits."""
+    flips = np.bincount((_mixed(shingles * _ODD[3]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A sketch with a bit for each shingle at least; empty if the one of 512 bits has them. In that one, half of the bits differ
+    for any two sets of over a thousand shingles, which is no more than similar sets may differ by."""
+    return parity_sketch(shingles, 1 << (len(shingles) - 1).bit_length()) if len(shingles) > SKETCH_BITS else np.zeros(0, np.int64)
+
+
 def _sketched(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """row, doc_id, n_shingles, digest of the set, sketch and the join keys of each pass of (row, doc_id, text)."""
+    """row, doc_id, n_shingles, digest of the set, sketch, wide sketch and the join keys of each pass of (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shingler(size)
@@ -151,27 +161,28 @@ def _sketched(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([parity_sketch(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                pa.array([wide_sketch(s) for s in sets], pa.list_(pa.int64())),
                 *[pa.array([k[k % np.uint64(KEY_PASSES) == g].view(np.int64) for k in keys], pa.list_(pa.int64())) for g in range(KEY_PASSES)],
-            ], names=["row", "doc_id", "n_shingles", "digest", "sketch", *columns])
+            ], names=["row", "doc_id", "n_shingles", "digest", "sketch", "wide", *columns])
 
     kind, columns = dict(rows.dtypes)["doc_id"], [f"keys_{g}" for g in range(KEY_PASSES)]
-    made = f"row long, doc_id {kind}, n_shingles long, digest binary, sketch array<long>, " + ", ".join(f"{c} array<long>" for c in columns)
+    made = f"row long, doc_id {kind}, n_shingles long, digest binary, sketch array<long>, wide array<long>, " + ", ".join(f"{c} array<long>" for c in columns)
     return rows.select("row", "doc_id", "text").mapInArrow(run, made)
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """node, f and the shingles of each pass of (row, text, f)."""
+    """node and the shingles of each pass of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, ends = shingler(size), np.array([((g + 1) << 64) // SET_PASSES - 1 for g in range(SET_PASSES - 1)], np.uint64)
         for batch in batches:
             parts = [np.split(s.view(np.int64), np.searchsorted(s, ends, side="right")) for s in (cut(value or "") for value in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2), *[pa.array([p[g] for p in parts], pa.list_(pa.int64())) for g in range(SET_PASSES)],
-            ], names=["node", "f", *columns])
+                batch.column(0), *[pa.array([p[g] for p in parts], pa.list_(pa.int64())) for g in range(SET_PASSES)],
+            ], names=["node", *columns])
 
-    kind, columns = rows.schema["f"].dataType.simpleString(), [f"shingles_{g}" for g in range(SET_PASSES)]
-    return rows.select("row", "text", "f").mapInArrow(run, f"node long, f {kind}, " + ", ".join(f"{c} array<long>" for c in columns))
+    columns = [f"shingles_{g}" for g in range(SET_PASSES)]
+    return rows.select("row", "text").mapInArrow(run, "node long, " + ", ".join(f"{c} array<long>" for c in columns))
 
 
 def _plausible(a: Column, b: Column, percent: int) -> Column:
@@ -181,18 +192,33 @@ def _plausible(a: Column, b: Column, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: common.Scratch, label: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, written as ``label``. A set that sketch or size rule out is not looked through."""
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two wide sketches differ, after folding one of twice the length; 0 if their lengths are further apart."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    length = F.least(F.size(a), F.size(b))
+    folded = lambda x: F.when(F.size(x) > length, F.zip_with(F.slice(x, 1, length), F.slice(x, length + 1, length), xor)).otherwise(x)
+    bits = F.aggregate(F.zip_with(folded(a), folded(b), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+    return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * length, bits).otherwise(0)
+
+
+def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int, scratch: common.Scratch, label: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, written as ``label``. Sets are made of texts whose sizes and sketches allow a pair."""
+    one, two = (facts.select(F.col("node").alias(c), F.struct("n", "sketch").alias(f"f{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+    pairs = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(_plausible(F.col("fa"), F.col("fb"), percent))
+    # ``room``: by how many shingles the rest of the two sets may differ
+    room = F.floor((F.col("fa.n") + F.col("fb.n")) * (100 - percent) / (100 + percent))
+    pairs = scratch.keep(pairs.where(_apart(F.col("wa"), F.col("wb")) <= room).select("a", "b", room.alias("room")), f"likely-{label}")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    ends = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"ends-{label}")
+    sets = scratch.keep(_sets(texts.join(ends.hint("merge"), "row", "left_semi"), size), f"sets-{label}")
     for turn in range(SET_PASSES):
-        one, two = (sets.select(F.col("node").alias(c), F.col("f").alias(f"f{c}"), F.col(f"shingles_{turn}").alias(f"s{c}")) for c in "ab")
+        one, two = (sets.select(F.col("node").alias(c), F.col(f"shingles_{turn}").alias(f"s{c}")) for c in "ab")
         both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-        if not turn:  # ``room``: by how many shingles the rest of the two sets may differ
-            both = both.where(_plausible(F.col("fa"), F.col("fb"), percent))
-            both = both.withColumn("room", F.floor((F.col("fa.n") + F.col("fb.n")) * (100 - percent) / (100 + percent)))
         apart = F.size("sa") + F.size("sb") - 2 * F.size(F.array_intersect("sa", "sb"))
         both = both.select("a", "b", (F.col("room") - apart).alias("room")).where("room >= 0")
         pairs = scratch.keep(both, label if turn == SET_PASSES - 1 else f"{label}-part-{turn}")
-    scratch.drop(*[f"{label}-part-{turn}" for turn in range(SET_PASSES - 1)])
+    scratch.drop(f"likely-{label}", f"ends-{label}", f"sets-{label}", *[f"{label}-part-{turn}" for turn in range(SET_PASSES - 1)])
     return pairs.select("a", "b")
 
 
@@ -218,7 +244,7 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     numbered = scratch.keep(numbered, "numbered", "zstd")
     texts = numbered.select("row", F.col(f"doc.{doc_id}").alias("doc_id"), F.col(f"doc.{text}").alias("text"))
     sketched = scratch.keep(_sketched(texts, size, percent), "sketched")
-    named = scratch.keep(sketched.select("row", "doc_id", "n_shingles", "digest", "sketch"), "named")
+    named = scratch.keep(sketched.select("row", "doc_id", "n_shingles", "digest", "sketch", "wide"), "named")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
     nodes = named.where("n_shingles > 0").groupBy("digest").agg(least)
     nodes = scratch.keep(nodes.select("digest", F.col("least.row").alias("node"), F.col("least.doc_id").alias("node_id")), "nodes")
@@ -227,15 +253,14 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     scratch.drop("sketched")
 
     members = scratch.keep(shared.select(F.col("node").alias("row")).distinct(), "members")
-    facts = named.select("row", F.col("n_shingles").alias("n"), "sketch").join(members.hint("merge"), "row", "left_semi")
+    facts = named.select("row", F.col("n_shingles").alias("n"), "sketch", "wide").join(members.hint("merge"), "row", "left_semi")
     facts = scratch.keep(facts.withColumnRenamed("row", "node"), "facts")
     look = facts.select("node", F.struct("n", "sketch").alias("f"))
-    sets = scratch.keep(_sets(texts.join(look.withColumnRenamed("node", "row").hint("merge"), "row"), size), "sets")
 
     links, roots, open_ = None, None, shared
     for turn in range(HUB_ROUNDS):
         pairs = scratch.keep(_hub_pairs(open_, roots, turn), f"hubs-{turn}")
-        found = _verified(pairs, sets, percent, scratch, f"links-{turn}")
+        found = _verified(pairs, facts, texts, size, percent, scratch, f"links-{turn}")
         if turn > 1 and found.isEmpty():
             break  # what is open now are mostly pairs that no link joins
         links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
@@ -252,7 +277,7 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     first = F.coalesce(F.array_min(F.array_intersect("keys_a", "keys_b")) >= F.col("key"), F.lit(True))
     crossing = a.join(b, "key").where("node_a < node_b and root_a <> root_b").where(_plausible(F.col("f_a"), F.col("f_b"), percent) & first)
     crossing = scratch.keep(crossing.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "crossing")
-    found = _verified(crossing, sets, percent, scratch, "links")
+    found = _verified(crossing, facts, texts, size, percent, scratch, "links")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
     roots = components.stars(links, scratch, "stars")
 
@@ -261,9 +286,9 @@ def _placed(docs: DataFrame, scratch: common.Scratch, doc_id: str, text: str, si
     leaders = placed.groupBy("root").agg(F.min(F.struct(F.col("node_id").isNull(), "node_id", "node")).alias("leader"))
     leaders = leaders.select("root", F.col("leader.node_id").alias("leader_id"), F.col("leader.node").alias("leader_row"))
     placed = scratch.keep(placed.select("digest", "root").join(scratch.keep(leaders, "leaders"), "root").drop("root"), "placed")
-    scratch.drop("sets", "rooted", *[f"shared-{g}" for g in range(KEY_PASSES)], *[f"open-{turn}" for turn in range(HUB_ROUNDS)])
+    scratch.drop("rooted", *[f"shared-{g}" for g in range(KEY_PASSES)], *[f"open-{turn}" for turn in range(HUB_ROUNDS)])
     alone = F.col("n_shingles") == 0
-    return numbered, named.drop("sketch").join(placed, "digest", "left").select(
+    return numbered, named.drop("sketch", "wide").join(placed, "digest", "left").select(
         "row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("leader_id")).alias("component_id"),
         (alone | (F.col("row") == F.col("leader_row"))).alias("first"),
     )
